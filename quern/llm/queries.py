@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality_rules, url_filter
+from quern.llm import decontaminate, quality_rules, token_planes, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,18 @@ def op1_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op1_redirect_filter(_table(spark, sf_dir, "pages"))
 
 
+def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_planes.op2_token_planes(_table(spark, sf_dir, "documents"), str(public_tokenizers.path(token_planes.TOKENIZER)))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op6_quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_filter, op6_quality_rules)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_redirect_filter, op2_token_planes, op6_quality_rules, op10_decontaminate)}
