@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, quality_rules, token_planes, url_filter
+from quern.llm import decontaminate, mixing, quality_rules, sharding, token_planes, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +21,20 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.op2_token_planes(_table(spark, sf_dir, "documents"), str(public_tokenizers.path(token_planes.TOKENIZER)))
 
 
+def op3_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3_entropy_balance(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op6_quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op9_sampled_splitters(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op10_decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_filter, op2_token_planes, op6_quality_rules, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_redirect_filter, op2_token_planes, op3_entropy_balance, op6_quality_rules, op9_sampled_splitters, op10_decontaminate)}
