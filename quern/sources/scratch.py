@@ -35,10 +35,10 @@ class Scratch:
         self._made += 1
         return f"{self.root}/{self._made:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
+    def cut(self, df: DataFrame, name: str = "cut", partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and return it as read back."""
         path = self.path(name)
-        writer = df.write
+        writer = df.write.option("compression", compression)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
