@@ -8,7 +8,8 @@ step's whole input at a fraction of its size.
 
 Rates become copies on the histogram: cumulative rounding along the sizes, then greedy passes that spend
 what a source is short of, or over, on its largest size that fits. Inside a cell of equal sizes the
-documents with the lowest hash get the odd copy; ranks come from bucket counts, so no cell is sorted as one.
+documents with the lowest hash get the odd copy, up to a cut; bucket counts find the cut, so no cell is sorted
+as one, and texts are shuffled once, by cell, to meet their decision.
 
 Words are runs of anything but ASCII white space. Sources are ordered by code point, null last, and weigh
 5, 2, 1, repeating.
@@ -148,40 +149,54 @@ def round_copies(hist: DataFrame, dual: DataFrame, scratch: Scratch) -> DataFram
     return cells.select("source", "size", "n", "copies")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, copies), one row per document; `keep` adds the document's own row as a struct named `row`."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    own = docs.select(
-        *([F.struct("*").alias("row")] if keep else []), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
-    )
-    if not keep:
-        own = scratch.cut(own, "sizes")
-    hist = scratch.cut(own.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "hist")
+def copy_table(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per (source, size) of a (doc_id, source, size) table: source_size, target, each, cut_bucket, cut_h and buckets.
+
+    A document takes `each` copies, and one more if its (bucket, hash) lies at or below the cell's cut.
+    """
+    hist = scratch.cut(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "hist")
     per_source = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     targets = scratch.cut(source_targets(per_source), "targets")
-    cells = hist.where("size > 0")
-    copies = round_copies(cells, balance(cells, targets, scratch), scratch)
+    some = hist.where("size > 0")
+    copies = round_copies(some, balance(some, targets, scratch), scratch)
     rows = hist.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, rows // BUCKET_ROWS)
-    # each document's rank in its cell: documents of the same bucket by hash, after those of the buckets before
-    at = own.withColumn("h", F.xxhash64("doc_id", F.lit(3))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    cells = hist.select(F.col("source").alias("s0"), F.col("size").alias("z0"), F.col("n").alias("n0"))
+    cells = cells.join(copies.select(F.col("source").alias("s1"), F.col("size").alias("z1"), "copies"), _same("s0", "s1") & (F.col("z0") == F.col("z1")), "left")
+    cells = cells.join(targets.select(F.col("source").alias("s2"), "source_size", "target"), _same("s0", "s2"))
+    each = F.floor(F.coalesce("copies", F.lit(0)) / F.col("n0"))
+    cells = cells.select("s0", "z0", "source_size", "target", each.alias("each"), (F.coalesce("copies", F.lit(0)) - each * F.col("n0")).alias("extra"))
+    cells = scratch.cut(cells, "cells")
+    # where the odd copies of a cell end: counts per bucket find the bucket, ranks inside it the document
+    odd = cells.where("extra > 0").select("s0", "z0", "extra")
+    at = sizes.select("source", "size", _hash("doc_id").alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     counts = at.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("here"))
-    before = F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    per_cell = hist.select(F.col("source").alias("s0"), F.col("size").alias("z0"), F.col("n").alias("n0")).join(
-        copies.select(F.col("source").alias("s1"), F.col("size").alias("z1"), "copies"), _same("s0", "s1") & (F.col("z0") == F.col("z1")), "left"
-    )
-    per_cell = per_cell.join(targets.select(F.col("source").alias("s2"), "source_size", "target"), _same("s0", "s2"))
-    starts = scratch.cut(
-        counts.withColumn("before", F.coalesce(before, F.lit(0)))
-        .join(per_cell, _same("source", "s0") & (F.col("size") == F.col("z0")))
-        .select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bucket").alias("k"), "before", F.col("n0").alias("n"), F.coalesce("copies", F.lit(0)).alias("copies"), "source_size", "target"),
-        "starts",
-    )
-    ranked = at.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id")))
-    full = ranked.join(starts, _same("source", "s") & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("k")))
-    each = F.floor(F.col("copies") / F.col("n"))
-    mine = each + F.when(F.col("before") + F.col("rank") <= F.col("copies") - each * F.col("n"), 1).otherwise(0)
-    return full.select(*(["row"] if keep else []), "doc_id", "size", "source_size", "target", mine.cast("long").alias("copies"))
+    upto = F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket"))
+    last = counts.withColumn("upto", upto).join(odd, _same("source", "s0") & (F.col("size") == F.col("z0")))
+    last = last.where("upto >= extra and upto - here < extra").select("s0", "z0", F.col("bucket").alias("b0"), (F.col("extra") - F.col("upto") + F.col("here")).alias("rank0"))
+    inside = at.join(last, _same("source", "s0") & (F.col("size") == F.col("z0")) & (F.col("bucket") == F.col("b0")))
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("s0", "z0", "b0").orderBy("h")))
+    cuts = ranked.where("rank = rank0").select(F.col("s0").alias("s3"), F.col("z0").alias("z3"), F.col("b0").alias("cut_bucket"), F.col("h").alias("cut_h"))
+    found = cells.join(cuts, _same("s0", "s3") & (F.col("z0") == F.col("z3")), "left")
+    return scratch.cut(found.select("s0", "z0", "source_size", "target", "each", "cut_bucket", "cut_h", F.lit(buckets).alias("buckets")), "table")
+
+
+def _hash(column: str) -> Column:
+    return F.xxhash64(column, F.lit(3))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, copies), one row per document; `keep` adds the document's own row as a struct named `row`."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    wanted = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")]
+    sizes = scratch.cut(docs.select(*wanted), "sizes")
+    table = copy_table(sizes, scratch)
+    rows = docs.select(F.struct("*").alias("row"), *wanted) if keep else sizes
+    full = rows.withColumn("h", _hash("doc_id")).join(table, _same("source", "s0") & (F.col("size") == F.col("z0")))
+    bucket = F.pmod("h", "buckets")
+    more = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (F.col("h") <= F.col("cut_h")))
+    copies = F.col("each") + F.when(more, 1).otherwise(0)
+    return full.select(*(["row"] if keep else []), "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def op3_entropy_balance(docs: DataFrame) -> DataFrame:

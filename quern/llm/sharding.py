@@ -69,26 +69,24 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     """(doc_id, size, text_crc32, shard, slot), one row per document; `keep` puts the document's own row first, as a struct named `row`."""
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(
-        *([F.struct("*").alias("row")] if keep else []),
+    wanted = [
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.col(id_col), F.lit(1)).alias("k2"),
-    )
-    if keep:
-        keys, source = own.select("size", "k1", "k2"), own
-    else:
-        keys = source = scratch.cut(own, "keys")
+    ]
+    keys = scratch.cut(docs.select(*wanted), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     cells = shards * per_shard
     mean = max(1.0, total / cells)
-    placed = source.withColumn("range", F.expr(_range_of(_splitters(keys, total, cells))))
+    search = F.expr(_range_of(_splitters(keys, total, cells)))
+    placed = keys.withColumn("range", search)
     sums = placed.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > OVERFULL * mean)
     pieces = {r["range"]: int(-(-r["bytes"] // mean)) for r in sums.collect()}  # at most `cells` ranges
     split = F.expr("element_at(map(" + ", ".join(f"{k}, {v}" for k, v in pieces.items()) + "), range)") if pieces else F.lit(None).cast("int")
-    placed = placed.withColumn("piece", F.coalesce(F.pmod(F.col("k2"), split).cast("int"), F.lit(0)))
+    piece = F.coalesce(F.pmod(F.col("k2"), split).cast("int"), F.lit(0))
+    placed = placed.withColumn("piece", piece)
     # ranges and pieces: a few thousand rows, whatever the input
     laid = placed.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     order = Window.orderBy("range", "piece")
@@ -96,6 +94,8 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     laid = laid.withColumn("shard", F.least(F.floor(middle / max(total, 1) * shards), F.lit(shards - 1)).cast("int"))
     laid = laid.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("range", "piece")) - F.col("n"))
     table = scratch.cut(laid.select("range", "piece", "shard", "before"), "ranges")
+    if keep:
+        placed = docs.select(F.struct("*").alias("row"), *wanted).withColumn("range", search).withColumn("piece", piece)
     numbered = placed.join(F.broadcast(table), ["range", "piece"]).withColumn(
         "slot", F.col("before") + F.row_number().over(Window.partitionBy("range", "piece").orderBy("k1", "k2", "doc_id", "size")) - 1
     )
