@@ -1,4 +1,6 @@
 """Every named query of the library and the SQL it is held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quern.plans import chunk_queries, corpus_queries, retrieval_queries, text_queries, verify_queries  # noqa: F401
+from quern.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
