@@ -258,12 +258,12 @@ def durations(t):
 
 @query(
     "citation_brackets",
-    "SELECT conv_id, turn, left(text, 20) || ' [S' || turn || '] and [S2]' AS cited FROM conversations",
+    "SELECT conv_id, turn, text || ' [S' || turn || '] and [S2]' AS cited FROM conversations",
 )
 def citation_brackets(t):
     """N28"""
-    raw = F.concat(F.left("text", F.lit(20)), F.lit(" 【S"), "turn", F.lit("†L1-L4】 and [ S2 ]"))
-    return t("conversations").select("conv_id", "turn", T.plain_citations(F.replace(raw, F.lit("[ S2 ]"), F.lit("【S2】"))).alias("cited"))
+    raw = F.concat("text", F.lit(" 【S"), "turn", F.lit("†L1-L4】 and 【S2 】"))
+    return t("conversations").select("conv_id", "turn", T.plain_citations(raw).alias("cited"))
 
 
 @query(
