@@ -17,12 +17,16 @@ id follow each other, ordered by text. An empty table gives an empty archive. Ex
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +36,8 @@ from quern.sources.scratch import Scratch
 BLOCK = 1 << 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Cached pieces a Python worker holds before it starts afresh.
-CACHE = 400_000
+#: Pieces that each of the two generations of a Python worker's cache holds.
+CACHE = 300_000
 #: Text bytes of a part.
 PART_BYTES = 48 << 20
 
@@ -71,30 +75,96 @@ def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
 # ---- tokens
 
 
+#: Characters whose letters and case follow plain rules: printable ASCII, Latin-1 letters and Latin Extended-A but dotted I.
+_PLAIN = "!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+
+_MARKS = ",.;:!?#%&$*"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes stand for themselves, the rest follow from 256 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Texts to ids. White space ends every piece of this tokenizer, so each distinct run between ASCII white space is encoded once and kept."""
+    """Texts to ids. White space ends every piece of this tokenizer, so each distinct run between ASCII white space is encoded once and kept.
+
+    Plain pieces go to the tokenizer's model directly, without its normalizer and pre-tokenizer, whose work on
+    them is lower-casing, splitting by `words` and the byte alphabet; all others take the whole tokenizer. If the
+    tokenizer file is of another kind, everything does.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        splits = [p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        lowers = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.words = regex.compile(splits[0]) if len(splits) == 1 and lowers else None
+        # a piece that holds the first character of an added token takes the whole tokenizer
+        risky = "".join({t["content"][0] for t in spec.get("added_tokens", [])})
+        self.is_plain = regex.compile(f"[{_PLAIN}--[{regex.escape(risky)}]]+" if risky else f"[{_PLAIN}]+", regex.V1).fullmatch
+        self.alphabet = byte_alphabet()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.short: dict[str, list[int]] = {}
+
+    def _plain(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize(piece.lower())]
+        ids: list[int] = []
+        for run in self.words.findall(piece.lower()):
+            own = self.short.get(run)
+            if own is None:
+                mapped = run if run.isascii() else run.encode().decode("latin-1").translate(self.alphabet)
+                own = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+                if len(run) <= 3:
+                    self.short[run] = own
+            ids += own
+        return ids
+
+    def _variant(self, piece: str) -> bytes:
+        """By way of the lower-case word without the marks at its end, which are a word of their own after a letter."""
+        base = piece.rstrip(_MARKS)
+        if not base[-1:].isalpha():
+            return array("I", self._plain(piece)).tobytes()
+        word = base.lower()
+        ids = self.new.get(word) or self.old.get(word)
+        if ids is None:
+            ids = self.new[word] = array("I", self._plain(word)).tobytes()
+        return ids + array("I", self._plain(piece[len(base) :])).tobytes() if len(base) < len(piece) else ids
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of every piece as bytes. Two generations of CACHE pieces each are kept; the older goes when the newer is full."""
+        if len(self.new) > CACHE:
+            self.new, self.old = {}, self.new
+        new, old, slow = self.new, self.old, []
+        for w in words:
+            if w not in new:
+                known = old.get(w)
+                if known is None:
+                    if self.words and self.is_plain(w):
+                        known = self._variant(w)
+                    else:
+                        slow.append(w)
+                        continue
+                new[w] = known
+        for w, e in zip(slow, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False) if slow else [], strict=True):
+            new[w] = array("I", e.ids).tobytes()
+        return [new[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and each text's count, with the end id after each."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        pieces = lists.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        if len(self.known) > CACHE:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4")
-        own = [self.known[w] for w in words]
-        sizes = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, "<u4")
+        coded = lists.flatten().dictionary_encode()
+        own = self.pieces(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
         starts = np.cumsum(sizes) - sizes
-        codes = pieces.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         per = sizes[codes]
         ends = np.cumsum(per)
         body = flat[np.repeat(starts[codes] - (ends - per), per) + np.arange(ends[-1] if len(ends) else 0)]
@@ -118,7 +188,7 @@ def encoder(path: str) -> Encoder:
 
 
 _CHUNK = "part int, chunk int, n_ids int, kind string, crc32 long, planes array<binary>"
-_INDEX = "part int, ord int, doc_id {id}, first long, n_tokens long"
+_INDEX = "ord int, doc_id {id}, first long, n_tokens long"
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kind: str = "byte", block: int = BLOCK) -> None:
@@ -169,7 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if len(left):
             yield chunks([left], chunk)
 
-    schema = f"{_CHUNK}, ord int, doc_id {kind_of_id.simpleString()}, first long, n_tokens long"
+    schema = f"{_CHUNK}, {_INDEX.format(id=kind_of_id.simpleString())}"
     made = ordered.mapInArrow(run, schema)
     made.withColumn("table", F.when(F.col("ord").isNull(), "chunks").otherwise("index")).write.partitionBy("table").option("compression", "snappy").parquet(path)
 
@@ -182,25 +252,29 @@ def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
 
-def chunk_index(spark: SparkSession, path: str) -> DataFrame:
+def _stored(spark: SparkSession, path: str, id_type: str) -> DataFrame:
+    # with a schema, an empty archive can be read as well
+    return spark.read.schema(f"{_CHUNK}, {_INDEX.format(id=id_type)}, table string").parquet(path)
+
+
+def chunk_index(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """Per chunk: part, number, first id in the whole stream, count and bytes; no plane is decompressed."""
-    chunks = spark.read.parquet(path).where("table = 'chunks'")
+    chunks = _stored(spark, path, id_type).where("table = 'chunks'")
     size = F.aggregate("planes", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p))
     own = chunks.select("part", "chunk", "n_ids", "kind", size.alias("bytes"))
     before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("chunk")) - F.col("n_ids")
-    return own.withColumn("first", before).join(F.broadcast(_part_starts(spark, path)), "part").withColumn("first", F.col("first") + F.col("part_start")).drop("part_start")
+    return own.withColumn("first", before).join(F.broadcast(_part_starts(spark, path, id_type)), "part").withColumn("first", F.col("first") + F.col("part_start")).drop("part_start")
 
 
-def _part_starts(spark: SparkSession, path: str) -> DataFrame:
+def _part_starts(spark: SparkSession, path: str, id_type: str) -> DataFrame:
     """(part, ids before it): a row per part, of which there is one for PART_BYTES of text."""
-    totals = spark.read.parquet(path).where("table = 'index'").groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    totals = _stored(spark, path, id_type).where("table = 'index'").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     return totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, ids) of every document, from the files: `ids` is little-endian uint32."""
-    stored = spark.read.parquet(path)
-    id_type = stored.schema["doc_id"].dataType.simpleString()
+    stored = _stored(spark, path, id_type)
     index = stored.where("table = 'index'").select("part", "ord", "doc_id", "first", "n_tokens")
     chunks = stored.where("table = 'chunks'").select("part", "chunk", "n_ids", "kind", "crc32", "planes")
 
@@ -219,7 +293,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         return pa.table({"part": left.column("part"), "doc_id": left.column("doc_id"), "first": left.column("first"), "ids": ids.cast(pa.binary())})
 
     made = index.groupBy("part").cogroup(chunks.groupBy("part")).applyInArrow(decode, f"part int, doc_id {id_type}, first long, ids binary")
-    return made.join(F.broadcast(_part_starts(spark, path)), "part").select("doc_id", (F.col("part_start") + F.col("first")).alias("start"), "ids")
+    return made.join(F.broadcast(_part_starts(spark, path, id_type)), "part").select("doc_id", (F.col("part_start") + F.col("first")).alias("start"), "ids")
 
 
 def op2_token_planes(docs: DataFrame, tokenizer: str, kind: str = "byte") -> DataFrame:
@@ -227,5 +301,5 @@ def op2_token_planes(docs: DataFrame, tokenizer: str, kind: str = "byte") -> Dat
     scratch = Scratch(docs.sparkSession, "planes")
     path = scratch.path("tokens")
     write_tokens(docs, path, tokenizer, kind=kind)
-    back = read_tokens(docs.sparkSession, path)
+    back = read_tokens(docs.sparkSession, path, docs.schema["doc_id"].dataType.simpleString())
     return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
