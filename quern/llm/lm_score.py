@@ -36,7 +36,7 @@ from quern.sources.scratch import Scratch
 
 MU = 100.0
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 9 << 20
 U = np.uint64
 #: Stand for the end and the beginning of a text among word hashes.
 END, BEGIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)

@@ -3,8 +3,6 @@
 import random
 import re
 
-import pytest
-
 from quern.llm import decontaminate as D
 from quern.llm import line_dedup as L
 from quern.llm import quality_rules as Q
@@ -163,15 +161,18 @@ def test_lines(spark):
     assert L.op7_segment_edit_join(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("e", [1, 2, 3])
-def test_sql_entries(spark, e):
-    from pyspark.sql import functions as F
-
-    texts = ["".join(chr(97 + (j * 7 + i) % 26) for j in range(i)) for i in (2 * e + 1, 9, 10, 25, 26)]
-    df = spark.createDataFrame([(t,) for t in texts], "line string").withColumn("n", F.char_length("line"))
-    for r in df.select("line", F.expr(L.index_entries(e)).alias("i"), F.expr(L.probe_entries(e)).alias("p")).collect():
-        n = len(r.line)
-        own = [(r.line[a : a + z], n, k) for k, (a, z) in enumerate(L.segments(n, e))]
-        near = sorted({(r.line[a : a + z], m, k) for m in range(n - e, n + 1) for k, a, z in L.probes(n, m, e)})
-        hashed = lambda rows: [x.h for x in spark.createDataFrame(rows, "s string, n int, k int").select(F.xxhash64("s", "n", "k").alias("h")).collect()]
-        assert hashed(own) == list(r.i) and set(hashed(near)) == set(r.p)
+def test_bags(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        a = "".join(rng.choice("abcdeéz ñ") for _ in range(rng.randrange(1, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice(["", "x", "Ω"])
+        rows.append((a, "".join(b)))
+    rows += [("o" * 8, "g" * 7), ("g" * 7, "o" * 15)]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(edits(a, b), signed(L.bag_of(a)), signed(L.bag_of(b))) for a, b in rows], "d int, x long, y long")
+    assert df.where(f"d <= 2 and not ({L.bags_near('x', 'y', 2)})").count() == 0
+    assert df.where(f"not ({L.bags_near('x', 'y', 2)})").count() > 0
