@@ -87,44 +87,50 @@ def measures(text: str) -> str:
     return let(f"coalesce({text}, '')", "t", f"struct({from_words} as w, {from_lines} as l, {symbols} as n_symbols)")
 
 
-def _ratio(top: str, bottom: str) -> Column:
-    return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
-
-
-def _judged(df: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """Adds the ratios, `failed_rules` and `kept` to a table of counts."""
-    df = df.withColumns(
-        {
-            "repeat_ratio": _ratio("n_repeat_words", "n_words"),
-            "mean_word_chars": _ratio("word_chars", "n_words"),
-            "symbol_ratio": _ratio("n_symbols", "n_words"),
-            "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
-            "bullet_line_ratio": _ratio("n_bullet_lines", "n_lines"),
-            "ellipsis_line_ratio": _ratio("n_ellipsis_lines", "n_lines"),
-            "stop_ratio": _ratio("n_stop_words", "n_words"),
-        }
-    )
-    failed = []
-    for name, measure, low, high in thresholds:
-        bad = F.lit(False)
-        if low is not None:
-            bad = bad | (F.col(measure) < low)
-        if high is not None:
-            bad = bad | (F.col(measure) > high)
-        failed.append(F.when(bad, F.lit(name)))
-    return df.withColumn("failed_rules", F.array_compact(F.array(*failed))).withColumn("kept", F.size("failed_rules") == 0)
+def _ratio(top: str, bottom: str) -> str:
+    return f"if({bottom} > 0, cast({top} as double) / {bottom}, 0.0D)"
+
+
+#: What thresholds may name, as SQL over the struct m of counts.
+MEASURES = {
+    "n_words": "m.w.n_words",
+    "n_lines": "m.l.n_lines",
+    "repeat_ratio": _ratio("m.w.n_repeat_words", "m.w.n_words"),
+    "mean_word_chars": _ratio("m.w.word_chars", "m.w.n_words"),
+    "symbol_ratio": _ratio("m.n_symbols", "m.w.n_words"),
+    "dup_line_ratio": _ratio("m.l.n_dup_lines", "m.l.n_lines"),
+    "bullet_line_ratio": _ratio("m.l.n_bullet_lines", "m.l.n_lines"),
+    "ellipsis_line_ratio": _ratio("m.l.n_ellipsis_lines", "m.l.n_lines"),
+    "stop_ratio": _ratio("m.w.n_stop_words", "m.w.n_words"),
+}
+
+
+def _failing(measure: str, low, high) -> str:
+    """SQL that is true where a rule fails."""
+    x = MEASURES[measure]
+    bounds = [f"{x} < {low}"] * (low is not None) + [f"{x} > {high}"] * (high is not None)
+    return "(" + (" or ".join(bounds) or "false") + ")"
+
+
+def passes(text: str, thresholds=THRESHOLDS) -> Column:
+    """Whether a text column passes every rule: one expression, so that a filter evaluates the counts once."""
+    good = " and ".join(f"not {_failing(*rule[1:])}" for rule in thresholds) or "true"
+    return F.expr(let(measures(f"`{text}`"), "m", good))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """One row per document: its counts, ratios, the names of the rules it fails, and `kept`."""
     counted = docs.select(F.col(id_col).alias("doc_id"), F.expr(measures(f"`{text_col}`")).alias("m"))
-    flat = counted.select(
+    failed = F.array_compact(F.array(*(F.when(F.expr(_failing(*rule[1:])), F.lit(rule[0])) for rule in thresholds)))
+    return counted.select(
         "doc_id",
         *(F.col(f"m.w.{c}").alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")),
         *(F.col(f"m.l.{c}").alias(c) for c in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")),
         F.col("m.n_symbols").alias("n_symbols"),
+        *(F.expr(sql).alias(name) for name, sql in MEASURES.items() if name.endswith(("ratio", "chars"))),
+        failed.alias("failed_rules"),
+        (F.size(failed) == 0).alias("kept"),
     )
-    return _judged(flat, thresholds)
 
 
 def op6_quality_rules(docs: DataFrame) -> DataFrame:
@@ -138,11 +144,4 @@ def op6_quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    nested = docs.select(F.struct("*").alias("row"), F.expr(measures(f"`{text_col}`")).alias("m"))
-    flat = nested.select(
-        "row",
-        *(F.col(f"m.w.{c}").alias(c) for c in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")),
-        *(F.col(f"m.l.{c}").alias(c) for c in ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines")),
-        F.col("m.n_symbols").alias("n_symbols"),
-    )
-    return _judged(flat, thresholds).where("kept").select("row.*")
+    return docs.where(passes(text_col, thresholds))
