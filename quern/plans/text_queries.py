@@ -170,15 +170,15 @@ def headers(t):
 
 @query(
     "record_ids",
-    "SELECT doc_id, 'act_' || left(sha256(source || '|' || doc_id), 20) AS act_id, 'ilsic_train_' || lpad(doc_id::VARCHAR, 6, '0') AS scenario_id, source || '__ragv2_' || lpad(doc_id::VARCHAR, 5, '0') AS chunk_id FROM documents",
+    "SELECT doc_id, 'act_' || left(sha256(source || '|' || doc_id), 20) AS act_id, 'scenario_' || lpad(doc_id::VARCHAR, 6, '0') AS scenario_id, source || '__chunk_' || lpad(doc_id::VARCHAR, 5, '0') AS chunk_id FROM documents",
 )
 def record_ids(t):
     """N20"""
     return t("documents").select(
         "doc_id",
         T.hashed_id("act_", "source", F.col("doc_id").cast("string")).alias("act_id"),
-        T.numbered_id("ilsic_train_", "doc_id", 6).alias("scenario_id"),
-        F.concat("source", T.numbered_id("__ragv2_", "doc_id", 5)).alias("chunk_id"),
+        T.numbered_id("scenario_", "doc_id", 6).alias("scenario_id"),
+        F.concat("source", T.numbered_id("__chunk_", "doc_id", 5)).alias("chunk_id"),
     )
 
 
