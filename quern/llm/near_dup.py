@@ -7,12 +7,13 @@ all ways to leave ERRORS positions of a chunk out are enumerated as keys, so eve
 least one key. At similarity 0.8 a pair lies beyond DISTANCE with a chance of about 1 in 7000. Links are
 confirmed on the full sets.
 
-A key shared by many classes is never expanded into pairs. Its members are tested against one centre (the
-class with most copies); confirmed members are connected through it. Only members left outside the component
-of a centre are then tested against that component and against each other, set against set, in blocks of
-bounded bytes that emit one link per member and component; what is skipped lies in one component already,
-so it could not change one. Map tasks combine a key's members before the shuffle, so a hot key sends one
-row for each batch.
+A key shared by many classes is never expanded into pairs. Its members, of whichever batch, have one centre
+(the class with most copies among all that hold the key) and are tested against one of their centres; confirmed
+members are connected through it. Only members left outside the component of a centre are then tested against
+that component and against each other, set against set, in blocks of bounded bytes that emit one link per
+member and component; what is skipped lies in one component already, so it could not change one. Map tasks
+combine a key's members before the shuffle, so a hot key sends one row for each batch to its range; the members
+learn their key's centre from an equi-join on key and local centre, of at most TASK_CLASSES rows a value.
 
 Shingles are compared by 48 bits of a 64-bit hash. Words are runs of anything but ASCII white space, after
 A-Z are lower-cased.
@@ -304,9 +305,15 @@ def link_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataF
     blobs = classes.select("cid", "sig", "copies").mapInArrow(_key_blobs(ranges), f"{_MEMBER}, range int, keys binary, index binary, classes binary")
     blobs = scratch.cut(blobs, "keys")
     met = blobs.where("range is not null").select("range", "keys", "index", "classes").groupBy("range").applyInArrow(_meet, _MEMBER)
-    members = scratch.cut(blobs.where("range is null").select("key", "cid", "centre").union(met).distinct(), "members")
+    met = scratch.cut(met.where("cid <> centre"), "met")
+    # a member's centre is that of its key over all batches, so members of different batches fall into one group
+    local = blobs.where("range is null and cid <> centre").select("key", "cid", "centre")
+    top = met.select(F.col("key").alias("k"), F.col("cid").alias("c"), F.col("centre").alias("top"))
+    local = local.join(top, (F.col("key") == F.col("k")) & (F.col("centre") == F.col("c")), "left").select("cid", F.coalesce("top", "centre").alias("centre"))
+    stars = local.union(met.select("cid", "centre")).groupBy("cid", "centre").agg(F.count(F.lit(1)).alias("shared"))
+    stars = scratch.cut(stars, "stars")
     scratch.drop(blobs)
-    stars = scratch.cut(members.where("cid <> centre").groupBy("cid", "centre").agg(F.count(F.lit(1)).alias("shared")), "stars")
+    scratch.drop(met)
     if stars.isEmpty():
         return None
     involved = stars.select("cid").union(stars.select("centre")).distinct()

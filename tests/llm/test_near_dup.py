@@ -95,3 +95,36 @@ def test_every_pair_within_the_distance_shares_a_key():
 def test_sets_of_a_slice():
     texts = pa.array(["é a", "A É b", None, "", "x"])
     assert [len(s) for s in N.shingle_sets(texts.slice(1))] == [2, 0, 0, 1]
+
+
+def _linked(spark, monkeypatch, texts, keys, copies, batch):
+    """The component of each class that has a link; keys gives the keys that a class shares with others, and batches hold `batch` classes."""
+    from pyspark import cloudpickle
+
+    width = max(map(len, keys))
+    table = np.array([[*k, *(1000 + 100 * i + j for j in range(width - len(k)))] for i, k in enumerate(keys)], np.uint64)
+    monkeypatch.setattr(N, "TASK_CLASSES", batch)
+    monkeypatch.setattr(N, "index_keys", lambda signatures: table[signatures[:, 0]])
+    rows = [(10 + i, i, n, bytearray(np.full(N.POSITIONS, i, "<u2").tobytes())) for i, n in enumerate(copies)]
+    classes = spark.createDataFrame(rows, "cid long, rep long, copies long, sig binary").coalesce(1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # by value: the workers are to see what was set here
+    cloudpickle.register_pickle_by_value(N)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = N.link_classes(classes, docs, N.Scratch(spark, "test"))
+        return {r.node - 10: r.component - 10 for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        cloudpickle.unregister_pickle_by_value(N)
+
+
+def _text(letter, *changed):
+    return " ".join([f"{letter}{i}" for i in range(100 - len(changed))] + list(changed))
+
+
+def test_members_of_one_key_meet_across_batches(spark, monkeypatch):
+    """Two near copies share one key; the best class of the key in either batch is a stranger."""
+    texts = [_text("p"), _text("w"), _text("q"), _text("w", "new")]
+    got = _linked(spark, monkeypatch, texts, [[7]] * 4, [9, 1, 8, 1], 2)
+    assert got == {1: 1, 3: 1}
