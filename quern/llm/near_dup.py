@@ -275,15 +275,18 @@ class _Linker:
 
     def __init__(self, sets: DataFrame, scratch: Scratch) -> None:
         self.sets, self.scratch = sets, scratch
-        self.links = self.components = None
+        self.links = self.components = self.tested = None
 
     def test(self, pairs: DataFrame) -> None:
         """Confirms pairs (x < y) and brings the components up to date."""
-        pairs = self.scratch.cut(pairs.select("x", "y").distinct(), "pairs")
+        self.tested = self.scratch.cut(pairs.select("x", "y").distinct(), "pairs")
+        self.add(self.confirmed(self.tested))
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
         left = self.sets.select(F.col("cid").alias("x"), F.col("items").alias("a"))
         right = self.sets.select(F.col("cid").alias("y"), F.col("items").alias("b"))
         both = pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b")
-        self.add(both.mapInArrow(_confirm, "x long, y long"))
+        return both.mapInArrow(_confirm, "x long, y long")
 
     def add(self, links: DataFrame) -> None:
         good = self.scratch.cut(links, "links")
@@ -337,13 +340,16 @@ def _outside_links(outside: DataFrame, linker: _Linker, scratch: Scratch) -> Dat
     inside = linker.labelled(linker.sets.select("cid"), "cid", "comp").join(groups, F.col("comp") == F.col("g")).select("cid", "comp", "g")
     sides = scratch.cut(outside.union(inside).withColumn("out", F.lit(False)).union(outside.withColumn("out", F.lit(True))), "sides")
     sized = sides.join(linker.sets.select("cid", F.octet_length("items").alias("bytes")), "cid")
-    # a centre with one outside class was tested as a pair already
     per = sized.groupBy("g").agg(
         F.ceil(F.sum(F.when(F.col("out"), F.col("bytes")).otherwise(0)) / BLOCK_BYTES).cast("int").alias("nx"),
         F.ceil(F.sum(F.when(~F.col("out"), F.col("bytes")).otherwise(0)) / BLOCK_BYTES).cast("int").alias("ny"),
         F.count_if(~F.col("out")).alias("n"),
-    ).where("n > 2")
+        F.max(F.when(F.col("out"), F.col("cid"))).alias("only"),
+    )
     per = scratch.cut(per, "blocks")
+    # one outside class and a component of one class, which is its own name: a pair, unless it is among those tested
+    lone = per.where("n = 2").select(*_pair("only", "g")).distinct().join(linker.tested, ["x", "y"], "left_anti")
+    per = per.where("n > 2")
     full = sides.join(per, "g").join(linker.sets.select("cid", "items"), "cid")
     mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -352,7 +358,8 @@ def _outside_links(outside: DataFrame, linker: _Linker, scratch: Scratch) -> Dat
     x = full.where("out").select(*own, mine("nx").alias("ix"), every("ny").alias("iy"))
     y = full.where("not out").select(*own, every("nx").alias("ix"), mine("ny").alias("iy"))
     keys = ["g", "ix", "iy"]
-    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(_block_links, "x long, y long")
+    blocks = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(_block_links, "x long, y long")
+    return blocks.union(linker.confirmed(lone))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

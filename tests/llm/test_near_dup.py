@@ -128,3 +128,10 @@ def test_members_of_one_key_meet_across_batches(spark, monkeypatch):
     texts = [_text("p"), _text("w"), _text("q"), _text("w", "new")]
     got = _linked(spark, monkeypatch, texts, [[7]] * 4, [9, 1, 8, 1], 2)
     assert got == {1: 1, 3: 1}
+
+
+def test_a_lone_pair_that_was_not_the_first_choice(spark, monkeypatch):
+    """x shares more keys with a stranger than with its near copy, the only other class of its second centre."""
+    texts = [_text("p"), _text("w"), _text("w", "new")]
+    got = _linked(spark, monkeypatch, texts, [[1, 2], [1, 2, 3], [3]], [9, 1, 5], 100)
+    assert got == {1: 1, 2: 1}
