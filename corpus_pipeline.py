@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm import decontaminate, mixing, near_dup, quality_rules, sharding
 from quern.sources.scratch import Scratch
 
+#: Words of a shingle in the near-dedup stage; the contract of op8 alone asks for two.
+SHINGLE = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the threshold table."""
@@ -21,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id."""
-    return near_dup.drop_near_copies(docs)
+    return near_dup.drop_near_copies(docs, shingle=SHINGLE)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """MinHash near-dedup with a multi-index Hamming join.
 
-A document is the set of its distinct 2-word shingles. Texts with equal sets form one class, so copies cost
+A document is the set of its distinct shingles, of SHINGLE words where nothing else is asked for. Texts with equal sets form one class, so copies cost
 one row. Each class has a signature of POSITIONS minima, BITS bits each. Two signatures within DISTANCE
 positions of each other have, by the pigeonhole principle, one of CHUNKS chunks with at most ERRORS errors;
 all ways to leave ERRORS positions of a chunk out are enumerated as keys, so every such pair meets under at
@@ -125,17 +125,20 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            n, cid, sig = [], [], []
-            for items in shingle_sets(batch.column(1)):
-                n.append(len(items))
-                with np.errstate(over="ignore"):
-                    cid.append(int(mixed(items).sum(dtype=U).astype(np.int64)) if len(items) else None)
-                sig.append(signature(items).tobytes() if len(items) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
+def _signed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                n, cid, sig = [], [], []
+                for items in shingle_sets(batch.column(1), size):
+                    n.append(len(items))
+                    with np.errstate(over="ignore"):
+                        cid.append(int(mixed(items).sum(dtype=U).astype(np.int64)) if len(items) else None)
+                    sig.append(signature(items).tobytes() if len(items) else None)
+                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
+
+    return run
 
 
 _MEMBER = "key long, cid long, centre long"
@@ -224,12 +227,15 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([found] if found else [], schema)
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            packed = [_packed(x) for x in shingle_sets(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["cid", "items"])
+def _with_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                packed = [_packed(x) for x in shingle_sets(batch.column(1), size)]
+                yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary())], names=["cid", "items"])
+
+    return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +308,7 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
 
 
-def link_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+def link_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE) -> DataFrame | None:
     """(node, component) over the classes that have a link; classes has (cid, rep, copies, sig), docs (doc_id, text) of every class's rep."""
     ranges = max(1, classes.count() * sum(1 for c in _chunks() for _ in combinations(c, ERRORS)) // RANGE_KEYS)
     blobs = classes.select("cid", "sig", "copies").mapInArrow(_key_blobs(ranges), f"{_MEMBER}, range int, keys binary, index binary, classes binary")
@@ -322,7 +328,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataF
     involved = stars.select("cid").union(stars.select("centre")).distinct()
     reps = classes.join(involved, "cid").select("cid", F.col("rep").alias("doc_id"))
     texts = docs.join(reps, "doc_id").select("cid", "text")
-    sets = scratch.cut(texts.mapInArrow(_with_sets, "cid long, items binary"), "sets")
+    sets = scratch.cut(texts.mapInArrow(_with_sets(shingle), "cid long, items binary"), "sets")
     linker = _Linker(sets, scratch)
     # each member against the centre it shares most keys with
     first = stars.groupBy("cid").agg(F.max(F.struct("shared", "centre")).alias("b")).select("cid", F.col("b.centre").alias("centre"))
@@ -362,14 +368,14 @@ def _outside_links(outside: DataFrame, linker: _Linker, scratch: Scratch) -> Dat
     return blocks.union(linker.confirmed(lone))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per document."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per document; shingle is the number of words in one."""
     scratch = Scratch(docs.sparkSession, "neardup")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.cut(own.mapInArrow(_signed, "doc_id long, n_shingles long, cid long, sig binary"), "signed")
+    signed = scratch.cut(own.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, cid long, sig binary"), "signed")
     classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = scratch.cut(classes, "classes")
-    found = link_classes(classes.where("rep is not null"), own, scratch)
+    found = link_classes(classes.where("rep is not null"), own, scratch, shingle)
     named = classes.select("cid", "rep")
     if found is None:
         named = named.withColumn("component_id", F.col("rep"))
@@ -383,10 +389,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_multi_index_minhash(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs)
+    return near_duplicates(docs, shingle=2)
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One document of each group, with the columns it came with."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, shingle).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")

@@ -135,3 +135,14 @@ def test_a_lone_pair_that_was_not_the_first_choice(spark, monkeypatch):
     texts = [_text("p"), _text("w"), _text("w", "new")]
     got = _linked(spark, monkeypatch, texts, [[1, 2], [1, 2, 3], [3]], [9, 1, 5], 100)
     assert got == {1: 1, 2: 1}
+
+
+def test_the_pipeline_compares_five_words(spark):
+    """A text with five scattered words changed is a near copy by two words, and none by five."""
+    import corpus_pipeline
+
+    changed = [f"new{i}" if i % 20 == 10 else w for i, w in enumerate(f"w{i}" for i in range(100))]
+    rows = [(1, _text("w")), (2, " ".join(changed)), (3, _text("w", "end")), (4, "W0 " + _text("w")[3:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in N.op8_multi_index_minhash(df).where("kept").collect()} == {1}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == {1, 2}
