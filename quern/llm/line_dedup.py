@@ -1,14 +1,13 @@
 """Line dedup by a segment-partition edit join.
 
-Equal lines form one class. Classes of at least MIN_CHARS characters are joined within EDITS edits: a line
-is split into EDITS + 1 segments of even length; a line within EDITS edits of it, and no longer than it by
+Equal lines form one class. Classes are joined within EDITS edits, whatever their length: a line is split into EDITS + 1 segments of even length; a line within EDITS edits of it, and no longer than it by
 more than that, holds at least one segment unchanged. Every line is indexed under its own segments and
 probes, for each shorter length it may match and each segment, the few substrings whose place the edits
 left and right of the segment allow (multi-match-aware selection). Candidates are verified with banded
 bit-parallel edit distance.
 
-All links between different lines are found and counted; copies are not expanded. A line of fewer than
-MIN_CHARS characters has only its copies: that is the operator's definition of similar, not a shortcut.
+All links between different lines are found and counted; copies are not expanded. Lines of EDITS characters
+or fewer have empty segments, which meet all lines near them in length: any two such lines are within EDITS edits.
 Index and probe entries meet in an equi-join on the hash of (length, segment number, segment), which adaptive
 execution can split where one segment is frequent; counts of characters by class, which every edit changes
 by two at most, are part of its condition.
@@ -38,7 +37,7 @@ from quern.operators.components import connected_components
 from quern.sources.scratch import Scratch
 
 EDITS = 2
-MIN_CHARS = 24
+MIN_CHARS = 1  # every line that is not blank
 SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
 

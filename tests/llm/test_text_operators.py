@@ -176,3 +176,14 @@ def test_bags(spark):
     df = spark.createDataFrame([(edits(a, b), signed(L.bag_of(a)), signed(L.bag_of(b))) for a, b in rows], "d int, x long, y long")
     assert df.where(f"d <= 2 and not ({L.bags_near('x', 'y', 2)})").count() == 0
     assert df.where(f"not ({L.bags_near('x', 'y', 2)})").count() > 0
+
+
+def test_short_lines_are_linked_too(spark):
+    rng = random.Random(6)
+    lines = {"".join(rng.choice("abcd é") for _ in range(rng.randrange(1, 28))).strip() for _ in range(150)} - {""}
+    lines |= {"Subscribe to our list", "Subscribe to our list.", "x" * 23, "x" * 24, "a", "b", "yz", "wxyz"}
+    df = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
+    classes, links = L.similar_lines(df)
+    name = {r.line_id: r.line for r in classes.collect()}
+    got = {tuple(sorted((name[r.x], name[r.y]))) for r in links.collect()}
+    assert got == {(x, y) for x in lines for y in lines if x < y and edits(x, y) <= L.EDITS}
