@@ -18,8 +18,7 @@ Lines are the pieces of the whole text between line feeds, trimmed of ASCII whit
 lines.
 
 Defined results: null or empty texts have no lines. Repeated rows repeat their lines. Null ids count as
-rows but are never a line's first document. An empty table gives an empty result. Extra columns are not read,
-or pass through `drop_repeated_lines` whatever their names.
+rows but are never a line's first document. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ from quern.sources.scratch import Scratch
 
 EDITS = 2
 MIN_CHARS = 1  # every line that is not blank
-SPACE = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+SPACE = " \t\n\x0b\f\r"
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -176,7 +175,13 @@ def _verify(edits: int):
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line) of every line that is not blank."""
     pieces = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line"))
-    return pieces.select("doc_id", F.regexp_replace("line", SPACE, "").alias("line")).where("line <> ''")
+    return pieces.select("doc_id", F.btrim("line", F.lit(SPACE)).alias("line")).where("line <> ''")
+
+
+def line_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line_id, n_rows): which document holds which line class, and how often."""
+    lines = lines_of(docs, id_col, text_col).select("doc_id", F.xxhash64("line").alias("line_id"))
+    return lines.groupBy("doc_id", "line_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -200,7 +205,9 @@ def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
 
 def op7_segment_edit_join(docs: DataFrame) -> DataFrame:
-    """One row per distinct line: line_id, doc_id, n_rows, n_chars, n_links (other lines within EDITS edits) and component_doc_id and component_rows of its group."""
+    """One row per document and distinct line of it: doc_id, line_id, n_rows (copies in this document), then of the
+    line first_doc_id, line_rows (copies in all), n_chars, n_links (other lines within EDITS edits) and component_doc_id
+    and component_rows of its group."""
     scratch = Scratch(docs.sparkSession, "lines")
     classes, links = similar_lines(docs, scratch=scratch)
     groups = connected_components(links, "x", "y", scratch)
@@ -210,12 +217,13 @@ def op7_segment_edit_join(docs: DataFrame) -> DataFrame:
     linked = own.join(named, F.col("line_id") == F.col("node"))
     sums = linked.groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("component_doc_id"), F.sum("n_rows").alias("component_rows"))
     rows = linked.join(sums, F.col("component") == F.col("c")).select("line_id", "n_links", "component_doc_id", "component_rows")
-    return own.join(rows, "line_id", "left").select(
+    found = own.withColumnsRenamed({"doc_id": "first_doc_id", "n_rows": "line_rows"}).join(rows, "line_id", "left").select(
         "line_id",
-        "doc_id",
-        "n_rows",
+        "first_doc_id",
+        "line_rows",
         "n_chars",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_doc_id", "doc_id").alias("component_doc_id"),
-        F.coalesce("component_rows", "n_rows").cast("long").alias("component_rows"),
+        F.coalesce("component_doc_id", "first_doc_id").alias("component_doc_id"),
+        F.coalesce("component_rows", "line_rows").cast("long").alias("component_rows"),
     )
+    return line_members(docs).join(found, "line_id").select("line_id", "doc_id", "n_rows", *found.columns[1:])

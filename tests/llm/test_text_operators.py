@@ -187,3 +187,11 @@ def test_short_lines_are_linked_too(spark):
     name = {r.line_id: r.line for r in classes.collect()}
     got = {tuple(sorted((name[r.x], name[r.y]))) for r in links.collect()}
     assert got == {(x, y) for x in lines for y in lines if x < y and edits(x, y) <= L.EDITS}
+
+
+def test_every_holder_of_a_line_is_listed(spark):
+    rows = [(1, "Subscribe to our list\n own line of one "), (2, "Subscribe to our list\nSubscribe to our list"), (3, "\x0b\tSubscribe to our list.\r\f\n\n"), (None, "Subscribe to our list"), (2, "Subscribe to our list")]
+    got = L.op7_segment_edit_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fields = ("doc_id", "n_rows", "first_doc_id", "line_rows", "n_chars", "n_links", "component_doc_id", "component_rows")
+    want = {(1, 1, 1, 5, 21, 1, 1, 6), (2, 3, 1, 5, 21, 1, 1, 6), (None, 1, 1, 5, 21, 1, 1, 6), (3, 1, 3, 1, 22, 1, 1, 6), (1, 1, 1, 1, 15, 0, 1, 1)}
+    assert {tuple(r[f] for f in fields) for r in got} == want and len(got) == len(want)
