@@ -316,11 +316,14 @@ def phrase_bonus(t):
     docs = t("documents").select("doc_id", T.match_text("text").alias("t"))
     phrases = t("benchmark").select("item_id", T.match_text("text").alias("p")).where("p <> ''")
     # whole tokens of a phrase except its first and last must occur as tokens: the longest of them is the key
-    inner = F.slice(F.split("p", " "), 2, F.greatest(F.size(F.split("p", " ")) - 2, F.lit(1)))
-    keyed = phrases.withColumn("k", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    n = F.size(F.split("p", " "))
+    inner = F.slice(F.split("p", " "), 2, n - 2)
+    keyed = phrases.where(n > 2).withColumn("k", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     tokens = docs.select("doc_id", F.explode_outer(F.array_distinct(F.split("t", " "))).alias("k"))
     met = tokens.join(keyed.select("item_id", "k"), "k").select("doc_id", "item_id")
-    held = met.join(docs, "doc_id").join(phrases, "item_id").where(F.contains("t", "p"))
+    held = met.join(docs, "doc_id").join(phrases, "item_id").where(F.contains("t", "p")).select("doc_id")
+    # phrases of one or two words have no such token: every text is searched for them
+    held = held.union(docs.join(F.broadcast(phrases.where(n <= 2)), F.contains("t", "p")).select("doc_id"))
     return held.groupBy("doc_id").agg(F.lit(0.008).alias("bonus"), F.count(F.lit(1)).alias("phrases"))
 
 

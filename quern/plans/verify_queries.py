@@ -166,13 +166,16 @@ def anchor_exact(t):
     """Benchmark texts that a document holds; both sides meet on the text's rarest inner token."""
     docs = t("documents").select("doc_id", T.match_text("text").alias("t"))
     items = t("benchmark").select("item_id", T.match_text("text").alias("p")).where("p <> ''")
-    inner = F.slice(F.split("p", " "), 2, F.greatest(F.size(F.split("p", " ")) - 2, F.lit(1)))
-    tokens = items.select("item_id", F.explode(F.array_distinct(inner)).alias("k"))
+    n = F.size(F.split("p", " "))
+    inner = F.slice(F.split("p", " "), 2, n - 2)
+    tokens = items.where(n > 2).select("item_id", F.explode(F.array_distinct(inner)).alias("k"))
     seen = docs.select("doc_id", F.explode_outer(F.array_distinct(F.split("t", " "))).alias("k"))
     counts = seen.join(tokens.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     rare = tokens.join(counts, "k", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k"))["k"].alias("k"))
     met = seen.join(rare, "k").select("doc_id", "item_id")
-    return met.join(docs, "doc_id").join(items, "item_id").where(F.contains("t", "p")).select("doc_id", "item_id")
+    held = met.join(docs, "doc_id").join(items, "item_id").where(F.contains("t", "p")).select("doc_id", "item_id")
+    # texts of one or two words have no inner token: every document is searched for them
+    return held.union(docs.join(F.broadcast(items.where(n <= 2)), F.contains("t", "p")).select("doc_id", "item_id"))
 
 
 @query("anchor_fuzzy", None)
