@@ -10,9 +10,13 @@ All links between different lines are found and counted; copies are not expanded
 or fewer have empty segments, which meet all lines near them in length: any two such lines are within EDITS edits.
 Index and probe entries meet in an equi-join on the hash of (length, segment number, segment), which adaptive
 execution can split where one segment is frequent; counts of characters by class, which every edit changes
-by two at most, are part of its condition.
+by two at most, are part of its condition. Tasks drop repeated lines before the shuffle, and whole texts are never
+shuffled: entries are hashes, and only lines with a candidate partner are read again for the verification (a
+filter of fixed size finds them, the join after it is exact). Verified links leave a task as counts and the edges
+of a forest, so they do not grow with the square of a group; the candidates of lines that are alike in all but a
+few characters do, as each of them is compared.
 
-Lines and segments are identified by 64-bit hashes; what is linked is verified on the lines themselves.
+A line is named by its MD5; segments and ends of candidate pairs by 64-bit hashes, which only ever add pairs to verify.
 
 Lines are the pieces of the whole text between line feeds, trimmed of ASCII white space; blank ones are no
 lines.
@@ -23,6 +27,8 @@ rows but are never a line's first document. An empty table gives an empty result
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +38,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.bits import collect_bits, passes
 from quern.operators.components import connected_components
 from quern.sources.scratch import Scratch
 
 EDITS = 2
-MIN_CHARS = 1  # every line that is not blank
 SPACE = " \t\n\x0b\f\r"
+_SPACE = SPACE.encode()
+#: Bytes of texts whose distinct lines a task holds, and characters that it counts, at a time.
+TASK_BYTES = 8 << 20
+PART = 1 << 20
 
 
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -125,15 +135,34 @@ def _plan(n: int, edits: int, probing: bool) -> list[tuple[int, int, int]]:
     return [(m * 16 + k, at, at + size) for m in range(max(1, n - edits), n + 1) for k, at, size in probes(n, m, edits)]
 
 
-def keys_of(line: str, edits: int, probing: bool) -> list[int]:
-    """64-bit keys of (length indexed, segment number, piece)."""
-    return [xxhash.xxh3_64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), seed) for seed, a, b in _plan(len(line), edits, probing)]
-
-
-def bag_of(line: str) -> int:
-    """Sixteen counts of characters by the low bits of their code points, four bits each, which wrap round."""
-    counts = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") & 15, minlength=16) & 15
-    return int((counts.astype(np.uint64) << _PLACES).sum())
+def keys_of(line: bytes, edits: int, probing: bool) -> list[int]:
+    """64-bit keys of (length indexed, segment number, piece) of a line in UTF-8."""
+    hashed = xxhash.xxh3_64_intdigest
+    if line.isascii():
+        return [hashed(line[a:b], seed) for seed, a, b in _plan(len(line), edits, probing)]
+    text = line.decode("utf-8", "surrogateescape")
+    return [hashed(text[a:b].encode("utf-8", "surrogateescape"), seed) for seed, a, b in _plan(len(text), edits, probing)]
+
+
+def bags_of(lines: list[bytes]) -> np.ndarray:
+    """For each line sixteen counts of characters by the low bits of their code points, four bits each, which wrap round."""
+    counts = np.zeros((len(lines), 16), np.int64)
+    at = 0
+    while at < len(lines):
+        # so many lines at a time as hold PART characters, or one longer line in parts
+        stop, size = at, 0
+        while stop < len(lines) and (stop == at or size + len(lines[stop]) <= PART):
+            size += len(lines[stop])
+            stop += 1
+        texts = [x.decode("utf-8", "surrogateescape") for x in lines[at:stop]]
+        sizes = [len(x) for x in texts]
+        whole = "".join(texts)
+        owner = np.repeat(np.arange(stop - at) * 16, sizes) if stop - at > 1 else 0
+        for low in range(0, len(whole), 2 * PART):
+            codes = np.frombuffer(whole[low : low + 2 * PART].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) & 15
+            counts[at:stop] += np.bincount(owner + codes, minlength=16 * (stop - at)).reshape(-1, 16)
+        at = stop
+    return ((counts & 15).astype(np.uint64) << _PLACES).sum(axis=1, dtype=np.uint64)
 
 
 _PLACES = np.arange(0, 64, 4, dtype=np.uint64)
@@ -145,20 +174,95 @@ def bags_near(a: str, b: str, edits: int) -> str:
     return " + ".join(f"least({g}, 16 - {g})" for g in gaps) + f" <= {2 * edits}"
 
 
+def _split(text: bytes) -> Iterator[bytes]:
+    for piece in text.split(b"\n"):
+        line = piece.strip(_SPACE)
+        if line:
+            yield line
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else b""
+
+
+def _distinct_lines(column: pa.Array) -> Iterator[list[bytes]]:
+    """The distinct lines of about TASK_BYTES of texts at a time."""
+    held: dict[bytes, None] = {}
+    size = 0
+    for text in _texts(column):
+        held.update(dict.fromkeys(_split(text)))
+        size += len(text)
+        if size >= TASK_BYTES:
+            yield list(held)
+            held, size = {}, 0
+    if held:
+        yield list(held)
+
+
+def _ids(lines: list[bytes]) -> list[bytes]:
+    return [hashlib.md5(x, usedforsecurity=False).digest() for x in lines]
+
+
+def _halves(ids: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each id."""
+    return np.frombuffer(b"".join(ids), "<i8")[::2] if ids else np.zeros(0, "<i8")
+
+
 def _entries(edits: int, probing: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, 2000):
-                batch = whole.slice(low, 2000)
-                sizes, keys, bags = [], [], []
-                for line in batch.column(1).to_pylist():
-                    own = keys_of(line, edits, probing)
-                    keys += own
-                    sizes.append(len(own))
-                    bags.append(bag_of(line))
-                ids = np.repeat(batch.column(0).to_numpy(), sizes)
-                bag = np.repeat(np.array(bags, np.uint64).view(np.int64), sizes)
-                yield pa.record_batch([pa.array(ids), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bag)], names=["line_id", "key", "bag"])
+        for batch in batches:
+            for lines in _distinct_lines(batch.column(0)):
+                for low in range(0, len(lines), 20_000):
+                    part = lines[low : low + 20_000]
+                    own = [keys_of(x, edits, probing) for x in part]
+                    sizes = [len(k) for k in own]
+                    keys = np.fromiter((k for ks in own for k in ks), np.uint64, sum(sizes))
+                    ids, bags = np.repeat(_halves(_ids(part)), sizes), np.repeat(bags_of(part).view(np.int64), sizes)
+                    yield pa.record_batch([pa.array(ids), pa.array(keys.view(np.int64)), pa.array(bags)], names=["half", "key", "bag"])
+
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, line_id, n_chars, n_rows), a row for each distinct line of a text."""
+    names = ["doc_id", "line_id", "n_chars", "n_rows"]
+
+    def made() -> pa.RecordBatch:
+        chars = [len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines]
+        return pa.record_batch([docs.take(pa.array(rows, pa.int64())), pa.array(_ids(lines), pa.binary()), pa.array(chars, pa.int64()), pa.array(counts, pa.int64())], names=names)
+
+    for batch in batches:
+        docs = batch.column(0)
+        rows, lines, counts, size = [], [], [], 0
+        for row, text in enumerate(_texts(batch.column(1))):
+            found = Counter(_split(text))
+            rows += [row] * len(found)
+            lines += found.keys()
+            counts += found.values()
+            size += len(text)
+            if size >= TASK_BYTES:
+                yield made()
+                rows, lines, counts, size = [], [], [], 0
+        if rows:
+            yield made()
+
+
+def _wanted(bits: np.ndarray):
+    """(half, line_id, line) of the lines that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lines in _distinct_lines(batch.column(0)):
+                ids = _ids(lines)
+                halves = _halves(ids)
+                good = np.flatnonzero(passes(bits, halves.view(np.uint64)))
+                for low in range(0, len(good), 5_000):
+                    at = good[low : low + 5_000]
+                    yield pa.record_batch(
+                        [pa.array(halves[at]), pa.array([ids[i] for i in at], pa.binary()), pa.array([lines[i].decode("utf-8", "replace") for i in at], pa.string())],
+                        names=["half", "line_id", "line"],
+                    )
 
     return run
 
@@ -172,6 +276,34 @@ def _verify(edits: int):
     return run
 
 
+def _summed(edits: int):
+    """Verified pairs as (a, b, n): the edges (a, b) of a forest over those of a batch, and how many links of the batch each line has (n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _verify(edits)(batches):
+            degree: Counter = Counter()
+            parent: dict[bytes, bytes] = {}
+
+            def root(x: bytes) -> bytes:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = parent[up] if up in parent else up
+                    x = up
+                return x
+
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                degree[x] += 1
+                degree[y] += 1
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+            edges = [(x, root(x), None) for x in parent if root(x) != x]
+            rows = edges + [(x, None, n) for x, n in degree.items()]
+            a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    return run
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line) of every line that is not blank."""
     pieces = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line"))
@@ -179,45 +311,51 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def line_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_id, n_rows): which document holds which line class, and how often."""
-    lines = lines_of(docs, id_col, text_col).select("doc_id", F.xxhash64("line").alias("line_id"))
-    return lines.groupBy("doc_id", "line_id").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def similar_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(line classes, links): classes has line_id, line, n_rows, doc_id (the first document that holds it); links has x < y."""
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs, id_col, text_col)
-    classes = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("doc_id"))
-    classes = scratch.cut(classes.select(F.xxhash64("line").alias("line_id"), "line", "n_rows", "doc_id"), "classes", compression="zstd")
-    long = classes.where(F.char_length("line") >= min_chars).select("line_id", "line")
-    schema = "line_id long, key long, bag long"
-    index = long.mapInArrow(_entries(edits, False), schema).toDF("a", "key", "bag_a")
-    probe = long.mapInArrow(_entries(edits, True), schema).toDF("b", "probe", "bag_b")
+    """(doc_id, line_id, n_chars, n_rows): which document holds which line class, and how often; rows that share an id have rows each."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_members, f"doc_id {kind}, line_id binary, n_chars long, n_rows long")
+
+
+def candidate_pairs(docs: DataFrame, scratch: Scratch, edits: int = EDITS, text_col: str = "text") -> DataFrame:
+    """(x, y, left, right): ids and lines of the pairs that share a key and have bags that near."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    schema = "half long, key long, bag long"
+    # a line that many tasks hold is indexed once, so what meets under a key grows with the probes alone
+    index = texts.mapInArrow(_entries(edits, False), schema).distinct().toDF("a", "key", "bag_a")
+    probe = texts.mapInArrow(_entries(edits, True), schema).toDF("b", "probe", "bag_b")
     # the bags stand in the join's condition: pairs that differ in more than the edits allow are never made
     meet = (F.col("key") == F.col("probe")) & (F.col("a") != F.col("b")) & F.expr(bags_near("bag_a", "bag_b", edits))
-    met = index.join(probe, meet).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    met = index.join(probe, meet).select(F.least("a", "b").alias("hx"), F.greatest("a", "b").alias("hy")).distinct()
     met = scratch.cut(met, "candidates")
-    left = long.select(F.col("line_id").alias("x"), F.col("line").alias("left"))
-    right = long.select(F.col("line_id").alias("y"), F.col("line").alias("right"))
-    links = met.join(left, "x").join(right, "y").select("x", "y", "left", "right").mapInArrow(_verify(edits), "x long, y long")
-    return classes, scratch.cut(links, "links")
+    ends = met.select(F.col("hx").alias("end")).union(met.select("hy")).distinct()
+    found = texts.mapInArrow(_wanted(collect_bits(ends, "end")), "half long, line_id binary, line string").join(ends, F.col("half") == F.col("end"), "left_semi")
+    lines = scratch.cut(found.groupBy("half", "line_id").agg(F.first("line").alias("line")), "lines", compression="zstd")
+    side = lambda h, i, t: lines.select(F.col("half").alias(h), F.col("line_id").alias(i), F.col("line").alias(t))
+    return met.join(side("hx", "x", "left"), "hx").join(side("hy", "y", "right"), "hy").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "left", "right")
+
+
+def similar_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(line classes, links): classes has line_id, line, n_rows, doc_id (the first document that holds it); links has every pair x < y."""
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
+    classes = lines_of(docs, id_col, text_col).groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("doc_id"))
+    classes = classes.select(F.unhex(F.md5("line")).alias("line_id"), "line", "n_rows", "doc_id")
+    return classes, candidate_pairs(docs, scratch, edits, text_col).mapInArrow(_verify(edits), "x binary, y binary")
 
 
 def op7_segment_edit_join(docs: DataFrame) -> DataFrame:
-    """One row per document and distinct line of it: doc_id, line_id, n_rows (copies in this document), then of the
+    """One row per document id and distinct line of it: doc_id, line_id, n_rows (copies in this document), then of the
     line first_doc_id, line_rows (copies in all), n_chars, n_links (other lines within EDITS edits) and component_doc_id
     and component_rows of its group."""
     scratch = Scratch(docs.sparkSession, "lines")
-    classes, links = similar_lines(docs, scratch=scratch)
-    groups = connected_components(links, "x", "y", scratch)
-    degree = links.select(F.col("x").alias("n")).union(links.select("y")).groupBy("n").agg(F.count(F.lit(1)).alias("n_links"))
-    named = groups.join(degree, F.col("node") == F.col("n")).select("node", "component", "n_links")
-    own = classes.select("line_id", "doc_id", "n_rows", F.char_length("line").cast("long").alias("n_chars"))
-    linked = own.join(named, F.col("line_id") == F.col("node"))
-    sums = linked.groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("component_doc_id"), F.sum("n_rows").alias("component_rows"))
-    rows = linked.join(sums, F.col("component") == F.col("c")).select("line_id", "n_links", "component_doc_id", "component_rows")
-    found = own.withColumnsRenamed({"doc_id": "first_doc_id", "n_rows": "line_rows"}).join(rows, "line_id", "left").select(
+    members = scratch.cut(line_members(docs), "members")
+    summed = scratch.cut(candidate_pairs(docs, scratch).mapInArrow(_summed(EDITS), "a binary, b binary, n long"), "links")
+    groups = connected_components(summed.where("b is not null"), "a", "b", scratch)
+    degree = summed.where("b is null").groupBy("a").agg(F.sum("n").alias("n_links"))
+    named = scratch.cut(groups.join(degree, F.col("node") == F.col("a")).select("node", "component", "n_links"), "groups")
+    own = members.groupBy("line_id").agg(F.min("doc_id").alias("first_doc_id"), F.sum("n_rows").alias("line_rows"), F.max("n_chars").alias("n_chars"))
+    classes = scratch.cut(own, "classes").join(named, F.col("line_id") == F.col("node"), "left")
+    sums = classes.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("first_doc_id").alias("component_doc_id"), F.sum("line_rows").alias("component_rows"))
+    found = classes.join(sums, F.col("component") == F.col("c"), "left").select(
         "line_id",
         "first_doc_id",
         "line_rows",
@@ -226,4 +364,5 @@ def op7_segment_edit_join(docs: DataFrame) -> DataFrame:
         F.coalesce("component_doc_id", "first_doc_id").alias("component_doc_id"),
         F.coalesce("component_rows", "line_rows").cast("long").alias("component_rows"),
     )
-    return line_members(docs).join(found, "line_id").select("line_id", "doc_id", "n_rows", *found.columns[1:])
+    out = members.groupBy("doc_id", "line_id").agg(F.sum("n_rows").alias("n_rows")).join(found, "line_id")
+    return out.select(F.lower(F.hex("line_id")).alias("line_id"), "doc_id", "n_rows", *found.columns[1:])

@@ -147,16 +147,27 @@ def test_lines(spark):
     distinct = sorted({x.strip() for _, t in docs for x in (t or "").split("\n") if x.strip()})
     want = {}
     for x in distinct:
-        want[x] = sum(len(x) >= L.MIN_CHARS <= len(y) and x != y and edits(x, y) <= L.EDITS for y in distinct)
+        want[x] = sum(x != y and edits(x, y) <= L.EDITS for y in distinct)
     classes, links = L.similar_lines(df)
-    name = {r.line_id: r.line for r in classes.collect()}
+    name = {bytes(r.line_id): r.line for r in classes.collect()}
     got = dict.fromkeys(name.values(), 0)
     for r in links.collect():
-        got[name[r.x]] += 1
-        got[name[r.y]] += 1
+        got[name[bytes(r.x)]] += 1
+        got[name[bytes(r.y)]] += 1
     assert got == want
     rows = L.op7_segment_edit_join(df).collect()
-    assert {name[r.line_id]: r.n_links for r in rows} == want
+    assert {name[bytes.fromhex(r.line_id)]: r.n_links for r in rows} == want
+    # groups: the smallest first document and all rows of the lines reachable over links
+    own = {x: [i for i, t in docs for y in (t or "").split("\n") if y.strip() == x] for x in distinct}
+    for r in rows:
+        group, todo = set(), [name[bytes.fromhex(r.line_id)]]
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group.add(x)
+                todo += [y for y in distinct if y not in group and edits(x, y) <= L.EDITS]
+        holders = [i for x in group for i in own[x]]
+        assert (r.component_doc_id, r.component_rows) == (min((i for i in holders if i is not None), default=None), len(holders))
     assert sum(r.n_rows for r in rows) == sum(bool(x.strip()) for _, t in docs for x in (t or "").split("\n"))
     assert L.op7_segment_edit_join(df.limit(0)).count() == 0
 
@@ -173,7 +184,7 @@ def test_bags(spark):
         rows.append((a, "".join(b)))
     rows += [("o" * 8, "g" * 7), ("g" * 7, "o" * 15)]
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    df = spark.createDataFrame([(edits(a, b), signed(L.bag_of(a)), signed(L.bag_of(b))) for a, b in rows], "d int, x long, y long")
+    df = spark.createDataFrame([(edits(a, b), *(signed(int(v)) for v in L.bags_of([a.encode(), b.encode()]))) for a, b in rows], "d int, x long, y long")
     assert df.where(f"d <= 2 and not ({L.bags_near('x', 'y', 2)})").count() == 0
     assert df.where(f"not ({L.bags_near('x', 'y', 2)})").count() > 0
 
@@ -184,11 +195,31 @@ def test_short_lines_are_linked_too(spark):
     lines |= {"Subscribe to our list", "Subscribe to our list.", "x" * 23, "x" * 24, "a", "b", "yz", "wxyz"}
     df = spark.createDataFrame(list(enumerate(sorted(lines))), "doc_id long, text string")
     classes, links = L.similar_lines(df)
-    name = {r.line_id: r.line for r in classes.collect()}
-    got = {tuple(sorted((name[r.x], name[r.y]))) for r in links.collect()}
+    name = {bytes(r.line_id): r.line for r in classes.collect()}
+    got = {tuple(sorted((name[bytes(r.x)], name[bytes(r.y)]))) for r in links.collect()}
     assert got == {(x, y) for x in lines for y in lines if x < y and edits(x, y) <= L.EDITS}
 
 
+def test_bags_of_long_lines_are_counted_in_parts(monkeypatch):
+    lines = [b"a", "é".encode() * 5000, b"", b"xyz" * 3000, b"q"]
+    whole = L.bags_of(lines)
+    monkeypatch.setattr(L, "PART", 700)
+    assert L.bags_of(lines).tolist() == whole.tolist() == [int(L.bags_of([x])[0]) for x in lines]
+
+
+def test_the_filter_lets_every_member_through(spark):
+    from quern.llm import bits as B
+
+    rng = random.Random(3)
+    own = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(500)] + [0, -1, B.BITS - 1, B.BITS, 32767, 32768]
+    table = B.collect_bits(spark.createDataFrame([(h,) for h in [*own, None]], "h long"), "h", 1 << 17)
+    import numpy as np
+
+    assert B.passes(table, np.array(own, np.int64).view(np.uint64)).all()
+    strangers = np.array([rng.randrange(1 << 64) for _ in range(5000)], np.uint64)
+    assert B.passes(table, strangers).mean() < 0.02
+
+
 def test_every_holder_of_a_line_is_listed(spark):
     rows = [(1, "Subscribe to our list\n own line of one "), (2, "Subscribe to our list\nSubscribe to our list"), (3, "\x0b\tSubscribe to our list.\r\f\n\n"), (None, "Subscribe to our list"), (2, "Subscribe to our list")]
     got = L.op7_segment_edit_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
