@@ -7,21 +7,27 @@ all ways to leave ERRORS positions of a chunk out are enumerated as keys, so eve
 least one key. At similarity 0.8 a pair lies beyond DISTANCE with a chance of about 1 in 7000. Links are
 confirmed on the full sets.
 
-A key shared by many classes is never expanded into pairs. Its members, of whichever batch, have one centre
-(the class with most copies among all that hold the key) and are tested against one of their centres; confirmed
+A key shared by many classes is never expanded into pairs. Classes are dealt into batches by a hash of their number;
+a batch sends one row for each of its distinct keys, that of the class with most copies, so a hot key sends a
+row a batch. Sorted by key, the first row of each key is its centre for all members, of whichever batch (the others
+of a batch learn it from an equi-join on key and local centre, of at most a batch of rows a value). Members are tested
+against one of their centres; confirmed
 members are connected through it. Only members left outside the component of a centre are then tested against
 that component and against each other, set against set, in blocks of bounded bytes that emit one link per
-member and component; what is skipped lies in one component already, so it could not change one. Map tasks
-combine a key's members before the shuffle, so a hot key sends one row for each batch to its range; the members
-learn their key's centre from an equi-join on key and local centre, of at most TASK_CLASSES rows a value.
+member and component; what is skipped lies in one component already, so it could not change one.
 
 Shingles are compared by 48 bits of a 64-bit hash. Words are runs of anything but ASCII white space, after
 A-Z are lower-cased.
 
+A class is known by 128 bits of its set's hashes and numbered when it is first written. A row is known by its id and a
+hash of its text, so rows that share an id but not a text are told apart.
+
 Defined results: a null, empty or blank text has no shingles, its own component and is kept. Rows that share
 a doc_id get their own verdicts, by the text of each; two equal rows are both kept or both not. Null ids are
-never the smallest. An empty table gives an empty result. Extra columns are not read, or pass through
-`drop_near_copies` whatever their names.
+never the smallest, but link what they are similar to; a group of null ids alone has a null component and is kept.
+Ids may be of any type that can be ordered. An empty table gives an empty result. Extra columns are not read, or pass through
+`drop_near_copies` whatever their names; it keeps exactly one row of each group, equal rows with one id included,
+and every text without words.
 """
 
 from __future__ import annotations
@@ -33,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
@@ -45,10 +51,8 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Bytes of sets that one side of a block holds.
 BLOCK_BYTES = 2 << 20
 SIMILAR = 80  # percent
-#: Classes whose keys a map task combines at a time, and keys of one range of the join. Memory of a task follows them,
-#: at about 10 KB a class and 70 bytes a key; larger executors take larger values, and so fewer and longer blobs.
+#: Classes whose keys a task combines at a time; its memory follows them, at about 10 KB a class.
 TASK_CLASSES = 8_000
-RANGE_KEYS = 1_000_000
 
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)  # fixed values: the finaliser of splitmix64
@@ -126,107 +130,52 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _signed(size: int):
+    """(doc_id, th, text) to (doc_id, th, n_shingles, cid, tag, sig); cid and tag are two hashes of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "th", "n_shingles", "cid", "tag", "sig"]
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                n, cid, sig = [], [], []
-                for items in shingle_sets(batch.column(1), size):
+                n, cid, tag, sig = [], [], [], []
+                for items in shingle_sets(batch.column(2), size):
+                    some = len(items) > 0
                     n.append(len(items))
                     with np.errstate(over="ignore"):
-                        cid.append(int(mixed(items).sum(dtype=U).astype(np.int64)) if len(items) else None)
-                    sig.append(signature(items).tobytes() if len(items) else None)
-                yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
+                        cid.append(int(mixed(items).sum(dtype=U).astype(np.int64)) if some else None)
+                        tag.append(int(mixed(items ^ _TAG).sum(dtype=U).astype(np.int64)) if some else None)
+                    sig.append(signature(items).tobytes() if some else None)
+                made = [pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(tag, pa.int64()), pa.array(sig, pa.binary())]
+                yield pa.record_batch([batch.column(0), batch.column(1), *made], names=names)
 
     return run
 
 
-_MEMBER = "key long, cid long, centre long"
-
+_TAG = U(0xA0761D6478BD642F)
+_BEST, _MEMBER = "key long, cid long, copies long", "key long, cid long, centre long"
 
-def _first_of_groups(keys: np.ndarray, cids: np.ndarray, copies: np.ndarray):
-    """Sorted by key, most copies first: (keys, cids, copies, group starts)."""
-    order = np.lexsort((cids, -copies, keys))
-    keys, cids, copies = keys[order], cids[order], copies[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
-    return keys, cids, copies, starts
 
+def _keyed(best: bool):
+    """Of a batch of classes, by key: the class with most copies (best), or the others with that one as their centre."""
 
-def _members(keys, cids, starts) -> pa.RecordBatch | None:
-    sizes = np.diff(np.append(starts, len(keys)))
-    many = np.repeat(sizes > 1, sizes)
-    if not many.any():
-        return None
-    centre = np.repeat(cids[starts], sizes)
-    return pa.record_batch([pa.array(keys[many].view(np.int64)), pa.array(cids[many]), pa.array(centre[many])], names=["key", "cid", "centre"])
-
-
-def _key_blobs(ranges: int):
-    """Per batch of classes: its local groups as members, and one blob for each key range with each key's best class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        count = 0
-
-        def flush():
-            sig = np.concatenate([h[0] for h in held])
-            cid = np.concatenate([h[1] for h in held])
-            copies = np.concatenate([h[2] for h in held])
-            keys = index_keys(sig)
-            width = keys.shape[1]
-            k, c, n, starts = _first_of_groups(keys.reshape(-1), np.repeat(cid, width), np.repeat(copies, width))
-            local = _members(k, c, starts)
-            if local:
-                m = local.num_rows
-                yield pa.record_batch([*local.columns, pa.nulls(m, pa.int32()), *[pa.nulls(m, pa.binary())] * 3], names=_BLOB)
-            k, c, n = k[starts], c[starts], n[starts]
-            cuts = np.searchsorted(k, (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(U)) if ranges > 1 else np.zeros(0, int)
-            for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(k)], strict=True)):
-                if b > a:
-                    local_ids, index = np.unique(c[a:b], return_inverse=True)
-                    at = np.searchsorted(cid[order := np.argsort(cid)], local_ids)
-                    table = np.stack([local_ids, copies[order][at]]).astype("<i8")
-                    small = "<u2" if len(local_ids) < 65536 else "<u4"
-                    yield pa.record_batch(
-                        [
-                            *[pa.nulls(1, pa.int64())] * 3, pa.array([r], pa.int32()), pa.array([k[a:b].tobytes()], pa.binary()),
-                            pa.array([index.astype(small).tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary()),
-                        ],
-                        names=_BLOB,
-                    )
-
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, POSITIONS)
-            held.append((sig, batch.column(0).to_numpy(), batch.column(2).to_numpy()))
-            count += len(sig)
-            if count >= TASK_CLASSES:
-                yield from flush()
-                held, count = [], 0
-        if count:
-            yield from flush()
+    def run(table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, POSITIONS)
+        keys = index_keys(sig)
+        width = keys.shape[1]
+        keys, cid = keys.reshape(-1), np.repeat(table.column("cid").to_numpy(), width)
+        copies = np.repeat(table.column("copies").to_numpy(), width)
+        order = np.lexsort((cid, -copies, keys))
+        keys, cid, copies = keys[order], cid[order], copies[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        if best:
+            return pa.table({"key": pa.array(keys[first].view(np.int64)), "cid": pa.array(cid[first]), "copies": pa.array(copies[first])})
+        centre = cid[first][np.cumsum(first) - 1]
+        other = ~first & (cid != centre)
+        return pa.table({"key": pa.array(keys[other].view(np.int64)), "cid": pa.array(cid[other]), "centre": pa.array(centre[other])})
 
     return run
 
 
-_BLOB = ["key", "cid", "centre", "range", "keys", "index", "classes"]
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """One key range: the groups among the best classes of all batches."""
-    keys, cids, copies = [], [], []
-    for k, i, t in zip(*(table.column(c).to_pylist() for c in ("keys", "index", "classes")), strict=True):
-        k = np.frombuffer(k, U)
-        both = np.frombuffer(t, "<i8").reshape(2, -1)
-        index = np.frombuffer(i, "<u2" if both.shape[1] < 65536 else "<u4")
-        keys.append(k)
-        cids.append(both[0][index])
-        copies.append(both[1][index])
-    k, c, _, starts = _first_of_groups(np.concatenate(keys), np.concatenate(cids), np.concatenate(copies))
-    found = _members(k, c, starts)
-    schema = pa.schema([("key", pa.int64()), ("cid", pa.int64()), ("centre", pa.int64())])
-    return pa.Table.from_batches([found] if found else [], schema)
-
-
 def _with_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -309,26 +258,27 @@ def _pair(a: str, b: str) -> list:
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE) -> DataFrame | None:
-    """(node, component) over the classes that have a link; classes has (cid, rep, copies, sig), docs (doc_id, text) of every class's rep."""
-    ranges = max(1, classes.count() * sum(1 for c in _chunks() for _ in combinations(c, ERRORS)) // RANGE_KEYS)
-    blobs = classes.select("cid", "sig", "copies").mapInArrow(_key_blobs(ranges), f"{_MEMBER}, range int, keys binary, index binary, classes binary")
-    blobs = scratch.cut(blobs, "keys")
-    met = blobs.where("range is not null").select("range", "keys", "index", "classes").groupBy("range").applyInArrow(_meet, _MEMBER)
-    met = scratch.cut(met.where("cid <> centre"), "met")
+    """(node, component) over the classes that have a link; classes has (cid, doc_id, th, copies, sig), docs (doc_id, th, text) of every class's row."""
+    batches = max(1, -(-classes.count() // TASK_CLASSES))
+    dealt = classes.select("cid", "sig", "copies", F.pmod(F.xxhash64("cid"), F.lit(batches)).alias("batch")).groupBy("batch")
+    first_of_key = F.first("cid").over(Window.partitionBy("key").orderBy(F.desc("copies"), "cid"))
+    met = dealt.applyInArrow(_keyed(True), _BEST).withColumn("centre", first_of_key)
+    met = scratch.cut(met.where("cid <> centre").select("key", "cid", "centre"), "met")
     # a member's centre is that of its key over all batches, so members of different batches fall into one group
-    local = blobs.where("range is null and cid <> centre").select("key", "cid", "centre")
+    local = dealt.applyInArrow(_keyed(False), _MEMBER)
     top = met.select(F.col("key").alias("k"), F.col("cid").alias("c"), F.col("centre").alias("top"))
     local = local.join(top, (F.col("key") == F.col("k")) & (F.col("centre") == F.col("c")), "left").select("cid", F.coalesce("top", "centre").alias("centre"))
     stars = local.union(met.select("cid", "centre")).groupBy("cid", "centre").agg(F.count(F.lit(1)).alias("shared"))
     stars = scratch.cut(stars, "stars")
-    scratch.drop(blobs)
     scratch.drop(met)
     if stars.isEmpty():
         return None
     involved = stars.select("cid").union(stars.select("centre")).distinct()
-    reps = classes.join(involved, "cid").select("cid", F.col("rep").alias("doc_id"))
-    texts = docs.join(reps, "doc_id").select("cid", "text")
-    sets = scratch.cut(texts.mapInArrow(_with_sets(shingle), "cid long, items binary"), "sets")
+    reps = classes.join(involved, "cid").select("cid", F.col("doc_id").alias("rep"), F.col("th").alias("rep_th"))
+    texts = docs.join(reps, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
+    # equal rows give a class's set more than once
+    sets = texts.mapInArrow(_with_sets(shingle), "cid long, items binary").groupBy("cid").agg(F.first("items").alias("items"))
+    sets = scratch.cut(sets, "sets")
     linker = _Linker(sets, scratch)
     # each member against the centre it shares most keys with
     first = stars.groupBy("cid").agg(F.max(F.struct("shared", "centre")).alias("b")).select("cid", F.col("b.centre").alias("centre"))
@@ -368,22 +318,31 @@ def _outside_links(outside: DataFrame, linker: _Linker, scratch: Scratch) -> Dat
     return blocks.union(linker.confirmed(lone))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n_shingles, cid, tag) and classes (cid, tag, node, component, doc_id, th); doc_id and th of a class are its smallest row's."""
+    text = F.col(text_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    signed = scratch.cut(own.mapInArrow(_signed(shingle), f"doc_id {kind}, th long, n_shingles long, cid long, tag long, sig binary"), "signed")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = signed.where("cid is not null").groupBy("cid", "tag").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    # numbers are given once, as the table is written
+    classes = scratch.cut(classes.select(F.monotonically_increasing_id().alias("node"), "cid", "tag", "row.doc_id", "row.th", "copies", "sig"), "classes")
+    found = link_classes(classes.select(F.col("node").alias("cid"), "doc_id", "th", "copies", "sig"), own, scratch, shingle)
+    named = classes.select("cid", "tag", "node", "doc_id", "th")
+    if found is None:
+        return signed.drop("sig"), named.withColumn("component", F.col("node"))
+    found = found.withColumnRenamed("node", "linked")
+    return signed.drop("sig"), named.join(found, F.col("node") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "node")).drop("linked")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document; shingle is the number of words in one."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.cut(own.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, cid long, sig binary"), "signed")
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    classes = scratch.cut(classes, "classes")
-    found = link_classes(classes.where("rep is not null"), own, scratch, shingle)
-    named = classes.select("cid", "rep")
-    if found is None:
-        named = named.withColumn("component_id", F.col("rep"))
-    else:
-        in_group = named.join(found, named["cid"] == found["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
-        low = in_group.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("component_id"))
-        named = in_group.join(low, F.col("component") == F.col("c")).select("cid", "component_id")
-    out = signed.drop("sig").join(named.select("cid", "component_id"), "cid", "left")
+    signed, classes = _grouped(docs, id_col, text_col, shingle, scratch)
+    low = classes.groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(low, F.col("component") == F.col("c")).select(F.col("cid").alias("k"), F.col("tag").alias("t"), "component_id")
+    out = signed.join(named, (F.col("cid") == F.col("k")) & (F.col("tag") == F.col("t")), "left")
     out = out.withColumn("component_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -393,6 +352,23 @@ def op8_multi_index_minhash(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One document of each group, with the columns it came with."""
-    gone = near_duplicates(docs, id_col, text_col, shingle).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of each group, that with the smallest id, with the columns it came with."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    signed, classes = _grouped(docs, id_col, text_col, shingle, scratch)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "node")
+    first = classes.groupBy(F.col("component").alias("c")).agg(F.min(row).alias("first"))
+    named = classes.join(first, F.col("component") == F.col("c")).select(F.col("cid").alias("k"), F.col("tag").alias("t"), "node", "first")
+    judged = signed.join(named, (F.col("cid") == F.col("k")) & (F.col("tag") == F.col("t"))).withColumn(
+        "stays", (F.col("node") == F.col("first.node")) & (F.col("th") == F.col("first.th")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    )
+    # rows of one id and text share a verdict: gone, or one of them stays
+    rows = judged.groupBy("doc_id", "th").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    rows = scratch.cut(rows.select(F.col("doc_id").alias("i"), F.col("th").alias("h"), "stays"), "rows")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"))
+    same = (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))
+    kept = whole.join(rows, same, "left_anti").select("row.*")
+    again = rows.where("stays")
+    if again.isEmpty():
+        return kept
+    one = whole.join(again, same, "left_semi").groupBy("doc_id", "th").agg(F.first("row").alias("row"))
+    return kept.union(one.select("row.*"))

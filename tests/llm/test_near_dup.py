@@ -59,7 +59,6 @@ def test_against_brute_force(spark):
 def test_hot_group_with_members_outside_the_centre(spark, monkeypatch):
     """A chain in which no member is similar to all others, in small tasks, ranges and blocks."""
     monkeypatch.setattr(N, "TASK_CLASSES", 7)
-    monkeypatch.setattr(N, "RANGE_KEYS", 500)
     monkeypatch.setattr(N, "BLOCK_BYTES", 3000)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
@@ -81,6 +80,43 @@ def test_empty_repeated_and_null_ids(spark):
     assert got == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "3", True), ("3", "3", True), ("None", "1", False)]
 
 
+def components(spark, rows, kind="long"):
+    return {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()}
+
+
+def test_a_middle_text_links_two_that_are_not_similar(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words[55:])), (2, " ".join(words)), (3, " ".join(words[:-55]))]
+    assert {c for c, _ in components(spark, rows).values()} == {1}
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        own = [f"t{k}x{i}" for i in range(rng.randrange(60, 400))]
+        a, b = (rng.randrange(0, len(own) // 4) for _ in "ab")
+        rows += [" ".join(own), " ".join(own[a:]), " ".join(own[: len(own) - b])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_null_ids_link_others_and_strings_are_ids(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words[55:])), (None, " ".join(words)), (3, " ".join(words[:-55]))]
+    assert {c for c, _ in components(spark, rows).values()} == {1}
+    rows = [("b", " ".join(words[55:])), ("a", " ".join(words)), (None, "x"), (None, "X"), ("c", "y y")]
+    assert components(spark, rows, "string") == {("b", 244): ("a", False), ("a", 299): ("a", True), (None, 1): (None, True), ("c", 1): ("c", True)}
+
+
+def test_rows_are_dropped_and_not_ids(spark):
+    one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    kept = lambda rows: sorted(map(tuple, N.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, th int")).collect()), key=str)
+    assert kept([(5, one, 1), (3, two, 2), (5, two, 3)]) == [(3, two, 2), (5, one, 1)]
+    assert kept([(5, one, 1), (5, one, 1), (5, one.upper(), 1), (None, one, 1), (None, "", 2), (None, "", 2)]) in ([(5, one, 1), (None, "", 2), (None, "", 2)], [(5, one.upper(), 1), (None, "", 2), (None, "", 2)])
+    # of groups without any id one row stays too
+    assert len(kept([(None, one, 1), (None, one + " end", 2), (None, one, 1)])) == 1
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -105,17 +141,15 @@ def _linked(spark, monkeypatch, texts, keys, copies, batch):
     table = np.array([[*k, *(1000 + 100 * i + j for j in range(width - len(k)))] for i, k in enumerate(keys)], np.uint64)
     monkeypatch.setattr(N, "TASK_CLASSES", batch)
     monkeypatch.setattr(N, "index_keys", lambda signatures: table[signatures[:, 0]])
-    rows = [(10 + i, i, n, bytearray(np.full(N.POSITIONS, i, "<u2").tobytes())) for i, n in enumerate(copies)]
-    classes = spark.createDataFrame(rows, "cid long, rep long, copies long, sig binary").coalesce(1)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(10 + i, i, 20 + i, n, bytearray(np.full(N.POSITIONS, i, "<u2").tobytes())) for i, n in enumerate(copies)]
+    classes = spark.createDataFrame(rows, "cid long, doc_id long, th long, copies long, sig binary")
+    docs = spark.createDataFrame([(i, 20 + i, t) for i, t in enumerate(texts)], "doc_id long, th long, text string")
     # by value: the workers are to see what was set here
     cloudpickle.register_pickle_by_value(N)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     try:
         found = N.link_classes(classes, docs, N.Scratch(spark, "test"))
         return {r.node - 10: r.component - 10 for r in found.collect()}
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         cloudpickle.unregister_pickle_by_value(N)
 
 
