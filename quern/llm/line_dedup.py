@@ -353,9 +353,11 @@ def op7_segment_edit_join(docs: DataFrame) -> DataFrame:
     degree = summed.where("b is null").groupBy("a").agg(F.sum("n").alias("n_links"))
     named = scratch.cut(groups.join(degree, F.col("node") == F.col("a")).select("node", "component", "n_links"), "groups")
     own = members.groupBy("line_id").agg(F.min("doc_id").alias("first_doc_id"), F.sum("n_rows").alias("line_rows"), F.max("n_chars").alias("n_chars"))
-    classes = scratch.cut(own, "classes").join(named, F.col("line_id") == F.col("node"), "left")
-    sums = classes.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("first_doc_id").alias("component_doc_id"), F.sum("line_rows").alias("component_rows"))
-    found = classes.join(sums, F.col("component") == F.col("c"), "left").select(
+    classes = scratch.cut(own, "classes")
+    linked = classes.join(named, F.col("line_id") == F.col("node"))
+    sums = linked.groupBy(F.col("component").alias("c")).agg(F.min("first_doc_id").alias("component_doc_id"), F.sum("line_rows").alias("component_rows"))
+    named = named.join(sums, F.col("component") == F.col("c"))
+    found = classes.join(named, F.col("line_id") == F.col("node"), "left").select(
         "line_id",
         "first_doc_id",
         "line_rows",
