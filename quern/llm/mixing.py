@@ -7,9 +7,10 @@ Newton steps on the dual run as aggregates per source, all sources at once, kept
 step's whole input at a fraction of its size.
 
 Rates become copies on the histogram: cumulative rounding along the sizes, then greedy passes that spend
-what a source is short of, or over, on its largest size that fits. Inside a cell of equal sizes the
-documents with the lowest hash get the odd copy, up to a cut; bucket counts find the cut, so no cell is sorted
-as one, and texts are shuffled once, by cell, to meet their decision.
+what a source is short of, or over, on its largest size that fits, until no move comes nearer. Inside a cell of equal sizes the
+documents with the lowest hash of their id get the odd copy, up to a cut; rows of equal hash are told apart by the
+number they get when they are first written. Counts by bucket, hash and part of the table find the cut, so no cell
+is sorted as one, and texts are shuffled once, by cell, to meet their decision. Steps that do not converge raise.
 
 Words are runs of anything but ASCII white space. Sources are ordered by code point, null last, and weigh
 5, 2, 1, repeating.
@@ -28,12 +29,13 @@ from quern.sources.scratch import Scratch
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-STEPS = 40
+#: Newton steps and rounding passes that are enough by far; more raise an error.
+STEPS = 60
+ROUNDING_PASSES = 60
 #: A source counts as met when it is off by less than this share of its target.
 NEAR = 1e-9
 #: Documents in one ranking bucket.
 BUCKET_ROWS = 4096
-ROUNDING_PASSES = 8
 
 
 def n_words(text: Column) -> Column:
@@ -111,8 +113,8 @@ def balance(hist: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
         state = nxt.drop("met")
         state._scratch_path = nxt._scratch_path  # noqa: SLF001
         if not open_:
-            break
-    return state
+            return state
+    raise RuntimeError(f"rates did not converge in {STEPS} steps")
 
 
 def round_copies(hist: DataFrame, dual: DataFrame, scratch: Scratch) -> DataFrame:
@@ -139,20 +141,20 @@ def round_copies(hist: DataFrame, dual: DataFrame, scratch: Scratch) -> DataFram
         best = could.groupBy(F.col("source").alias("s")).agg(F.min(F.struct("left", (-F.col("size")).alias("neg"), (F.signum("short") * F.col("moves")).cast("long").alias("change"))).alias("b"))
         best = scratch.cut(best.select("s", (-F.col("b.neg")).alias("at"), F.col("b.change").alias("change")), "moves")
         if not best.limit(1).count():
-            break
+            return cells.select("source", "size", "n", "copies")
         moved = cells.join(best, _same("source", "s") & (F.col("size") == F.col("at")), "left").select(
             "source", "size", "n", "target", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")
         )
         moved = scratch.cut(moved, "copies")
         scratch.drop(cells)
         cells = moved
-    return cells.select("source", "size", "n", "copies")
+    raise RuntimeError(f"copies did not settle in {ROUNDING_PASSES} passes")
 
 
 def copy_table(sizes: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row per (source, size) of a (doc_id, source, size) table: source_size, target, each, cut_bucket, cut_h and buckets.
+    """One row per (source, size) of a (doc_id, source, size, rid) table: source_size, target, each, cut_bucket, cut_h, cut_rid and buckets.
 
-    A document takes `each` copies, and one more if its (bucket, hash) lies at or below the cell's cut.
+    A document takes `each` copies, and one more if its (bucket, hash, rid) lies at or below the cell's cut.
     """
     hist = scratch.cut(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "hist")
     per_source = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
@@ -167,18 +169,34 @@ def copy_table(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     each = F.floor(F.coalesce("copies", F.lit(0)) / F.col("n0"))
     cells = cells.select("s0", "z0", "source_size", "target", each.alias("each"), (F.coalesce("copies", F.lit(0)) - each * F.col("n0")).alias("extra"))
     cells = scratch.cut(cells, "cells")
-    # where the odd copies of a cell end: counts per bucket find the bucket, ranks inside it the document
-    odd = cells.where("extra > 0").select("s0", "z0", "extra")
-    at = sizes.select("source", "size", _hash("doc_id").alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    counts = at.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("here"))
-    upto = F.sum("here").over(Window.partitionBy("source", "size").orderBy("bucket"))
-    last = counts.withColumn("upto", upto).join(odd, _same("source", "s0") & (F.col("size") == F.col("z0")))
-    last = last.where("upto >= extra and upto - here < extra").select("s0", "z0", F.col("bucket").alias("b0"), (F.col("extra") - F.col("upto") + F.col("here")).alias("rank0"))
-    inside = at.join(last, _same("source", "s0") & (F.col("size") == F.col("z0")) & (F.col("bucket") == F.col("b0")))
-    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("s0", "z0", "b0").orderBy("h")))
-    cuts = ranked.where("rank = rank0").select(F.col("s0").alias("s3"), F.col("z0").alias("z3"), F.col("b0").alias("cut_bucket"), F.col("h").alias("cut_h"))
+    # where the odd copies of a cell end: the bucket, the hash in it, the part of the table and the row in that
+    odd = cells.where("extra > 0").select("s0", "z0", F.col("extra").alias("need"))
+    at = sizes.select("source", "size", "rid", _hash("doc_id").alias("h")).withColumns({"bucket": F.pmod("h", F.lit(buckets)), "part": F.shiftright("rid", 33)})
+    cuts = odd
+    for level in ("bucket", "h", "part"):
+        inside = at.join(cuts, _same("source", "s0") & (F.col("size") == F.col("z0")) & _within(level))
+        counts = inside.groupBy("s0", "z0", *_KEPT[level], "need", level).agg(F.count(F.lit(1)).alias("here"))
+        upto = F.sum("here").over(Window.partitionBy("s0", "z0").orderBy(level))
+        last = counts.withColumn("upto", upto).where("upto >= need and upto - here < need")
+        last = last.select("s0", "z0", *_KEPT[level], F.col(level).alias(f"cut_{level}"), (F.col("need") - F.col("upto") + F.col("here")).alias("need"))
+        cuts = scratch.cut(last, f"cut-{level}")
+    inside = at.join(cuts, _same("source", "s0") & (F.col("size") == F.col("z0")) & _within("rid"))
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("s0", "z0").orderBy("rid")))
+    cuts = ranked.where("rank = need").select(F.col("s0").alias("s3"), F.col("z0").alias("z3"), "cut_bucket", "cut_h", F.col("rid").alias("cut_rid"))
     found = cells.join(cuts, _same("s0", "s3") & (F.col("z0") == F.col("z3")), "left")
-    return scratch.cut(found.select("s0", "z0", "source_size", "target", "each", "cut_bucket", "cut_h", F.lit(buckets).alias("buckets")), "table")
+    return scratch.cut(found.select("s0", "z0", "source_size", "target", "each", "cut_bucket", "cut_h", "cut_rid", F.lit(buckets).alias("buckets")), "table")
+
+
+#: Of the levels that lead to a cut, those above each.
+_KEPT = {"bucket": [], "h": ["cut_bucket"], "part": ["cut_bucket", "cut_h"], "rid": ["cut_bucket", "cut_h", "cut_part"]}
+
+
+def _within(level: str) -> Column:
+    """Rows that the levels above have not told apart from the cut."""
+    found = F.lit(True)
+    for name in _KEPT[level]:
+        found = found & (F.col(name[len("cut_") :]) == F.col(name))
+    return found
 
 
 def _hash(column: str) -> Column:
@@ -188,13 +206,13 @@ def _hash(column: str) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, copies), one row per document; `keep` adds the document's own row as a struct named `row`."""
     scratch = Scratch(docs.sparkSession, "mix")
-    wanted = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")]
-    sizes = scratch.cut(docs.select(*wanted), "sizes")
-    table = copy_table(sizes, scratch)
-    rows = docs.select(F.struct("*").alias("row"), *wanted) if keep else sizes
+    wanted = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("rid")]
+    rows = scratch.cut(docs.select(*([F.struct("*").alias("row")] if keep else []), *wanted), "rows", compression="zstd" if keep else "snappy")
+    table = copy_table(rows.select("doc_id", "source", "size", "rid"), scratch)
     full = rows.withColumn("h", _hash("doc_id")).join(table, _same("source", "s0") & (F.col("size") == F.col("z0")))
     bucket = F.pmod("h", "buckets")
-    more = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (F.col("h") <= F.col("cut_h")))
+    tied = (F.col("h") == F.col("cut_h")) & (F.col("rid") <= F.col("cut_rid"))
+    more = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & ((F.col("h") < F.col("cut_h")) | tied))
     copies = F.col("each") + F.when(more, 1).otherwise(0)
     return full.select(*(["row"] if keep else []), "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"))
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -140,6 +141,51 @@ def test_mixing(spark):
     assert X.op3_entropy_balance(df.limit(0)).count() == 0
 
 
+def test_rates_are_the_entropy_solution(spark):
+    """The dual's rates are min(3, exp(lambda * size)) with one lambda a source, found here by bisection, and copies follow them."""
+    from quern.sources.scratch import Scratch
+
+    cells = {"a": {3: 40, 10: 30, 50: 8, 400: 1}, "b": {1: 100, 7: 60, 90: 5}}
+    targets = {"a": 700.0, "b": 1500.0}
+    hist = spark.createDataFrame([(s, z, n) for s, c in cells.items() for z, n in c.items()], "source string, size long, n long")
+    want = spark.createDataFrame([(s, 0, t) for s, t in targets.items()], "source string, source_size long, target double")
+    dual = X.balance(hist, want, Scratch(spark, "test"))
+    for r in dual.collect():
+        own = cells[r.source]
+        words = lambda lam: sum(min(3.0, math.exp(min(5.0, lam * z))) * z * n for z, n in own.items())  # noqa: B023, E731
+        low, high = -10.0, 10.0
+        for _ in range(200):
+            low, high = (low, (low + high) / 2) if words((low + high) / 2) > targets[r.source] else ((low + high) / 2, high)
+        assert r.lam / r.scale == pytest.approx(low, rel=1e-4, abs=1e-6)  # within 0.01 words of the target
+    # whole copies: close to the rates, in a cell and along the sizes, but for the last moves towards the target
+    for r in X.round_copies(hist, dual, Scratch(spark, "test")).collect():
+        lam = next(d for d in dual.collect() if d.source == r.source)
+        rate = min(3.0, math.exp(lam.lam / lam.scale * r.size))
+        assert 0 <= r.copies <= 3 * r.n and abs(r.copies - rate * r.n) <= 12
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(None, "one two three", "a")] * 401 + [(7, "one two three", "a")] * 200 + [(i, "w " * (i % 9 + 1), "b") for i in range(100, 300)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken, target = defaultdict(int), {}
+    got = X.op3_entropy_balance(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    for k, v in target.items():
+        assert abs(taken[k] - v) <= 5, (k, taken[k], v)
+    assert X.mixed_documents(df).count() == sum(r.copies for r in got)
+
+
+def test_steps_that_do_not_converge_raise(spark, monkeypatch):
+    df, _ = docs_for(spark)
+    monkeypatch.setattr(X, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="converge"):
+        X.op3_entropy_balance(df).collect()
+
+
 def test_sharding(spark):
     df, rows = docs_for(spark)
     got = S.op9_sampled_splitters(df).collect()
