@@ -7,8 +7,11 @@ the index: the token's place in the window gives the one start that can match (p
 that would not fit between the ends of the text is passed over (length bound), and the words at that
 start are compared exactly. Hits are the words inside matched windows.
 
-The benchmark is handled in blocks of bounded size, each shipped to the executors; the documents stream
-through one mapper per block without a shuffle, so a benchmark of any size takes the same path.
+Windows, their words, the words' counts over all documents and the prefix tokens are tables; nothing that grows with
+the benchmark or the documents reaches the driver. The documents stream twice through tasks that hold two
+filters of fixed size: one for (prefix token, place, length), one for whole windows. What passes both is joined
+with the window table on the window's words themselves, so the join is exact whatever the filters let through;
+a benchmark of any size takes the same path. Documents of one text are joined once.
 
 Words are runs of ASCII letters and digits and any non-ASCII characters, after A-Z are lower-cased.
 
@@ -20,16 +23,21 @@ columns of either table are not read, or pass through `drop_contaminated` whatev
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.bits import BITS, collect_bits
+from quern.sources.scratch import Scratch
+
 WINDOW = 10
-#: Bytes of benchmark text that one mapper holds; longer benchmarks take several mappers in a row.
-BLOCK_BYTES = 16 << 20
+#: Distinct words that a task counts, or remembers the filter's answer for, at a time.
+TASK_WORDS = 200_000
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -44,79 +52,142 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> set[tuple[bytes, ...
     return {tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> list[list[tuple]]:
-    """The benchmark as lists of (item_id, text bytes), each of at most `block_bytes` or one item."""
-    rows = items.select(F.col(id_col).alias("i"), F.encode(text_col, "UTF-8").alias("t")).where("i is not null and octet_length(t) > 0")
-    blocks, size = [[]], 0
-    for i, t in rows.orderBy("i").toLocalIterator(prefetchPartitions=True):
-        if blocks[-1] and size + len(t) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, bytes(t)))
-        size += len(t)
-    return blocks
+def _windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = windows_of(words_of(text.as_buffer().to_pybytes()), window)
+                if found:
+                    joined = pa.array([b" ".join(w).decode("utf-8", "replace") for w in found], pa.string())
+                    yield pa.record_batch([pa.array([item.as_py()] * len(found), batch.schema.field(0).type), joined], names=["item", "win"])
+
+    return run
+
+
+def _hash(word: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed)
+
+
+def _seed(place: int, size: int) -> int:
+    """Of a prefix token's hash; 0 stands for a word alone, 1 for a window."""
+    return (size << 16) + place + 2
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, seed) to its hash."""
+    for batch in batches:
+        hashes = [_hash(w.encode(), s) for w, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.record_batch([pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["h"])
+
+
+def _filter(words: DataFrame, bits: int) -> bytes:
+    return collect_bits(words.mapInArrow(_hashed, "h long"), "h", bits).tobytes()
+
+
+def _may(table: bytes, word: bytes, seed: int) -> int:
+    h = _hash(word, seed) & (len(table) * 8 - 1)
+    return table[h >> 3] >> (h & 7) & 1
+
 
+def _counts(table: bytes):
+    """How often a task's texts hold each word that the filter lets through."""
 
-def word_counts(docs: DataFrame, text_col: str, wanted: set[bytes]) -> dict[bytes, int]:
-    """How often each of the benchmark's words occurs in all documents (at most one row per wanted word and task)."""
+    def made(found: dict[bytes, int]) -> pa.RecordBatch:
+        some = [(w.decode("utf-8", "replace"), n) for w, n in found.items() if _may(table, w, 0)]
+        return pa.record_batch([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[bytes, int] = defaultdict(int)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                for w in words_of(text.as_buffer().to_pybytes() if text.is_valid else None):
-                    if w in wanted:
-                        found[w] += 1
-        yield pa.record_batch([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["w", "n"])
-
-    counted = docs.select(F.encode(text_col, "UTF-8").alias("t")).mapInArrow(count, "w binary, n long")
-    return {bytes(w): n for w, n in counted.groupBy("w").agg(F.sum("n")).collect()}
-
-
-class Index:
-    """The windows of one block of items by prefix token."""
-
-    def __init__(self, block: list[tuple], counts: dict[bytes, int], window: int = WINDOW) -> None:
-        #: prefix token -> {(place in the window, words in the window)}
-        self.probes: dict[bytes, list[tuple[int, int]]] = {}
-        #: window -> numbers of the items that hold it
-        self.windows: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
-        self.items = [i for i, _ in block]
-        for number, (_, text) in enumerate(block):
-            for win in windows_of(words_of(text), window):
-                self.windows[win].append(number)
-        places = defaultdict(set)
-        for win in self.windows:
-            place = min(range(len(win)), key=lambda k: (counts.get(win[k], 0), win[k], k))
-            places[win[place]].add((place, len(win)))
-        self.probes = {w: sorted(p) for w, p in places.items()}
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
-        """Matched (start, end) in order of start, and the numbers of the items found."""
-        probes, windows, n = self.probes, self.windows, len(words)
-        spans, found = set(), set()
-        for i in [i for i, w in enumerate(words) if w in probes]:
-            for place, size in probes[words[i]]:
-                start = i - place
-                if start >= 0 and start + size <= n:
-                    items = windows.get(tuple(words[start : start + size]))
-                    if items:
-                        spans.add((start, start + size))
-                        found.update(items)
-        return sorted(spans), found
-
-
-def _merged(spans: list) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(map(tuple, spans)):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+                if text.is_valid:
+                    found.update(words_of(text.as_buffer().to_pybytes()))
+                    if len(found) > TASK_WORDS:
+                        yield made(found)
+                        found.clear()
+        yield made(found)
+
+    return run
+
+
+_PLACE = pa.struct([("start", pa.int32()), ("win", pa.string())])
+
+
+def _probe(tokens: bytes, windows: bytes, kinds: list[tuple[int, int]]):
+    """(kept columns, text) to (kept columns, n_words, places): where windows of the benchmark may start, and their words there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple] = {}
+        for batch in batches:
+            sizes, places = [], []
+            for text in batch.column(batch.num_columns - 1):
+                words = words_of(text.as_buffer().to_pybytes() if text.is_valid else None)
+                found, n = {}, len(words)
+                for i, w in enumerate(words):
+                    own = known.get(w)
+                    if own is None:
+                        if len(known) >= TASK_WORDS:
+                            known.clear()
+                        own = known[w] = tuple((p, s) for p, s in kinds if _may(tokens, w, _seed(p, s)))
+                    for place, size in own:
+                        start = i - place
+                        if start >= 0 and start + size <= n and (start, size) not in found:
+                            win = b" ".join(words[start : start + size])
+                            found[start, size] = win if _may(windows, win, 1) else None
+                sizes.append(n)
+                places.append([{"start": a, "win": win.decode("utf-8", "replace")} for (a, _), win in found.items() if win is not None])
+            names = [*batch.schema.names[:-1], "n_words", "places"]
+            yield pa.record_batch([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(places, pa.list_(_PLACE))], names=names)
+
+    return run
+
+
+def _text_id(text_col: str) -> Column:
+    return F.md5(F.col(text_col))
+
+
+def _marked(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, keep: list[Column], window: int, bits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Documents (kept columns, text_id, n_words) and hits (text_id, spans, item_ids) of the texts that have any."""
+    kind = items.schema[item_col].dataType.simpleString()
+    full = items.select(F.col(item_col).alias("item"), F.encode(item_text_col, "UTF-8").alias("t")).where("item is not null and t is not null")
+    held = scratch.cut(full.mapInArrow(_windows(window), f"item {kind}, win string").distinct(), "windows")
+    # the prefix of each window: its rarest word over all documents
+    words = held.select("win").distinct().select("win", F.posexplode(F.split("win", " ")).alias("place", "word"))
+    vocabulary = _filter(words.select("word", F.lit(0)).distinct(), bits)
+    counted = docs.select(F.encode(text_col, "UTF-8").alias("t")).mapInArrow(_counts(vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rated = words.join(counted, "word", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("p"), F.count(F.lit(1)).alias("size"))
+    prefixes = scratch.cut(rated.select("win", F.col("p.word").alias("word"), F.col("p.place").alias("place"), F.col("size").cast("int").alias("size")), "prefixes")
+    # at most window * (window + 1) / 2 rows
+    kinds = sorted(tuple(r) for r in prefixes.select("place", "size").distinct().collect())
+    tokens = _filter(prefixes.select("word", F.shiftleft("size", 16) + F.col("place") + 2).distinct(), bits)
+    windows = _filter(prefixes.select("win", F.lit(1)), bits)
+    wanted = docs.select(*keep, _text_id(text_col).alias("text_id"), F.encode(text_col, "UTF-8").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
+    marks = wanted.mapInArrow(_probe(tokens, windows, kinds), f"{schema}, n_words long, places array<struct<start: int, win: string>>")
+    marks = scratch.cut(marks, "marks", compression="zstd")
+    places = marks.where("size(places) > 0").select("text_id", F.explode("places").alias("p")).select("text_id", "p.start", "p.win").distinct()
+    met = places.join(held, "win").select("text_id", "item", "start", (F.col("start") + F.size(F.split("win", " "))).alias("stop"))
+    hits = met.groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("item_ids"))
+    ids = hits.schema["item_ids"].dataType.simpleString()
+    hits = scratch.cut(hits.mapInArrow(_with_merged, f"text_id string, spans array<struct<start: int, stop: int>>, item_ids {ids}"), "hits")
+    return marks.drop("places"), hits
+
+
+def _merged(spans: list[dict]) -> list[dict]:
+    """Sorted spans, those that touch as one."""
+    out: list[dict] = []
+    for s in spans:
+        if out and s["start"] <= out[-1]["stop"]:
+            out[-1]["stop"] = max(out[-1]["stop"], s["stop"])
         else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+            out.append(dict(s))
+    return out
 
 
-_KIND = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+def _with_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = pa.array([_merged(v) for v in batch.column(1).to_pylist()], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
+        yield pa.record_batch([batch.column(0), spans, batch.column(2)], names=batch.schema.names)
 
 
 def mark_passages(
@@ -127,49 +198,13 @@ def mark_passages(
     item_text_col: str = "text",
     keep: tuple[str, ...] = ("doc_id",),
     window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
-    row: bool = False,
+    bits: int = BITS,
 ) -> DataFrame:
-    """Per document: the columns in `keep` (under those names), n_words, spans (merged word ranges that are hit) and item_ids.
-
-    `row` keeps the whole document as a struct named `row` instead.
-    """
-    blocks = blocks_of(items, item_col, item_text_col, block_bytes)
-    wanted = {w for block in blocks for _, text in block for w in words_of(text)}
-    counts = word_counts(docs, text_col, wanted) if wanted else {}
-    kept = [F.struct("*").alias("row")] if row else [F.col(c) for c in keep]
-    out = docs.select(
-        *kept,
-        F.encode(text_col, "UTF-8").alias("__text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<struct<start: int, stop: int>>)").alias("spans"),
-        F.expr(f"cast(array() as array<{items.schema[item_col].dataType.simpleString()}>)").alias("item_ids"),
-    )
-    for block in blocks:
-        out = out.mapInArrow(_marker(Index(block, counts, window)), out.schema)
-    return out.drop("__text")
-
-
-def _marker(index: Index):
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {name: k for k, name in enumerate(batch.schema.names)}
-            sizes, spans, ids = [], [], []
-            before = batch.column(at["spans"]), batch.column(at["item_ids"])
-            for k, text in enumerate(batch.column(at["__text"])):
-                words = words_of(text.as_buffer().to_pybytes() if text.is_valid else None)
-                new, found = index.find(words)
-                sizes.append(len(words))
-                old = [(s["start"], s["stop"]) for s in before[0][k].as_py()]
-                spans.append([{"start": a, "stop": b} for a, b in _merged(old + new)])
-                ids.append(sorted({*before[1][k].as_py(), *(index.items[i] for i in found)}))
-            columns = list(batch.columns)
-            columns[at["n_words"]] = pa.array(sizes, pa.int64())
-            columns[at["spans"]] = pa.array(spans, pa.list_(_KIND))
-            columns[at["item_ids"]] = pa.array(ids, batch.schema.field(at["item_ids"]).type)
-            yield pa.record_batch(columns, names=batch.schema.names)
-
-    return mark
+    """Per document: the columns in `keep` (under those names), n_words, spans (merged word ranges that are hit) and item_ids."""
+    marks, hits = _marked(docs, items, text_col, item_col, item_text_col, [F.col(c) for c in keep], window, bits, Scratch(docs.sparkSession, "leaks"))
+    hits = hits.withColumnRenamed("text_id", "hit_id")
+    none = lambda c: F.coalesce(c, F.expr(f"cast(array() as {hits.schema[c].dataType.simpleString()})")).alias(c)
+    return marks.join(hits, F.col("text_id") == F.col("hit_id"), "left").select(*keep, "n_words", none("spans"), none("item_ids"))
 
 
 def op10_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -189,7 +224,9 @@ def op10_decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without a hit, with the columns they came with."""
-    return mark_passages(docs, items, text_col, row=True).where("size(spans) = 0").select("row.*")
+    _, hits = _marked(docs, items, text_col, "item_id", "text", [], WINDOW, BITS, Scratch(docs.sparkSession, "leaks"))
+    whole = docs.select(F.struct("*").alias("row"), _text_id(text_col).alias("text_id"))
+    return whole.join(hits.select(F.col("text_id").alias("hit_id")), F.col("text_id") == F.col("hit_id"), "left_anti").select("row.*")
 
 
 def brute_force(words: list[bytes], items: dict[object, list[bytes]], window: int = WINDOW) -> tuple[set[int], set]:
