@@ -6,13 +6,17 @@ type and length; version 2 adds result code, checksum, location, offset and file
 follows the declared lengths, so payloads may hold anything, and a new version block inside a file (archives
 are often concatenated) switches the fields from there.
 
-Each network record becomes a WARC record with a synthesised identifier (a name-based UUID over url, date
-and digest), an ISO timestamp, a type and SHA-1 digests of block and payload. Records with equal payloads of
+Each network record becomes a WARC record with a synthesised identifier (a name-based UUID over the archive file, the
+record's place in it, url, date and digest, so equal records have their own), an ISO timestamp, a type, the address
+and content type of its header line and SHA-1 digests of block and payload. Version blocks become `warcinfo` records.
+Records with equal payloads of
 at least `least` bytes keep one response, that with the smallest page id; the others become revisits without
 a payload, which refer to it and keep the HTTP head.
 
-Archives are text-sink files whose line separator is the format's record end, compressed with gzip; both
-formats are read with the binary file source and parsed by declared lengths alone.
+In files of both formats each record is a gzip member of its own, so a reader can start at any record. A file is one
+row of the text sink, cut when its members reach FILE_BYTES (or hold one longer record); the sink's line end is a
+zero byte, which gzip takes as padding. Files are read with the binary file source, member by member. Blocks cross
+the one shuffle, the join with the digests, deflated.
 
 Defined results: a null payload is empty; a null or unfit url is written as ``urn:none`` or percent-escaped.
 Rows that repeat a page id are records of their own; if they are the smallest of their payload, all of them
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +44,9 @@ from quern.sources.scratch import Scratch
 ARC_V1 = ("url", "ip", "date", "type", "length")
 ARC_V2 = ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "filename", "length")
 FIELD_LINES = {1: b"URL IP-address Archive-date Content-type Archive-length", 2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
-#: ARC bytes that one row, and so one file segment, holds before the next begins; segments of one file.
-SEGMENT, SEGMENTS = 4 << 20, 8
-WARC_END = "\r\n\r\n"
+#: Bytes of a file after compression, and of blocks that a task hands on at a time.
+FILE_BYTES, SEGMENT = 32 << 20, 4 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
-_GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 # ---- ARC
@@ -65,9 +68,10 @@ def arc_record(url: str | None, date: str, block: bytes, version: int = 1, mime:
     return " ".join([*head, str(len(block))]).encode() + b"\n" + block
 
 
-def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of every network record."""
-    fields, at = ARC_V1, 0
+def parse_arc(raw: bytes, fields: list[tuple] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of every record, version blocks (url ``filedesc:``) included; `fields` holds the names in force and is kept up to date."""
+    fields = [ARC_V1] if fields is None else fields
+    at = 0
     while at < len(raw):
         if raw[at] in b"\r\n":
             at += 1
@@ -80,7 +84,7 @@ def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if is_version:
             names = ARC_V2 if len(values) >= len(ARC_V2) else ARC_V1
         else:
-            names = fields
+            names = fields[0]
         if len(values) < len(names) or not values[-1].isdigit():
             raise ValueError(f"the ARC header line at byte {at} has {len(values)} fields: {values[:3]}")
         # a url may hold blanks: the last fields are fixed in number, what stands before them is the url
@@ -92,9 +96,50 @@ def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"the ARC record at byte {at} declares {size} bytes and has {len(block)}")
         at = end + 1 + size
         if is_version:
-            fields = ARC_V2 if block.split(b" ", 1)[0].strip() == b"2" else ARC_V1
-        else:
-            yield head, block
+            fields[0] = ARC_V2 if block.split(b" ", 1)[0].strip() == b"2" else ARC_V1
+        yield head, block
+
+
+# ---- members
+
+
+def member(record: bytes) -> bytes:
+    made = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return made.compress(record) + made.flush()
+
+
+def members_of(raw) -> Iterator[bytes]:
+    """What each gzip member holds; zero bytes between members or at the end are padding."""
+    at = 0
+    while at < len(raw):
+        if raw[at] == 0:
+            at += 1
+            continue
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(raw):
+                raise ValueError("the last gzip member has no end")
+            chunk = raw[at : at + 65536]
+            parts.append(one.decompress(chunk))
+            at += len(chunk) - len(one.unused_data)
+        yield b"".join(parts)
+
+
+def _file_rows(members: Iterator[bytes], first: bytes = b"") -> Iterator[pa.RecordBatch]:
+    """Members as rows of one file each; `first` opens every file."""
+    held, size = [], 0
+    for one in members:
+        if held and size + len(one) > FILE_BYTES:
+            yield pa.record_batch([pa.array([first + b"".join(held)], pa.binary())], names=["value"])
+            held, size = [], 0
+        held.append(one)
+        size += len(one)
+    if held:
+        yield pa.record_batch([pa.array([first + b"".join(held)], pa.binary())], names=["value"])
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.select(F.col("value").cast("string").alias("value")).write.options(lineSep="\0", maxRecordsPerFile=1).text(path)
 
 
 # ---- conversion
@@ -123,19 +168,28 @@ def http_field(head: bytes, name: bytes) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
-def record_id(url: str, date: str, digest: str, page: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {digest} {page}')}>"
+def record_id(file: str, place: int, url: str, date: str, digest: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{file} {place} {url} {date} {digest}')}>"
 
 
-def warc_record(kind: str, rid: str, url: str, date: str, digest: str, head: bytes, payload: bytes, refers_to: str | None = None) -> bytes:
-    """A whole record without the two line ends that close it."""
+def warc_record(kind: str, rid: str, url: str, date: str, digest: str | None, head: bytes, payload: bytes, refers_to: str | None = None, ip: str = "", mime: str = "") -> bytes:
+    """A whole record with the two line ends that close it."""
     block = head if kind == "revisit" else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {iso_date(date)}", f"WARC-Target-URI: {url}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {iso_date(date)}"]
+    lines.append(f"WARC-Filename: {url.removeprefix('filedesc://')}" if kind == "warcinfo" else f"WARC-Target-URI: {url}")
+    # 0.0.0.0 stands for an address that is not known
+    if re.fullmatch(r"[0-9a-fA-F.:]{3,45}", ip) and ip != "0.0.0.0":
+        lines.append(f"WARC-IP-Address: {ip}")
     if refers_to:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]
-    kind_of = "application/http;msgtype=response" if head else "application/octet-stream"
-    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Type: {kind_of}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
+    typed = mime if re.fullmatch(r"[\w!#$&^.+-]+/[\w!#$&^.+-]+(;.*)?", mime) else ""
+    if head and typed:
+        lines.append(f"WARC-Identified-Payload-Type: {typed}")
+    if digest:
+        lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+    lines += [f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Type: {'application/http;msgtype=response' if head else typed or 'application/octet-stream'}"]
+    lines.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -159,42 +213,29 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # ---- on Spark
 
 
-def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1) -> None:
-    """Pages as an ARC archive of HTTP responses that carry the page id in a field of their head."""
+def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int | None = None) -> None:
+    """Pages as ARC archives of HTTP responses that carry the page id in a field of their head; without a version, tasks take turns with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [version_block(version)], 0
-        for batch in batches:
-            for page, url, html in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                own = b"" if not page.is_valid else b"X-Page-Id: %d\r\n" % page.as_py()
-                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n%s\r\n" % (len(payload), own)
-                held.append(arc_record(url.as_py(), "20240101000000", head + payload, version))
-                size += len(held[-1])
-                if size >= SEGMENT:
-                    yield pa.record_batch([pa.array([b"\n".join(held)], pa.binary())], names=["value"])
-                    held, size = [version_block(version)], 0
-        if len(held) > 1:
-            yield pa.record_batch([pa.array([b"\n".join(held)], pa.binary())], names=["value"])
+        own = version or 1 + TaskContext.get().partitionId() % 2
 
-    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col), F.encode(html_col, "UTF-8"))
-    made = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.options(**_GZIP, lineSep="\n", maxRecordsPerFile=SEGMENTS).text(path)
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for page, url, html in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                    payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+                    named = b"" if not page.is_valid else b"X-Page-Id: %d\r\n" % page.as_py()
+                    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n%s\r\n" % (len(payload), named)
+                    yield member(arc_record(url.as_py(), "20240101000000", head + payload, own) + b"\n")
 
+        yield from _file_rows(records(), member(version_block(own) + b"\n"))
 
-def _inflated(content: pa.Scalar) -> bytes:
-    raw = content.as_buffer()
-    out = []
-    while len(raw):
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(raw))
-        out.append(one.flush())
-        raw = one.unused_data
-    return b"".join(out)
+    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col), F.encode(html_col, "UTF-8"))
+    _write(rows.mapInArrow(run, "value binary"), path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
 def _per_row(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -202,52 +243,57 @@ def _per_row(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _HEAD = pa.schema([("page_id", pa.int64()), ("digest", pa.string()), ("bytes", pa.int64()), ("rid", pa.string())])
-_WHOLE = pa.schema([*_HEAD, ("url", pa.string()), ("date", pa.string()), ("head", pa.binary()), ("payload", pa.binary())])
+_WHOLE = pa.schema([*_HEAD, ("url", pa.string()), ("date", pa.string()), ("ip", pa.string()), ("mime", pa.string()), ("block", pa.binary())])
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """(page_id, digest, bytes, rid[, url, date, head, payload]) of every network record."""
-    schema = _WHOLE if payloads else _HEAD
+def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """(page_id, digest, bytes, rid[, url, date, ip, mime, block]) of every record, block deflated; the digest of a version block is null."""
+    schema = _WHOLE if blocks else _HEAD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                held, size = [], 0
-                for fields, block in parse_arc(_inflated(content)):
-                    head, payload = split_http(block)
-                    digest, page = sha1_base32(payload), http_field(head, b"X-Page-Id")
-                    row = (int(page) if page else None, digest, len(payload), record_id(fields["url"], fields["date"], digest, page))
-                    held.append((*row, fields["url"], fields["date"], head, payload) if payloads else row)
-                    size += len(block)
-                    if size >= SEGMENT:
-                        yield _per_row(held, schema)
-                        held, size = [], 0
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held, size, place, names = [], 0, 0, [ARC_V1]
+                for raw in members_of(memoryview(content.as_buffer())):
+                    for fields, block in parse_arc(raw, names):
+                        place += 1
+                        info = fields["url"].startswith("filedesc:")
+                        head, payload = (b"", block) if info else split_http(block)
+                        digest, page = None if info else sha1_base32(payload), http_field(head, b"X-Page-Id")
+                        row = (int(page) if page else None, digest, len(payload), record_id(file, place, fields["url"], fields["date"], digest))
+                        held.append((*row, fields["url"], fields["date"], fields["ip"], fields["type"], zlib.compress(block, 1)) if blocks else row)
+                        size += len(block)
+                        if size >= SEGMENT:
+                            yield _per_row(held, schema)
+                            held, size = [], 0
                 if held:
                     yield _per_row(held, schema)
 
-    ddl = "page_id long, digest string, bytes long, rid string" + (", url string, date string, head binary, payload binary" if payloads else "")
+    ddl = "page_id long, digest string, bytes long, rid string" + (", url string, date string, ip string, mime string, block binary" if blocks else "")
     return _files(spark, path).mapInArrow(run, ddl)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = 0) -> None:
-    """Every network record of the ARC files as a WARC record."""
-    heads = read_arc(spark, arc_path, payloads=False).where(F.col("bytes") >= least)
-    firsts = heads.groupBy(F.col("digest").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min_by("rid", "page_id").alias("first_rid"), F.min("page_id").alias("first_id"))
-    shared = firsts.where("n > 1 and first_id is not null")
+    """Every record of the ARC files as a WARC record."""
+    heads = read_arc(spark, arc_path, blocks=False).where((F.col("bytes") >= least) & F.col("digest").isNotNull())
+    firsts = heads.groupBy(F.col("digest").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "rid"))).alias("first"))
+    shared = firsts.where("n > 1 and first is not null").select("d", "first.*").toDF("d", "first_id", "first_rid")
     records = read_arc(spark, arc_path).join(shared, F.col("digest") == F.col("d"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                again = r["first_id"] is not None and r["page_id"] != r["first_id"]
-                kind = "revisit" if again else "response" if r["head"] else "resource"
-                out.append(warc_record(kind, r["rid"], r["url"], r["date"], r["digest"], r["head"], r["payload"], r["first_rid"] if again else None))
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+        def made() -> Iterator[bytes]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    for r in batch.slice(at, 500).to_pylist():
+                        info, block = r["digest"] is None, zlib.decompress(r["block"])
+                        head, payload = (b"", block) if info else split_http(block)
+                        again = r["first_id"] is not None and r["page_id"] != r["first_id"]
+                        kind = "warcinfo" if info else "revisit" if again else "response" if head else "resource"
+                        yield member(warc_record(kind, r["rid"], r["url"], r["date"], r["digest"], head, payload, r["first_rid"] if again else None, r["ip"], r["mime"]))
+
+        yield from _file_rows(made())
 
-    keep = records.select("page_id", "rid", "url", "date", "digest", "head", "payload", "first_rid", "first_id")
-    made = keep.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    made.write.options(**_GZIP, lineSep=WARC_END, maxRecordsPerFile=20_000).text(warc_path)
+    _write(records.select("page_id", "rid", "url", "date", "ip", "mime", "digest", "block", "first_rid", "first_id").mapInArrow(run, "value binary"), warc_path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -256,9 +302,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("rid", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to_rid", pa.string())])
         for batch in batches:
-            for content in batch.column(0):
+            for content in batch.column(1):
                 rows = []
-                for fields, block in parse_warc(_inflated(content)):
+                for fields, block in (r for raw in members_of(memoryview(content.as_buffer())) for r in parse_warc(raw)):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     kind = fields["warc-type"]

@@ -54,7 +54,7 @@ def test_tokens(spark, tmp_path, kind):
 def test_arc_versions_and_conversion():
     block = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
     raw = b"\n".join([A.version_block(1), A.arc_record("http://a b/c", "20010203", block), A.version_block(2), A.arc_record("http://x/\n", "20010203040506", b"\n\nWARC/1.1 filedesc:", 2), A.arc_record(None, "2001", b"", 2)])
-    found = list(A.parse_arc(raw))
+    found = [r for r in A.parse_arc(raw) if not r[0]["url"].startswith("filedesc:")]
     assert [b for _, b in found] == [block, b"\n\nWARC/1.1 filedesc:", b""]
     assert found[1][0]["result"] == "200" and "checksum" not in found[0][0]
     assert A.iso_date("2001") == "2001-01-01T00:00:00Z" and A.iso_date("20010203040506") == "2001-02-03T04:05:06Z"
@@ -63,6 +63,35 @@ def test_arc_versions_and_conversion():
     assert list(A.parse_arc(b"http://a b/c 1.1.1.1 2001 text/html 1\nx"))[0][0]["url"] == "http://a b/c"
 
 
+def test_records_are_members_and_keep_their_header_fields(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(A, "FILE_BYTES", 700)
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    arc = [A.version_block(2), *[A.arc_record("http://h/a", "20010203", block, 2, ip="9.8.7.6")] * 3, A.arc_record("dns:h", "2001", b"h 1 IN A 9.8.7.6", 2, mime="text/dns")]
+    (tmp_path / "arc").mkdir()
+    # one stream for the whole file, as old archives have it
+    (tmp_path / "arc" / "part-old.arc.gz").write_bytes(gzip.compress(b"\n".join(arc)))
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(A)
+    try:
+        A.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    finally:
+        cloudpickle.unregister_pickle_by_value(A)
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) > 1 and all(f.stat().st_size <= 1000 for f in files)
+    records = [r for f in files for raw in A.members_of(f.read_bytes()) for r in [list(A.parse_warc(raw))]]
+    assert all(len(r) == 1 for r in records)
+    heads = [r[0][0] for r in records]
+    assert len({h["warc-record-id"] for h in heads}) == len(heads) == 5
+    assert sorted(h["warc-type"] for h in heads) == ["resource", "response", "response", "response", "warcinfo"]
+    pages = [h for h in heads if h["warc-type"] == "response"]
+    assert all((h["warc-ip-address"], h["warc-identified-payload-type"], h["warc-date"]) == ("9.8.7.6", "text/html", "2001-02-03T00:00:00Z") for h in pages)
+    assert [h["content-type"] for h in heads if h["warc-type"] == "resource"] == ["text/dns"]
+    assert b"".join(gzip.decompress(f.read_bytes()) for f in files).count(b"hello") == 3
+
+
 def test_archive_round_trip(spark):
     html = ["<p>é</p>", "<p>é</p>", None, "", "WARC/1.1\r\n\r\nHTTP/1.1\r\n\r\n\n\n", "x" * 300_000, "<p>é</p>", "solo"]
     rows = [(i, None if i == 3 else f"http://h/{i} \n x", h, "clash") for i, h in enumerate(html)] + [(7, "http://h/7", "solo", "c"), (None, "u", "", "c")]
