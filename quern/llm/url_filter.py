@@ -1,9 +1,10 @@
 """URL filters with redirect equivalence.
 
 A rule is (verdict, host, path prefix). It fits its host and all subdomains when the url's path starts with
-the prefix; of the rules that fit, the one with the longest string wins, and of equally long ones allow
-wins. Urls joined by redirect or canonical-link edges form one class (distributed connected components);
-a block on any member reaches every alias that no rule of its own decides. A url's own allow rule takes
+the prefix; of the rules that fit, the one with the longest string wins, of equally long ones allow
+wins, and of those the first by host and path; long and short rule lists give the same answers. Urls joined by redirect or canonical-link edges form one class (distributed connected components);
+a block on any member reaches every alias that no rule of its own decides. Edges come from the
+pages' canonical links and meta refreshes and, if given, from a table of redirects. A url's own allow rule takes
 precedence over a block that would reach it, and urls outside any blocked class are allowed.
 
 An alias is identified by host, path and query: scheme and fragment do not matter.
@@ -78,7 +79,7 @@ def _match_by_join(urls: DataFrame, rules) -> DataFrame:
         .join(table, F.col("suffix") == F.col("rule_host"))
         .where("startswith(path, prefix)")
         .groupBy("host", "path")
-        .agg(F.max(F.struct("size", (F.col("kind") == "allow").alias("allows"), "rule_host", "prefix", "kind")).alias("best"))
+        .agg(F.min(F.struct((-F.col("size")).alias("longest"), (F.col("kind") != "allow").alias("blocks"), "rule_host", "prefix", "kind")).alias("best"))
     )
     joined = urls.join(best, ["host", "path"], "left")
     return joined.withColumns({"rule": F.concat("best.rule_host", "best.prefix"), "rule_verdict": F.col("best.kind")}).drop("best")
@@ -88,22 +89,36 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     """(source, target) urls from canonical links and meta refreshes in the pages' html."""
     tag = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
     refresh = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-    link = F.regexp_extract(F.regexp_extract(html_col, tag, 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    moved = F.regexp_extract(F.regexp_extract(html_col, refresh, 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    every = lambda tags, value: F.transform(F.regexp_extract_all(html_col, F.lit(tags), F.lit(0)), lambda t: F.regexp_extract(t, value, 1))
+    links = every(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    moved = every(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
     has = F.lower(F.col(html_col))
     raw = pages.where(has.contains("canonical") | has.contains("refresh")).select(
-        F.col(url_col).alias("source"), F.explode(F.array(link, moved)).alias("raw")
+        F.col(url_col).alias("source"), F.explode(F.concat(links, moved)).alias("raw")
     )
-    scheme = F.regexp_extract("source", r"(?s)^(.*?)://", 1)
-    host = _part(F.col("source"), 1)
-    folder = F.regexp_extract(_part(F.col("source"), 2), r"(?s)^(.*/)", 1)
-    target = (
-        F.when(F.col("raw").contains("://"), F.col("raw"))
-        .when(F.col("raw").startswith("//"), F.concat(scheme, F.lit(":"), F.col("raw")))
-        .when(F.col("raw").startswith("/"), F.concat(scheme, F.lit("://"), host, F.col("raw")))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.when(folder == "", "/").otherwise(folder), F.col("raw")))
+    raw = raw.withColumn("raw", F.regexp_replace("raw", "(?i)&(amp|#38|#x26);", "&"))
+    return raw.where("raw <> '' and source is not null").select("source", _absolute(F.col("source"), F.col("raw")).alias("target"))
+
+
+def _absolute(source: Column, link: Column) -> Column:
+    """A link as its page's browser reads it: with the page's scheme, host, folder or path where it has none, and without dot segments."""
+    scheme, host, path = F.regexp_extract(source, r"(?s)^(.*?)://", 1), _part(source, 1), _part(source, 2)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    site = F.concat(scheme, F.lit("://"), host)
+    url = (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?") | link.startswith("#"), F.concat(site, path, link))
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link))
     )
-    return raw.where("raw <> '' and source is not null").select("source", target.alias("target"))
+    parts = F.split(F.regexp_extract(url, PARTS, 2), "/")
+    none = F.expr("cast(array() as array<string>)")
+    kept = F.aggregate(parts, none, lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    # a path that ends in a dot segment names its folder
+    whole = F.concat(F.array_join(kept, "/"), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""))
+    dotted = F.regexp_extract(url, PARTS, 2).rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(dotted, F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), whole, F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))).otherwise(url)
 
 
 def blocked_aliases(edges: DataFrame, rules=RULES, scratch: Scratch | None = None) -> DataFrame:
@@ -127,5 +142,7 @@ def filter_urls(pages: DataFrame, edges: DataFrame, rules=RULES, id_col: str = "
     return own.join(blocked, "alias", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
-def op1_redirect_filter(pages: DataFrame) -> DataFrame:
-    return filter_urls(pages, alias_edges(pages))
+def op1_redirect_filter(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """`redirects` may hold further (source, target) urls, such as those of HTTP answers 301 to 308."""
+    edges = alias_edges(pages)
+    return filter_urls(pages, edges if redirects is None else edges.union(redirects.select("source", "target")))

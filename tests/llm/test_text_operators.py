@@ -106,6 +106,37 @@ def test_redirects_pass_blocks_on(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
 
 
+def test_long_rule_lists_order_ties_alike(spark):
+    rules = [("block", "com", "/abcd"), ("block", "x.com", "/ab"), ("allow", "y.com", "/q"), ("block", "com", "/qqq"), ("block", "b.com", "/"), ("block", "a.b.com", "/")]
+    urls = ["http://x.com/abcd", "http://y.com/qqq", "http://a.b.com/z", "http://c.b.com/z", "http://x.com/ab"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    more = [("block", f"h{i}.org", "/") for i in range(U.MAX_COMPILED + 1)]
+    verdicts = lambda r: sorted(map(tuple, U.filter_urls(df, U.alias_edges(df), r).collect()))
+    few = verdicts(rules)
+    assert few == verdicts([*rules, *more])
+    assert [v[3] for v in few] == ["com/abcd", "y.com/q", "a.b.com/", "b.com/", "x.com/ab"]
+
+
+def test_links_are_resolved_and_chains_followed(spark):
+    page = lambda *hrefs: "".join(f"<link rel='canonical' href='{h}'>" for h in hrefs)
+    rows = [
+        (1, "http://s.org/a/b/c?x=1", page("../d?p=1&amp;q=2", "?y=2", "./", "/../top")),
+        (2, "http://s.org/plain", page("other")), (3, "http://s.org", page("//t.org/x", "http://u.org/a/../b")),
+    ]
+    got = {(r.source, r.target) for r in U.alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    one, three = rows[0][1], rows[2][1]
+    assert got == {
+        (one, "http://s.org/a/d?p=1&q=2"), (one, "http://s.org/a/b/c?y=2"), (one, "http://s.org/a/b/"), (one, "http://s.org/top"),
+        ("http://s.org/plain", "http://s.org/other"), (three, "http://t.org/x"), (three, "http://u.org/b"),
+    }
+    # a chain of nine hops over as many tasks, by redirects alone, reaches the blocked end
+    chain = [f"http://n{i}.org/p" for i in range(9)] + ["http://z.net/es/"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate([*chain, "http://free.org/p"])], "page_id long, url string, html string")
+    moves = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "source string, target string").repartition(9)
+    verdicts = {r.page_id: r.verdict for r in U.op1_redirect_filter(pages, moves).collect()}
+    assert verdicts == {**dict.fromkeys(range(10), "block"), 10: "allow"}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
