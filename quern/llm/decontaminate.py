@@ -128,7 +128,7 @@ def _probe(tokens: bytes, windows: bytes, kinds: list[tuple[int, int]]):
                     if own is None:
                         if len(known) >= TASK_WORDS:
                             known.clear()
-                        own = known[w] = tuple((p, s) for p, s in kinds if _may(tokens, w, _seed(p, s)))
+                        own = known[w] = tuple((p, s) for p, s in kinds if _may(tokens, w, _seed(p, s))) if _may(tokens, w, 0) else ()
                     for place, size in own:
                         start = i - place
                         if start >= 0 and start + size <= n and (start, size) not in found:
@@ -159,7 +159,8 @@ def _marked(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, ite
     prefixes = scratch.cut(rated.select("win", F.col("p.word").alias("word"), F.col("p.place").alias("place"), F.col("size").cast("int").alias("size")), "prefixes")
     # at most window * (window + 1) / 2 rows
     kinds = sorted(tuple(r) for r in prefixes.select("place", "size").distinct().collect())
-    tokens = _filter(prefixes.select("word", F.shiftleft("size", 16) + F.col("place") + 2).distinct(), bits)
+    seeds = F.explode(F.array(F.lit(0), F.shiftleft("size", 16) + F.col("place") + 2))
+    tokens = _filter(prefixes.select("word", seeds.alias("seed")).distinct(), bits)
     windows = _filter(prefixes.select("win", F.lit(1)), bits)
     wanted = docs.select(*keep, _text_id(text_col).alias("text_id"), F.encode(text_col, "UTF-8").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields[:-1])
