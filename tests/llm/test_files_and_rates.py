@@ -113,7 +113,7 @@ def test_scores(spark):
     words = [re.findall(WORD, (t or "").translate({c: c + 32 for c in range(65, 91)})) for t in texts]
     train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
     want = M.brute_force(words, train)
-    rows = M.score_documents(df, block_bytes=300).collect()
+    rows = M.score_documents(df.repartition(5), range_bytes=300).collect()
     assert len(rows) == len(texts)
     known = {w for ws, used in zip(words, train, strict=True) if used for w in ws}
     for r in rows:
@@ -124,6 +124,42 @@ def test_scores(spark):
     assert M.score_documents(df.limit(0)).count() == 0
 
 
+def test_scores_of_repeated_null_and_long_rows(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(M, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(M, "PIECE", 200)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(80))) for _ in range(30)] + [" ".join(rng.choice("abcdefgh") for _ in range(40_000))]
+    ids = ["7", "7", None, None, *map(str, range(100, 127))]
+    texts[1] = texts[0]
+    words = [t.split() for t in texts]
+    # a null id counts as the text null in the split
+    train = [zlib.crc32((i or "null").encode()) % 7 != 2 for i in ids]
+    want = sorted(M.brute_force(words, train))
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id string, text string")
+    cloudpickle.register_pickle_by_value(M)
+    try:
+        got = sorted((r.base_score, r.score) for r in M.score_documents(df, range_bytes=1000).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(M)
+    assert got == [pytest.approx(w) for w in want]
+    # no training rows at all
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = M.score_documents(spark.createDataFrame([(i, "a b a") for i in held], "doc_id long, text string")).collect()
+    assert all((r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 4, 0, 0) and r.base_score == r.score == 0 for r in rows) and len(rows) == len(held)
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(3)
+    for values in ([], [0], [255, 256], [(1 << 64) - 1, 0], list(rng.integers(0, 1 << 62, 50))):
+        own = np.array(values, np.uint64)
+        assert M._wide(M._narrow(own)).tolist() == own.tolist()
+        if len(own):
+            own.sort()
+            assert M._summed(M._steps(own)).tolist() == own.tolist()
+
+
 def docs_for(spark, n=400):
     rng = random.Random(6)
     rows = []
