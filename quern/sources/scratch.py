@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,20 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """A session setting for the steps that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables of one run, each in a folder of its own."""
 
@@ -35,10 +51,12 @@ class Scratch:
         self._made += 1
         return f"{self.root}/{self._made:03d}-{name}"
 
-    def cut(self, df: DataFrame, name: str = "cut", partition_by: list[str] | None = None, compression: str = "snappy") -> DataFrame:
-        """Write ``df`` and return it as read back."""
+    def cut(self, df: DataFrame, name: str = "cut", partition_by: list[str] | None = None, compression: str = "snappy", row_group_bytes: int | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back; small row groups bound what a reader of long rows holds."""
         path = self.path(name)
         writer = df.write.option("compression", compression)
+        if row_group_bytes:
+            writer = writer.option("parquet.block.size", max(row_group_bytes, 1 << 20))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
@@ -52,6 +70,10 @@ class Scratch:
         if path:
             self.delete(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now; it does so when the driver's garbage is collected."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
