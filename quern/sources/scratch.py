@@ -59,7 +59,9 @@ class Scratch:
             writer = writer.option("parquet.block.size", max(row_group_bytes, 1 << 20))
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        # the table is read back, so the step's shuffle files are of no more use
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # noqa: SLF001  remembered for drop()
         return out
@@ -70,10 +72,6 @@ class Scratch:
         if path:
             self.delete(path)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished steps now; it does so when the driver's garbage is collected."""
-        self.spark.sparkContext._jvm.System.gc()
-
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
