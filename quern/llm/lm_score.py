@@ -16,7 +16,7 @@ automaton that its own texts can reach, and scores them. Texts move compressed,
 the rows between blocks and ranges are never more than the distinct n-grams of the blocks, so they grow with the input;
 memory follows the block.
 
-n-grams are identified by 64-bit hashes. Words are runs of anything but ASCII white space, after A-Z are
+n-grams are identified by KEY_BITS = 56 bits of a hash. Words are runs of anything but ASCII white space, after A-Z are
 lower-cased.
 
 Defined results: a null or empty text is its end token alone. Rows that repeat an id are scored each, and
@@ -33,17 +33,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.scratch import Scratch
+from quern.sources.scratch import Scratch, setting
 
 #: Prior weights of the model below, for two and three words.
 MU = (100.0, 25.0)
 FOLDS, HELD_OUT = 7, 2
-#: Bytes of texts in a block, and in a packed piece of one.
-BLOCK_BYTES, PIECE = 9 << 20, 1 << 20
+#: Bytes of texts in a block, and for each hash range; memory of a task is about 60 times the first.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 6 << 20
+KEY_BITS = 56
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 #: Stand for the end and the beginning of a text among word hashes.
@@ -96,8 +98,8 @@ class Block:
         pair_hashes = _mixed(self.hashes[self.pair_first] * _STEP + self.hashes[self.pair_last])
         tri_hashes = _mixed(pair_hashes[self.tri_first] * _STEP + self.hashes[self.tri_last])
         # the low bits tell the orders apart; the beginning is a word of none
-        low = ~U(3)
-        keys = np.concatenate([self.hashes[: n - 1] & low | U(1), pair_hashes & low, tri_hashes & low | U(2)])
+        short = lambda h, order: (h >> U(64 - KEY_BITS)) & ~U(3) | U(order)
+        keys = np.concatenate([short(self.hashes[: n - 1], 1), short(pair_hashes, 0), short(tri_hashes, 2)])
         self.order = np.argsort(keys)
         self.keys, self.counts = keys[self.order], np.concatenate([word_n[: n - 1], pair_n, tri_n])[self.order]
 
@@ -108,7 +110,7 @@ class Block:
 
     def ranges(self, n: int) -> list[tuple[int, int]]:
         """Where the keys of each hash range lie."""
-        cuts = np.searchsorted(self.keys, (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(U)) if n > 1 else []
+        cuts = np.searchsorted(self.keys, (np.arange(1, n, dtype=object) * (1 << KEY_BITS) // n).astype(U)) if n > 1 else []
         return list(zip([0, *cuts], [*cuts, len(self.keys)], strict=True))
 
 
@@ -126,6 +128,14 @@ def _wide(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _small(values: np.ndarray) -> bytes:
+    return zstandard.compress(_narrow(values), 1)
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return _wide(zstandard.decompress(raw))
+
+
 def _steps(keys: np.ndarray) -> bytes:
     """Sorted keys as the first and the differences."""
     return keys[:1].tobytes() + _narrow(np.diff(keys))
@@ -136,44 +146,56 @@ def _summed(raw: bytes) -> np.ndarray:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, text) to (block, piece, bytes, raw): documents in compressed pieces of numbered blocks."""
-    number, piece, size = TaskContext.get().partitionId() << 32, 0, 0
+    """(doc_id, held_out, text) to (block, bytes, raw): documents in numbered, compressed blocks."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def made() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        return pa.record_batch([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "bytes", "raw"])
+
     for batch in batches:
         sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
         at = 0
         while at < batch.num_rows:
             stop, own = at, 0
-            while stop < batch.num_rows and (stop == at or own + sizes[stop] <= PIECE):
+            while stop < batch.num_rows and (own == 0 and not held or size + own + sizes[stop] <= BLOCK_BYTES):
                 own += int(sizes[stop])
                 stop += 1
-            if piece and size + own > BLOCK_BYTES:
-                number, piece, size = number + 1, 0, 0
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch.slice(at, stop - at))
-            made = [pa.array([number], pa.int64()), pa.array([piece], pa.int32()), pa.array([own], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-            yield pa.record_batch(made, names=["block", "piece", "bytes", "raw"])
-            at, piece, size = stop, piece + 1, size + own
+            if stop > at:
+                held.append(batch.slice(at, stop - at))
+                size += own
+            if stop < batch.num_rows:
+                yield made()
+                number, held, size = number + 1, [], 0
+            at = stop
+    if held:
+        yield made()
 
 
-def _unpacked(table: pa.Table) -> pa.Table:
-    """The documents of a block, whose pieces may come in any order."""
-    pieces = table.sort_by("piece").column("raw")
-    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in pieces])
+def _unpacked(raw: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(raw.as_buffer()).read_all()
 
 
 def _ask(ranges: int):
-    def run(table: pa.Table) -> pa.Table:
-        block = Block(_unpacked(table))
-        parts = [(r, a, b) for r, (a, b) in enumerate(block.ranges(ranges)) if b > a]
-        return pa.table(
-            {
-                "block": pa.array([table.column("block")[0].as_py()] * len(parts), pa.int64()),
-                "range": pa.array([r for r, _, _ in parts], pa.int32()),
-                "keys": pa.array([_steps(block.keys[a:b]) for _, a, b in parts], pa.binary()),
-                "counts": pa.array([_narrow(block.counts[a:b]) for _, a, b in parts], pa.binary()),
-            }
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                block = Block(_unpacked(raw))
+                parts = [(r, a, b) for r, (a, b) in enumerate(block.ranges(ranges)) if b > a]
+                yield pa.record_batch(
+                    [
+                        pa.array([number] * len(parts), pa.int64()),
+                        pa.array([r for r, _, _ in parts], pa.int32()),
+                        pa.array([_steps(block.keys[a:b]) for _, a, b in parts], pa.binary()),
+                        pa.array([_small(block.counts[a:b]) for _, a, b in parts], pa.binary()),
+                    ],
+                    names=["block", "range", "keys", "counts"],
+                )
+                del block, parts
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -182,7 +204,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """Sums a range over all blocks; the row without a block holds the range's training tokens and distinct words."""
     keys = [_summed(x) for x in table.column("keys").to_pylist()]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([_wide(x) for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([_large(x) for x in table.column("counts").to_pylist()])
     # sums of whole numbers below 2**53 are exact
     totals = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
     words = totals[(distinct & U(3)) == 1]
@@ -192,7 +214,7 @@ def _answer(table: pa.Table) -> pa.Table:
         {
             "block": pa.array([*table.column("block").to_pylist(), None], pa.int64()),
             "range": pa.array([table.column("range")[0].as_py()] * (len(parts) + 1), pa.int32()),
-            "totals": pa.array([*(_narrow(p) for p in parts), None], pa.binary()),
+            "totals": pa.array([*(_small(p) for p in parts), None], pa.binary()),
             "tokens": pa.array([*none, int(words.sum())], pa.int64()),
             "words": pa.array([*none, int((words > 0).sum())], pa.int64()),
         }
@@ -240,13 +262,13 @@ _SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _scorer(ranges: int, tokens: int, words: int, mu: tuple[float, float]):
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = _unpacked(packed)
+        docs = pa.concat_tables([_unpacked(raw) for raw in packed.column("raw")])
         block = Block(docs)
         totals = np.zeros(len(block.keys), np.int64)
         places = block.ranges(ranges)
         for r, raw in zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist(), strict=True):
             a, b = places[r]
-            totals[a:b] = _wide(raw)
+            totals[a:b] = _large(raw)
         model = Automaton(block, totals, tokens, words, mu)
         known = np.concatenate([[0], np.cumsum(model.count[block.tokens] > 0)])
         # each text has its end token, so none is empty; a difference of running sums would lose digits
@@ -266,24 +288,26 @@ def _scorer(ranges: int, tokens: int, words: int, mu: tuple[float, float]):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = MU, range_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = MU, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per document, in the columns of the contract."""
     scratch = Scratch(docs.sparkSession, "lm")
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), F.lit(FOLDS)) == HELD_OUT
     # written once: a block keeps its texts, whatever becomes of the tasks that read them
-    packed = own.select("doc_id", held.alias("held_out"), "text").mapInArrow(_packed, "block long, piece int, bytes long, raw binary")
-    packed = scratch.cut(packed, "blocks", compression="none")
+    packed = own.select("doc_id", held.alias("held_out"), "text").mapInArrow(_packed, "block long, bytes long, raw binary")
+    packed = scratch.cut(packed, "blocks", compression="none", row_group_bytes=2 * BLOCK_BYTES)
     total = packed.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(1, -(-total // range_bytes))
-    blocks = packed.select("block", "piece", "raw").groupBy("block")
-    asked = blocks.applyInArrow(_ask(ranges), "block long, range int, keys binary, counts binary")
-    answers = scratch.cut(asked.groupBy("range").applyInArrow(_answer, "block long, range int, totals binary, tokens long, words long"), "answers", compression="zstd")
+    blocks = packed.select("block", "raw")
+    asked = blocks.mapInArrow(_ask(ranges), "block long, range int, keys binary, counts binary")
+    answers = asked.groupBy("range").applyInArrow(_answer, "block long, range int, totals binary, tokens long, words long")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", 1):  # a block at a time
+        answers = scratch.cut(answers, "answers", compression="zstd")
     sums = answers.where("block is null").agg(F.sum("tokens"), F.sum("words")).first()
     tokens, words = sums[0] or 0, sums[1] or 0
     given = answers.where("block is not null").select(F.col("block").alias("for"), "range", "totals")
     schema = _SCORED.format(id=own.schema["doc_id"].dataType.simpleString())
-    return blocks.cogroup(given.groupBy("for")).applyInArrow(_scorer(ranges, tokens, words, mu), schema)
+    return blocks.groupBy("block").cogroup(given.groupBy("for")).applyInArrow(_scorer(ranges, tokens, words, mu), schema)
 
 
 def op5_backoff_automaton(docs: DataFrame) -> DataFrame:

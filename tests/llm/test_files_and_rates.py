@@ -128,7 +128,6 @@ def test_scores_of_repeated_null_and_long_rows(spark, monkeypatch):
     from pyspark import cloudpickle
 
     monkeypatch.setattr(M, "BLOCK_BYTES", 500)
-    monkeypatch.setattr(M, "PIECE", 200)
     rng = random.Random(2)
     texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(80))) for _ in range(30)] + [" ".join(rng.choice("abcdefgh") for _ in range(40_000))]
     ids = ["7", "7", None, None, *map(str, range(100, 127))]
