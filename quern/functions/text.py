@@ -12,8 +12,8 @@ NBSP = "\u00a0"
 
 # Words that carry no meaning for retrieval.
 RETRIEVAL_STOP = (
-    "the and for with from that this under into about what when where which who how law legal act section provision "
-    "rule order case person against between may can are was were been being has have had not"
+    "the a an and or of to for in on by with from under where when whether what which that this is are be being been as "
+    "act law legal india indian section article rule order provision provisions claim claims"
 ).split()
 
 # File-name tags of languages.
@@ -279,7 +279,7 @@ def pruned_json(**fields) -> Column:
     return F.to_json(F.struct(*(_c(v).alias(k) for k, v in fields.items())))
 
 
-ROLE = r"(?:petitioners?|respondents?|appellants?|applicants?|complainants?)(?:\(s\))?"
+ROLE = r"(?:appellant|respondent|petitioner|applicant)(?:s|\s*\(\s*s\s*\))?"  # fixed value: role labels
 
 
 def clean_party(x) -> Column:

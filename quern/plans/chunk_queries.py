@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import chunk as K
+from quern.operators import judgments as J
 from quern.operators import parse as P
 from quern.plans.registry import query
-from quern.plans.text_queries import words_sql
+from quern.plans.text_queries import judgment_sql, words_sql
 
 
 def chunks_sql(window: int, overlap: int, base: int, least: int = 1) -> str:
@@ -133,17 +134,32 @@ def ext_histogram(t):
     return t("pages").select(F.coalesce(F.nullif(F.regexp_extract(path, r"\.([a-z]+)$", 1), F.lit("")), F.lit("none")).alias("extension")).groupBy("extension").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("judgment_headers", None)
+BODY = judgment_sql("body")
+HEADERS = f"""WITH built AS (SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 2 AS legacy, source, lang, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'X. Y. Roe, J.' || chr(10) || text END AS body FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL),
+  read AS (SELECT *, {BODY} AS judgment_text, CASE WHEN legacy THEN make_date(1995, 2, 10 + (doc_id % 9)::INTEGER) WHEN doc_id % 4 = 1 THEN DATE '2015-03-03' END AS judgment_date, CASE WHEN legacy THEN 'A. JUDGE; B. JUDGE' ELSE 'HON. A; HON. B' END AS bench FROM built),
+  flagged AS (SELECT *, concat_ws(',', CASE WHEN judgment_text = '' THEN 'missing_judgment_body' END, CASE WHEN judgment_date IS NULL THEN 'missing_or_invalid_date' END, CASE WHEN length(judgment_text) BETWEEN 1 AND 299 THEN 'short_judgment_body' END) AS quality_flags FROM read)
+  SELECT doc_id, CASE WHEN legacy THEN 'legacy' ELSE 'modern' END AS document_format, source AS petitioner, 'State ' || lang AS respondent, judgment_date, bench, CASE WHEN NOT legacy THEN 'CURATIVE PETITION NOS. ' || doc_id || ' OF 2015' END AS case_number,
+    CASE WHEN NOT legacy THEN 'X. Y. Roe, J.' END AS judgment_author, length(judgment_text) AS body_characters, md5(judgment_text) AS body_md5, source || ' v. State ' || lang AS title, quality_flags,
+    CASE WHEN quality_flags = '' THEN 'parsed' ELSE 'review_required' END AS parse_status, CASE WHEN length(judgment_text) >= 300 THEN 'usable' ELSE 'review_required' END AS text_status FROM flagged"""
+
+
+@query("judgment_headers", HEADERS)
 def judgment_headers(t):
-    """Judgments written around the documents' texts, parsed by layout."""
+    """Judgments written around the documents' texts, parsed by layout; the SQL says what was written into them."""
+    nl = F.lit("\n")
     label = F.concat(
-        F.lit("PETITIONER:\n"), "source", F.lit("\n\tVs.\nRESPONDENT:\nState "), "lang", F.lit("\n\nDATE OF JUDGMENT: 1"), F.col("doc_id") % 9, F.lit("/02/1995\n\nBENCH:\nA. JUDGE\nB. JUDGE\na. judge\n\nJUDGMENT:\n"), "text"
+        F.lit("IN THE COURT\nPETITIONER:\n"), "source", F.lit("\n\tVs.\nRESPONDENT:\nState "), "lang", F.lit("\n\nDATE OF JUDGMENT 1"), F.col("doc_id") % 9, F.lit("/02/1995\n\nBENCH:\nA. JUDGE\nB. JUDGE\nBENCH: a. judge\nACT:\n\nJUDGMENT:\n"), "text"
     )
+    separator = F.when(F.col("doc_id") % 4 == 1, F.lit("Versus")).otherwise(F.lit(" V "))
+    heading = F.when(F.col("doc_id") % 4 == 1, F.lit("J U D G M E N T :")).otherwise(F.lit("ORDER."))
+    dated = F.when(F.col("doc_id") % 4 == 1, F.lit("Pronounced on: 3rd March, 2015")).otherwise(F.lit("3rd March 2015"))
     modern = F.concat(
-        F.lit("REPORTABLE\nCIVIL APPEAL NO. "), F.col("doc_id"), F.lit(" OF 2015\n"), "source", F.lit(" ... Appellant(s)\nVersus\nState "), "lang", F.lit("\n... Respondent(s)\nDATE OF DECISION: 3rd March, 2015\nJ U D G M E N T\nX. Y. Roe, J.\n"), "text"
-    )
-    raw = t("documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, label).otherwise(modern).alias("raw"))
-    return P.parse_judgments(raw, "doc_id", "raw").drop("judgment_text")
+        F.lit("REPORTABLE\nCIVIL APPEAL NO. 1 OF 1999\nCurative Petition Nos. "), F.col("doc_id"), F.lit(" of 2015\n(Arising out of an order)\n"), "source", F.lit(" ... Appellant(s)\n"), separator, F.lit("\n1\nState "), "lang",
+        F.lit("\n... Respondent(s)\nCoram: Hon. A\nHon. B\nCounsel: none\n"), dated, nl, heading, F.lit("\nX. Y. Roe, J.\n"), "text",
+    )
+    raw = t("documents").where("source is not null and lang is not null and text is not null").select("doc_id", F.when(F.col("doc_id") % 2 == 0, label).otherwise(modern).alias("raw"))
+    found = J.parse_judgments(raw, "doc_id", "raw")
+    return found.withColumns({"body_md5": F.md5("judgment_text"), "case_number": F.upper("case_number"), "bench": F.upper("bench")}).drop("judgment_text")
 
 
 @query("act_sections", None)

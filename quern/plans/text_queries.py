@@ -62,9 +62,15 @@ def clean_lines(t):
     return t("documents").select("doc_id", F.md5(T.clean_lines("text")).alias("lines_md5"))
 
 
+def judgment_sql(x: str) -> str:
+    return strip_sql(
+        f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({lf_sql(x)}, '(?im)^[ \\t]*https?://judis\\.nic\\.in/?[ \\t]*$', '', 'g'), '(?im)^[ \\t]*page[ \\t]+\\d+[ \\t]+of[ \\t]+\\d+[ \\t]*$', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    )
+
+
 @query(
     "clean_judgment",
-    f"""SELECT doc_id, md5({strip_sql(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({lf_sql('text')}, '(?im)^[ \\t]*https?://judis\\.nic\\.in/?[ \\t]*$', '', 'g'), '(?im)^[ \\t]*page[ \\t]+\\d+[ \\t]+of[ \\t]+\\d+[ \\t]*$', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")}) AS judgment_md5 FROM documents""",
+    f"SELECT doc_id, md5({judgment_sql('text')}) AS judgment_md5 FROM documents",
 )
 def clean_judgment(t):
     """N03"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import repair as J
 from quern.functions import text as T
+from quern.operators import judgments as G
 from quern.operators import parse as P
 from quern.operators import verify as V
 
@@ -99,12 +100,37 @@ def test_anchor():
 def test_legacy_and_modern_judgments(spark):
     legacy = "PETITIONER:\nA CORP\n\tVs.\n\nRESPONDENT:\nSTATE\n\nDATE OF JUDGMENT: 12/10/1975\n\nBENCH:\nX\nx\nY\nBENCH:\nZ\n\nJUDGMENT:\n" + "word " * 80
     modern = "CIVIL APPEAL NO. 5 OF 2015\nA CORP ... Appellant(s)\nVersus\nSTATE\n... Respondent(s)\nDATE OF DECISION: 12.10.2015\nJ U D G M E N T\nP. Q. Roe, J.\nshort"
-    rows = {r.k: r for r in P.parse_judgments(spark.createDataFrame([(1, legacy), (2, modern), (3, ""), (4, None)], "k int, t string"), "k", "t").collect()}
+    rows = {r.k: r for r in G.parse_judgments(spark.createDataFrame([(1, legacy), (2, modern), (3, ""), (4, None)], "k int, t string"), "k", "t").collect()}
     assert (rows[1].document_format, rows[1].petitioner, rows[1].respondent, str(rows[1].judgment_date), rows[1].bench) == ("legacy", "A CORP", "STATE", "1975-10-12", "X; Y; Z")
     assert (rows[1].parse_status, rows[1].text_status, rows[1].title) == ("parsed", "usable", "A CORP v. STATE")
     assert (rows[2].petitioner, rows[2].respondent, rows[2].case_number, rows[2].judgment_author) == ("A CORP", "STATE", "CIVIL APPEAL NO. 5 OF 2015", "P. Q. Roe, J.")
-    assert str(rows[2].judgment_date) == "2015-10-12" and rows[2].quality_flags == "short_body"
-    assert rows[3].parse_status == "review_required"
+    assert str(rows[2].judgment_date) == "2015-10-12" and rows[2].quality_flags == "missing_bench,short_judgment_body"
+    assert rows[3].quality_flags.startswith("no_extractable_text") and rows[4].parse_status == "review_required" and rows[4].petitioner == ""
+
+
+def test_layout_rules(spark):
+    """Headers by hand: what routes, heads, parts and numbers a judgment."""
+    rows = {
+        # a petitioner label alone does not make the old layout, nor does one on a later page
+        "no date": "PETITIONER:\nA\nRESPONDENT:\nB\nJUDGMENT:\nbody", "second page": "WRIT PETITION NO. 3 OF 2001\nA\nV\nB\n\fPETITIONER: X\nDATE OF JUDGMENT: 1/1/2001",
+        "same line": "PETITIONER: A LTD Vs.\nRESPONDENT: B\nDATE OF JUDGMENT01/02/1960\nCITATION:\nAIR 1\nJUDGMENT: The text\nmore",
+        "heading": "CONTEMPT PETITION (C) NO.7 OF 2010\n\nA\n... PETITIONERS\nVS\nB\n…RESPONDENT\nDECIDED ON 5 May 2011\nO R D E R.\nthe body",
+        "no case": "A\nVersus\nB\nJUDGMENT\nx", "month first": "MISCELLANEOUS APPLICATION NO. 1\nA\nversus\nB\nDate of decision : May 5, 2011 (Friday)\nORDER:\nAuthor Name, C.J.I. :\ntext",
+        "first case is not the last": "CIVIL APPEAL NO. 1 OF 1990\nWITH\nCRIMINAL APPEAL NOS. 2-3 OF 1991\n(ARISING OUT OF SLP 4)\nA AND ANR. .... Appellants\nVERSUS\nB\nCORAM : \nX\nY\nCOUNSEL:\nZ",
+    }
+    got = {r.k: r for r in G.parse_judgments(spark.createDataFrame(list(rows.items()), "k string, t string"), "k", "t").collect()}
+    assert {k: r.document_format for k, r in got.items()} == {k: "legacy" if k == "same line" else "modern" for k in rows}
+    line = got["same line"]
+    assert (line.petitioner, line.respondent, str(line.judgment_date), line.judgment_text) == ("A LTD", "B", "1960-02-01", "The text\nmore")
+    page = got["second page"]
+    assert (page.petitioner, page.case_number, str(page.judgment_date)) == ("A", "WRIT PETITION NO. 3 OF 2001", "2001-01-01")
+    head = got["heading"]
+    assert (head.petitioner, head.respondent, head.case_number, str(head.judgment_date), head.judgment_text) == ("A", "B", "CONTEMPT PETITION (C) NO.7 OF 2010", "2011-05-05", "the body")
+    assert (got["no case"].petitioner, got["no case"].case_number, got["no case"].judgment_text) == ("", None, "x")
+    month = got["month first"]
+    assert (str(month.judgment_date), month.judgment_author, month.case_number) == ("2011-05-05", "Author Name, C.J.I.", "MISCELLANEOUS APPLICATION NO. 1")
+    last = got["first case is not the last"]
+    assert (last.petitioner, last.case_number, last.bench, last.judgment_text) == ("A AND ANR.", "CRIMINAL APPEAL NOS. 2-3 OF 1991", "X; Y", "")
 
 
 def test_act_sections(spark):
