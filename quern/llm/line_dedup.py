@@ -366,5 +366,7 @@ def op7_segment_edit_join(docs: DataFrame) -> DataFrame:
         F.coalesce("component_doc_id", "first_doc_id").alias("component_doc_id"),
         F.coalesce("component_rows", "line_rows").cast("long").alias("component_rows"),
     )
+    found = scratch.cut(found, "found")  # read back, so that the join on a frequent line can be split
+    scratch.drop(classes)
     out = members.groupBy("doc_id", "line_id").agg(F.sum("n_rows").alias("n_rows")).join(found, "line_id")
     return out.select(F.lower(F.hex("line_id")).alias("line_id"), "doc_id", "n_rows", *found.columns[1:])

@@ -333,14 +333,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, scratch:
     if found is None:
         return signed.drop("sig"), named.withColumn("component", F.col("node"))
     found = found.withColumnRenamed("node", "linked")
-    return signed.drop("sig"), named.join(found, F.col("node") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "node")).drop("linked")
+    named = named.join(found, F.col("node") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "node")).drop("linked")
+    return signed.drop("sig"), scratch.cut(named, "named")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document; shingle is the number of words in one."""
     scratch = Scratch(docs.sparkSession, "neardup")
     signed, classes = _grouped(docs, id_col, text_col, shingle, scratch)
-    low = classes.groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("component_id"))
+    # read back, so that the join on a large component can be split
+    low = scratch.cut(classes.groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("component_id")), "names")
     named = classes.join(low, F.col("component") == F.col("c")).select(F.col("cid").alias("k"), F.col("tag").alias("t"), "component_id")
     out = signed.join(named, (F.col("cid") == F.col("k")) & (F.col("tag") == F.col("t")), "left")
     out = out.withColumn("component_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
@@ -356,7 +358,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch = Scratch(docs.sparkSession, "neardup")
     signed, classes = _grouped(docs, id_col, text_col, shingle, scratch)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "node")
-    first = classes.groupBy(F.col("component").alias("c")).agg(F.min(row).alias("first"))
+    first = scratch.cut(classes.groupBy(F.col("component").alias("c")).agg(F.min(row).alias("first")), "first")
     named = classes.join(first, F.col("component") == F.col("c")).select(F.col("cid").alias("k"), F.col("tag").alias("t"), "node", "first")
     judged = signed.join(named, (F.col("cid") == F.col("k")) & (F.col("tag") == F.col("t"))).withColumn(
         "stays", (F.col("node") == F.col("first.node")) & (F.col("th") == F.col("first.th")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
