@@ -2,6 +2,7 @@
 
 import random
 import re
+from functools import lru_cache
 
 from quern.llm import decontaminate as D
 from quern.llm import line_dedup as L
@@ -137,6 +138,7 @@ def test_links_are_resolved_and_chains_followed(spark):
     assert verdicts == {**dict.fromkeys(range(10), "block"), 10: "allow"}
 
 
+@lru_cache(maxsize=None)
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
