@@ -162,8 +162,9 @@ def hashed_id(prefix: str, *parts) -> Column:
 
 
 def numbered_id(prefix: str, number, width: int) -> Column:
-    """N20"""
-    return F.concat(F.lit(prefix), F.lpad(_c(number).cast("string"), width, "0"))
+    """N20; a number of more digits keeps them all."""
+    digits = _c(number).cast("string")
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0")))
 
 
 def source_label(source_type, title, section=None, page=None) -> Column:

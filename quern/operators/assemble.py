@@ -36,7 +36,7 @@ def merged_scenarios(df: DataFrame, order: str, text: str, statutes: str) -> Dat
     merged = once.groupBy("key").agg(F.min("told").alias("told"), F.sort_array(F.collect_list("said")).alias("said"), F.sum("n").alias("n_rows"))
     out = merged.select("told.o", "told.scenario", F.transform("said", lambda x: x["label"]).alias("statutes"), "n_rows")
     ided = numbered(out, ["o", "scenario"], "place", Scratch(df.sparkSession, "scenarios"))
-    return ided.select(F.concat(F.lit("scenario_"), F.lpad(F.col("place").cast("string"), 6, "0")).alias("scenario_id"), "scenario", "statutes", "n_rows")
+    return ided.select(T.numbered_id("scenario_", F.col("place"), 6).alias("scenario_id"), "scenario", "statutes", "n_rows")
 
 
 def aligned(records: DataFrame, record_key: str, vectors: DataFrame, vector_key: str, vector: str, dimensions: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import sketch as S
 from quern.functions import text as T
+from quern.operators.assemble import numbered
 from quern.operators.components import connected_components
 from quern.sources.scratch import Scratch
 
@@ -130,13 +131,29 @@ def pair_groups(pairs: DataFrame) -> DataFrame:
     return grouped.withColumn("document_count", F.size("ids").cast("long")).withColumn("document_ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), " | ")).drop("ids")
 
 
+def cluster_edges(prints: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(id_a, id_b, classification): edges that connect what all pairs connect, one for each copy of a text.
+
+    Copies of a text share its sketches, so they share the class of any pair: they are linked with the one of the smallest
+    id, and those alone meet in the blocks. A group of n copies gives n - 1 edges in place of all its pairs.
+    """
+    scratch = scratch or Scratch(prints.sparkSession, "clusters")
+    blocked = prints.where("block is not null")
+    shared = [c for c in prints.columns if c not in ("doc_id", "exact_hash")]
+    first = scratch.cut(blocked.groupBy("exact_hash").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in shared)), "texts")
+    copies = blocked.select("exact_hash", F.col("doc_id").alias("id_b")).join(first.select("exact_hash", F.col("doc_id").alias("id_a")), "exact_hash").where("id_a <> id_b")
+    between = near_duplicate_pairs(first).select("id_a", "id_b", "classification")
+    return copies.select("id_a", "id_b", F.lit("exact_duplicate").alias("classification")).union(between)
+
+
 def duplicate_clusters(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, component, cluster_id, cluster_size) over exact and probable pairs; ids number the clusters by size, largest first."""
+    scratch = scratch or Scratch(pairs.sparkSession, "clusters")
     edges = pairs.where(F.col("classification").isin("exact_duplicate", "probable_near_duplicate"))
-    groups = connected_components(edges, "id_a", "id_b", scratch)
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size"))
-    number = F.row_number().over(Window.orderBy(F.col("cluster_size").desc(), "component"))
-    named = sizes.withColumn("cluster_id", T.numbered_id("dup_cluster_", number, 5))
+    groups = scratch.cut(connected_components(edges, "id_a", "id_b", scratch), "groups")
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("cluster_size")).withColumn("__less", -F.col("cluster_size"))
+    placed = numbered(sizes, ["__less", "component"], "place", scratch)
+    named = placed.select("component", "cluster_size", T.numbered_id("dup_cluster_", F.col("place") + 1, 5).alias("cluster_id"))
     return groups.join(named, "component").select(F.col("node").alias("doc_id"), "component", "cluster_id", "cluster_size")
 
 

@@ -260,7 +260,7 @@ def suspicious_pairs(t):
 @query("dup_clusters", f"{WITH_PAIRS}, {CLUSTERS} SELECT doc_id, cluster_id, cluster_size FROM clusters")
 def dup_clusters(t):
     """A18, F09, W07"""
-    return C.duplicate_clusters(C.near_duplicate_pairs(_prints(t))).select("doc_id", "cluster_id", "cluster_size")
+    return C.duplicate_clusters(C.cluster_edges(_prints(t))).select("doc_id", "cluster_id", "cluster_size")
 
 
 SCORED = f"""scored AS (SELECT c.*, s.tokens, s.source, CASE WHEN l.quality = 1 THEN 2 WHEN l.quality IS NULL THEN 1 ELSE 0 END AS status_score,
@@ -269,7 +269,7 @@ SCORED = f"""scored AS (SELECT c.*, s.tokens, s.source, CASE WHEN l.quality = 1
 
 
 def _chosen(t):
-    clusters = C.duplicate_clusters(C.near_duplicate_pairs(_prints(t)))
+    clusters = C.duplicate_clusters(C.cluster_edges(_prints(t)))
     joined = clusters.join(stats(t), "doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left")
     status = F.when(F.col("quality") == 1, 2).when(F.col("quality").isNull(), 1).otherwise(0)
     fields = joined.withColumn("english", F.when(F.col("lang") == "en", F.col("lang")))

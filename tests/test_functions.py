@@ -156,3 +156,8 @@ def test_page_lines(spark):
     rows = {r.page: r for r in P.split_page_lines(spark.createDataFrame(lines, "page int, text string, x0 double, y0 double"), "page").collect()}
     assert (rows[1].header_text, rows[1].page_number_text, rows[1].main_text, rows[1].footnotes_text) == ("THE TITLE PAGE", "12", "main text", "1. note")
     assert rows[2].quality_flags == ["no_separator", "no_page_number"]
+
+
+def test_numbered_ids_keep_all_digits(spark):
+    df = spark.createDataFrame([(7,), (123456,)], "n long")
+    assert [r[0] for r in df.select(T.numbered_id("c_", "n", 5)).collect()] == ["c_00007", "c_123456"]

@@ -150,3 +150,16 @@ def test_versioned_table(spark, tmp_path):
     for version in (1, 1, 2):
         assert readers.versioned(spark, str(tmp_path / "t"), version, build).count() == 3
     assert len(calls) == 2
+
+
+def test_copies_cluster_by_one_edge_each(spark):
+    from quern.operators import corpus as C
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words), f"t{i}") for i in range(9)] + [(20 + i, " ".join([*words, f"end{i}"]), "t") for i in range(2)] + [(40, "alone in the world of all words", "t"), (41, "", "t"), (42, "", "t"), (43, None, "t")]
+    prints = C.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, title string"))
+    edges = C.cluster_edges(prints).collect()
+    assert sum(e.classification == "exact_duplicate" for e in edges) == 8
+    sort = lambda df: sorted(map(tuple, df.collect()))
+    assert sort(C.duplicate_clusters(C.cluster_edges(prints))) == sort(C.duplicate_clusters(C.near_duplicate_pairs(prints)))
+    assert C.duplicate_clusters(C.cluster_edges(prints.limit(0))).count() == 0
