@@ -51,4 +51,24 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES = {"op1_redirect_filter": OP1, "op6_quality_rules": OP6, "op10_decontaminate": OP10}
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+  occ AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS all_c FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+  size AS (SELECT lang, count(*) AS v, sum(all_c) AS all_n FROM kept GROUP BY lang),
+  counts AS (SELECT lang, source, term, count(*) AS c FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+  groups AS (SELECT DISTINCT lang, source FROM d),
+  own AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+  shares AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (coalesce(n, 0) + 5 * v)::HUGEINT AS p,
+      1 + (1000000000::HUGEINT * (all_c + 5)) // (all_n + 5 * v)::HUGEINT AS q
+    FROM groups g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN counts USING (lang, source, term) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source),
+  far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op1_redirect_filter": OP1, "op6_quality_rules": OP6, "op10_decontaminate": OP10, "op11_source_divergence": OP11}
