@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import arc_convert, decontaminate, divergence, line_dedup, lm_score, mixing, near_dup, quality_rules, sharding, token_planes, url_filter, whitening
+from quern.llm import arc_convert, decontaminate, divergence, line_dedup, lm_score, mixing, near_dup, pii, quality_rules, sharding, token_planes, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.op11_source_divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op12_pii_boosting(_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.op13_whitening(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_redirect_filter, op2_token_planes, op3_entropy_balance, op4_arc_to_warc, op5_backoff_automaton, op6_quality_rules, op7_segment_edit_join, op8_multi_index_minhash, op9_sampled_splitters, op10_decontaminate, op11_source_divergence, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_redirect_filter, op2_token_planes, op3_entropy_balance, op4_arc_to_warc, op5_backoff_automaton, op6_quality_rules, op7_segment_edit_join, op8_multi_index_minhash, op9_sampled_splitters, op10_decontaminate, op11_source_divergence, op12_pii_boosting, op13_whitening)}
