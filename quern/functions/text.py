@@ -26,6 +26,18 @@ LANGUAGE_TAGS = {
 DATE_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMMM yyyy", "d MMM yyyy", "d-MMMM-yyyy", "d-MMM-yyyy", "MMMM d, yyyy", "MMM d, yyyy")
 
 
+# Lines that the portal and the printer add, in any case.
+BOILERPLATE = (r"https?://JUDIS\.NIC\.IN/?", r"Page[ \t]+\d+[ \t]+of[ \t]+\d+")
+
+# Words that name a provision, or a section alone; each may end in s.
+PROVISION_WORDS = ("section", "sec", "article", "order", "rule")
+SECTION_WORDS = ("section", "sec")
+
+# Role labels of parties, and the words that open a note on a case's origin.
+ROLES = ("APPELLANT", "RESPONDENT", "PETITIONER", "APPLICANT")
+ORIGIN_NOTE = "ARISING OUT OF"
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -57,8 +69,8 @@ def clean_lines(x) -> Column:
 def clean_judgment(x) -> Column:
     """Portal and page-number lines go, blanks collapse, at most one empty line in a row."""
     t = F.replace(line_feeds(x), F.lit("\u0000"), F.lit(""))
-    t = sub(t, r"(?im)^[ \t]*https?://judis\.nic\.in/?[ \t]*$", "")
-    t = sub(t, r"(?im)^[ \t]*page[ \t]+\d+[ \t]+of[ \t]+\d+[ \t]*$", "")
+    for line in BOILERPLATE:
+        t = sub(t, rf"(?im)^[ \t]*{line}[ \t]*$", "")
     return strip(sub(sub(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
@@ -239,14 +251,15 @@ def plain_citations(x) -> Column:
 
 
 def act_of_hint(x) -> Column:
-    """A hint up to its provision."""
-    return sub(sub(x, r"(?i)\b(sections?|sec\.?|articles?|art\.?|orders?|rules?|schedules?|chapters?|clauses?)\b.*$", ""), r"[\s,;:\-]+$", "")
+    """A hint up to the first word for a section, article, order or rule, without marks at its end."""
+    return strip(sub(sub(collapse(x), rf"(?i)\b(?:{'|'.join(PROVISION_WORDS)})s?\b.*$", ""), r"[ :;,–—-]+$", ""))
 
 
 def sections_of_hint(x) -> Column:
-    """The section keys a hint names, distinct, in order."""
-    found = F.regexp_extract_all(F.lower(_c(x)), F.lit(r"\b(?:sections?|sec\.?|articles?|art\.?|rules?|orders?)\s+(\d+[a-z]{0,3})\b"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda n: F.concat(F.lit("section "), n)))
+    """The keys of all numbers behind the first word for a section, distinct, in order."""
+    tail = F.regexp_extract(collapse(x), rf"(?i)\b(?:{'|'.join(SECTION_WORDS)})s?\b(.*)", 1)
+    numbers = F.regexp_extract_all(tail, F.lit(r"\b(\d+[A-Za-z]{0,3})\b"), F.lit(1))
+    return F.array_distinct(F.transform(numbers, lambda n: section_key(F.concat(F.lit("Section "), n))))
 
 
 def names_provision(x) -> Column:
@@ -280,15 +293,22 @@ def pruned_json(**fields) -> Column:
     return F.to_json(F.struct(*(_c(v).alias(k) for k, v in fields.items())))
 
 
-ROLE = r"(?:appellant|respondent|petitioner|applicant)(?:s|\s*\(\s*s\s*\))?"  # fixed value: role labels
+def _without_role(line: Column) -> Column:
+    """A line without the role label that ends it, and without the dots or dashes before the label; a label alone stays."""
+    plain = F.regexp_replace(F.upper(line), r"(?:\s*\(\s*S\s*\)|S)$", "")
+    word = F.regexp_extract(plain, "[A-Z]+$", 0)
+    head = F.substring(line, F.lit(1), F.length(plain) - F.length(word))
+    parted = F.right(head, F.lit(1)).isin(" ", "\t", *".…–—-")
+    return F.when(word.isin(*ROLES) & parted, strip(sub(head, r"\s*[.…–—-]*\s*$", ""))).otherwise(line)
 
 
 def clean_party(x) -> Column:
-    """Lines that are numbers, rules or "arising out of" go, and so do role labels at a line's end."""
+    """Lines that are empty, numbers, rules of dots or dashes, or notes of origin go, and so do role labels at a line's end."""
     lines = F.transform(F.split(_c(x), "\n"), lambda v: strip(v))
-    kept = F.filter(lines, lambda v: (v != "") & ~v.rlike(r"^\d+$") & ~v.rlike(r"(?i)^\(?arising\s+out\s+of\b") & ~v.rlike(r"^[.…\s–—-]+$"))
-    bare = F.transform(kept, lambda v: strip(sub(v, rf"(?i)(?:\s*[.…–—-]+\s*|\s+){ROLE}\s*$", "")))
-    return F.array_join(F.filter(bare, lambda v: v != ""), "\n")
+    only = lambda v, marks: F.translate(v, marks, "") == ""
+    note = lambda v: F.ltrim(F.regexp_replace(F.upper(collapse(v)), r"^\(", "")).startswith(ORIGIN_NOTE)
+    kept = F.filter(lines, lambda v: ~only(v, "0123456789") & ~only(v, ".…–— \t-") & ~note(v))
+    return F.array_join(F.filter(F.transform(kept, _without_role), lambda v: v != ""), "\n")
 
 
 def distinct_ignoring_case(x) -> Column:

@@ -18,6 +18,9 @@ SEQUENCE, COVERAGE, LEAST_SEQUENCE = 0.72, 0.78, 0.45
 def _norm(x: str | None) -> str:
     return re.sub(r"[^a-z0-9]+", " ", (x or "").lower()).strip()
 
+# Weights of the sequence ratio, of the anchor's tokens and of the proposition's tokens.
+SEQUENCE_WEIGHT, COVERAGE_WEIGHT, SUPPORT_WEIGHT = 0.52, 0.38, 0.10
+
 
 def ordered_coverage(needle: list[str], hay: list[str]) -> float:
     """The share of tokens met in order, up to the first that is not."""
@@ -60,7 +63,7 @@ def resolve_anchor(source: str | None, anchor: str | None, proposition: str | No
         sequence = SequenceMatcher(None, wanted, own).ratio()
         covered = max(ordered_coverage(tokens, have), len(set(tokens) & set(have)) / len(set(tokens)))
         support = len(extra & set(have)) / len(extra) if extra else 0.0
-        total = 0.52 * sequence + 0.38 * covered + 0.10 * support
+        total = SEQUENCE_WEIGHT * sequence + COVERAGE_WEIGHT * covered + SUPPORT_WEIGHT * support
         if total > best[0]:
             best = (total, clause, covered, sequence)
     _, clause, covered, sequence = best

@@ -283,6 +283,23 @@ def hint_parts(t):
     return t("part").select("p_partkey", T.act_of_hint(hint).alias("act"), F.array_join(T.sections_of_hint(hint), ",").alias("sections"), T.names_provision(hint).alias("specific"))
 
 
+HINT = "CASE p_partkey % 6 WHEN 0 THEN 'General Clauses Act, 1897' WHEN 1 THEN p_name || ' Act,  sections 5, 14 and ' || p_size || 'A' WHEN 2 THEN p_name || ' Code - Sec. ' || p_size || '(2) and Art. 3, sec 7b' WHEN 3 THEN 'The ' || p_type || ' Rules' WHEN 4 THEN p_name || ' Order ' || p_size || ' Rule 3' ELSE p_brand || ' schedule ' || p_size || ' ; Article 14 ,' END"
+
+
+@query(
+    "hint_provisions",
+    f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(h, '(?i)\\b(sections?|secs?|articles?|orders?|rules?)\\b.*$', ''), '[ :;,–—-]+$', '')) AS act,
+      array_to_string(list_transform(list_distinct_first, lambda n: 'section ' || n), ',') AS sections
+    FROM (SELECT *, list_filter(numbers, lambda n, i: list_position(numbers, n) = i) AS list_distinct_first
+      FROM (SELECT p_partkey, h, list_transform(regexp_extract_all(regexp_extract(h, '(?i)\\b(sections?|secs?)\\b(.*)$', 2), '\\b\\d+[A-Za-z]{{0,3}}\\b'), lambda n: lower(n)) AS numbers
+        FROM (SELECT p_partkey, trim(regexp_replace({HINT}, '\\s+', ' ', 'g')) AS h FROM part)))""",
+)
+def hint_provisions(t):
+    """Hints with several sections, with words that only look like provisions, and with articles, orders and rules."""
+    hints = t("part").select("p_partkey", F.expr(HINT).alias("h"))
+    return hints.select("p_partkey", T.act_of_hint("h").alias("act"), F.array_join(T.sections_of_hint("h"), ",").alias("sections"))
+
+
 @query(
     "retrieval_terms",
     f"""SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split({match_sql("p_type || ' ' || p_name || ' under the act'")}, ' ')), lambda w: length(w) >= 3 AND NOT list_contains([{', '.join(f"'{w}'" for w in T.RETRIEVAL_STOP)}], w))), ',') AS terms FROM part""",

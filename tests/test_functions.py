@@ -161,3 +161,16 @@ def test_page_lines(spark):
 def test_numbered_ids_keep_all_digits(spark):
     df = spark.createDataFrame([(7,), (123456,)], "n long")
     assert [r[0] for r in df.select(T.numbered_id("c_", "n", 5)).collect()] == ["c_00007", "c_123456"]
+
+
+def test_hints_with_several_sections_and_words_that_look_like_provisions(spark):
+    assert one(spark, T.act_of_hint("s"), s="General Clauses Act, 1897") == "General Clauses Act, 1897"
+    assert one(spark, F.array_join(T.sections_of_hint("s"), ","), s="X Act, sections 5, 14 and 18, Section 5") == "section 5,section 14,section 18"
+    assert one(spark, T.act_of_hint("s"), s=" Limitation  Act, 1963 - Secs. 5") == "Limitation Act, 1963"
+    assert one(spark, F.array_join(T.sections_of_hint("s"), ","), s="Constitution, Article 14, Rule 3") == ""
+
+
+def test_party_lines(spark):
+    block = "1\n 22 \n(Arising out of SLP)\n arising  out of\n… – -\nM/s. A Corp. ... Appellant(s)\nB — respondents\nApplicant\nWrespondent\n  C Petitioner ( S )"
+    assert one(spark, T.clean_party("s"), s=block) == "M/s. A Corp.\nB\nApplicant\nWrespondent\nC"
+    assert one(spark, T.clean_party("s"), s=None) is None
