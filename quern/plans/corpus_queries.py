@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import corpus as C
+from quern.operators import sketch_join as SJ
 from quern.plans.registry import query
 from quern.plans.text_queries import clean_sql, dup_sql, tokens_sql, words_sql
 
@@ -263,6 +264,28 @@ def dup_clusters(t):
     return C.duplicate_clusters(C.cluster_edges(_prints(t))).select("doc_id", "cluster_id", "cluster_size")
 
 
+SKETCHED = f"""WITH RECURSIVE prints AS MATERIALIZED ({PRINTS}), texts AS (SELECT min(doc_id) AS first_id, exact_hash FROM prints GROUP BY exact_hash), heads AS MATERIALIZED (SELECT p.* FROM prints p JOIN texts ON doc_id = first_id),
+  hashes AS (SELECT doc_id, unnest(signature) AS h FROM heads), met AS (SELECT DISTINCT a.doc_id AS id_a, b.doc_id AS id_b FROM hashes a JOIN hashes b ON a.h = b.h AND a.doc_id < b.doc_id),
+  scores AS (SELECT id_a, id_b, len(list_intersect(a.signature, b.signature)) / least(len(a.signature), len(b.signature)) AS shingle, 1 - bit_count(xor(a.simhash, b.simhash)) / 60 AS sim,
+      (({LEN_SIM.format('words')}) + ({LEN_SIM.format('characters')})) / 2 AS length FROM met JOIN heads a ON a.doc_id = id_a JOIN heads b ON b.doc_id = id_b),
+  pairs AS MATERIALIZED (SELECT first_id AS id_a, doc_id AS id_b, 'exact_duplicate' AS classification, 1.0::DOUBLE AS shingle, 1.0::DOUBLE AS sim, 1.0::DOUBLE AS length FROM prints JOIN texts USING (exact_hash) WHERE doc_id <> first_id
+    UNION ALL SELECT id_a, id_b, CASE WHEN shingle >= .9 AND sim >= .9 AND length >= .9 THEN 'probable_near_duplicate' ELSE 'review' END, shingle, sim, length FROM scores
+      WHERE (shingle >= .9 AND sim >= .9 AND length >= .9) OR (shingle >= .7 AND length >= .8) OR (shingle >= .8 AND sim >= .8))"""
+
+
+@query("sketch_pairs", f"{SKETCHED} SELECT id_a, id_b, classification, round(shingle, 4) AS shingle_similarity, round(sim, 4) AS simhash_similarity, round(length, 4) AS length_similarity FROM pairs")
+def sketch_pairs(t):
+    """Every pair of different texts that any shared hash makes, copies collapsed first."""
+    pairs = SJ.sketch_pairs(t("documents"))
+    return pairs.select("id_a", "id_b", "classification", *(F.round(a, 4).alias(b) for a, b in (("shingle", "shingle_similarity"), ("sim", "simhash_similarity"), ("length", "length_similarity"))))
+
+
+@query("sketch_clusters", f"{SKETCHED}, {CLUSTERS} SELECT doc_id, component, cluster_size FROM clusters")
+def sketch_clusters(t):
+    """Clusters over all pairs"""
+    return SJ.sketch_clusters(t("documents"))
+
+
 SCORED = f"""scored AS (SELECT c.*, s.tokens, s.source, CASE WHEN l.quality = 1 THEN 2 WHEN l.quality IS NULL THEN 1 ELSE 0 END AS status_score,
   (CASE WHEN s.lang = 'en' THEN 1 ELSE 0 END) + 1 AS filled FROM clusters c JOIN ({STATS}) s USING (doc_id) LEFT JOIN labels l USING (doc_id)),
   chosen AS (SELECT *, first_value(doc_id) OVER (PARTITION BY cluster_id ORDER BY status_score DESC, filled DESC, tokens DESC, doc_id) AS canonical FROM scored)"""
