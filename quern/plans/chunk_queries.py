@@ -164,7 +164,7 @@ def judgment_headers(t):
 
 @query("act_sections", None)
 def act_sections(t):
-    """Sections of nested acts built from parts, found at any depth."""
+    """Sections of nested acts built from parts, found at any depth."""
     act = F.to_json(
         F.struct(
             F.col("p_name").alias("Act Title"),
