@@ -2,16 +2,21 @@
 
 Records are ordered by (hash of the text, hash of the id), so equal texts lie together. A sample is drawn in
 proportion to record size; its weighted quantiles give `shards * PER_SHARD` ranges. Exact range totals then
-settle the rest: ranges are laid end to end and each goes to the shard its middle falls in, and a range
-that turned out overfull is subdivided by the id hash first. Sizes follow the law `bytes`: shards differ
-by about one range. Slots number a shard's records without gaps, in key order.
+settle the rest: ranges are laid end to end and each goes to the shard its middle falls in. Where ranges would hold more than
+RANGE_BYTES each, all are cut into as many parts by the text's hash, so that no task sorts more; a range that
+turned out overfull is subdivided by a hash of the id and of the row's number, which it gets when the keys are written.
+Slots number a shard's records without gaps, in key order.
 
-What reaches the driver is the splitters, `shards * PER_SHARD` of them at any input size; the sample holds
-about SAMPLE rows. Passes after the first read a small table of (id, size, checksum, hashes).
+Sizes follow the law `bytes`: shards differ by about one range. Of the two wishes, equal sizes and equal texts together, sizes
+win: equal texts lie in one range, and so mostly in one shard, until they outweigh OVERFULL ranges; then they are spread, whether their
+ids differ, repeat or are null.
+
+What reaches the driver is the splitters, `shards * PER_SHARD` of them at any input size, and the sizes of overfull
+ranges; the sample holds about SAMPLE rows. Passes after the first read a table of (id, size, checksum, hashes, row number).
 
 Defined results: a null text has no bytes, size 1 and the checksum of no bytes. Repeated rows get a slot
 each. A null id sorts by its hash. An empty table gives an empty result. Extra columns are not read, or pass
-through `assign_shards` whatever their names.
+through `assign_shards` whatever their names. Reruns over the same files agree.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ PER_SHARD = 256
 SAMPLE = 1 << 16
 #: A range of more than so many times the mean is cut into that many pieces.
 OVERFULL = 2
+#: Bytes of records that a task sorts.
+RANGE_BYTES = 256 << 20
 
 
 def _splitters(keys: DataFrame, total: int, cells: int) -> list[tuple[int, int]]:
@@ -75,29 +82,30 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("k1"),
         F.xxhash64(F.col(id_col), F.lit(1)).alias("k2"),
+        F.monotonically_increasing_id().alias("rid"),
     ]
-    keys = scratch.cut(docs.select(*wanted), "keys")
+    rows = scratch.cut(docs.select(*([F.struct("*").alias("row")] if keep else []), *wanted), "keys", compression="zstd" if keep else "snappy")
+    keys = rows.drop("row")
     total = keys.agg(F.sum("size")).first()[0] or 0
     cells = shards * per_shard
-    mean = max(1.0, total / cells)
-    search = F.expr(_range_of(_splitters(keys, total, cells)))
+    parts = max(1, -(-total // (cells * RANGE_BYTES)))
+    mean = max(1.0, total / (cells * parts))
+    search = F.expr(_range_of(_splitters(keys, total, cells))).cast("long") * parts + F.pmod("k1", F.lit(parts))
     placed = keys.withColumn("range", search)
     sums = placed.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > OVERFULL * mean)
-    pieces = {r["range"]: int(-(-r["bytes"] // mean)) for r in sums.collect()}  # at most `cells` ranges
-    split = F.expr("element_at(map(" + ", ".join(f"{k}, {v}" for k, v in pieces.items()) + "), range)") if pieces else F.lit(None).cast("int")
-    piece = F.coalesce(F.pmod(F.col("k2"), split).cast("int"), F.lit(0))
+    pieces = {r["range"]: int(-(-r["bytes"] // mean)) for r in sums.collect()}  # few: those with a heavy text
+    split = F.expr("element_at(map(" + ", ".join(f"{k}L, {v}" for k, v in pieces.items()) + "), range)") if pieces else F.lit(None).cast("int")
+    piece = F.coalesce(F.pmod(F.xxhash64("k2", "rid"), split).cast("int"), F.lit(0))
     placed = placed.withColumn("piece", piece)
-    # ranges and pieces: a few thousand rows, whatever the input
+    # ranges and pieces: a row for each RANGE_BYTES of input, a few thousand at least
     laid = placed.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     order = Window.orderBy("range", "piece")
     middle = F.sum("bytes").over(order) - F.col("bytes") / 2
     laid = laid.withColumn("shard", F.least(F.floor(middle / max(total, 1) * shards), F.lit(shards - 1)).cast("int"))
     laid = laid.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("range", "piece")) - F.col("n"))
     table = scratch.cut(laid.select("range", "piece", "shard", "before"), "ranges")
-    if keep:
-        placed = docs.select(F.struct("*").alias("row"), *wanted).withColumn("range", search).withColumn("piece", piece)
-    numbered = placed.join(F.broadcast(table), ["range", "piece"]).withColumn(
-        "slot", F.col("before") + F.row_number().over(Window.partitionBy("range", "piece").orderBy("k1", "k2", "doc_id", "size")) - 1
+    numbered = rows.withColumn("range", search).withColumn("piece", piece).join(table, ["range", "piece"]).withColumn(
+        "slot", F.col("before") + F.row_number().over(Window.partitionBy("range", "piece").orderBy("k1", "k2", "rid")) - 1
     )
     return numbered.select(*(["row"] if keep else []), "doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 

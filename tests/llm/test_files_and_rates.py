@@ -268,6 +268,32 @@ def test_sharding(spark):
     assert S.op9_sampled_splitters(df.limit(0)).count() == 0
 
 
+def test_shards_of_copies_with_null_and_repeated_ids(spark, monkeypatch):
+    copies = "the same text again " * 20
+    small = [(i, f"row {i} " * (1 + i % 30), "x") for i in range(2000)]
+    for ids in ([None] * 2000, [7] * 2000, list(range(5000, 7000))):
+        df = spark.createDataFrame(small + [(i, copies, "x") for i in ids], "doc_id long, text string, shard string").repartition(5)
+        got = S.assign_shards(df).collect()
+        load, slots = defaultdict(int), defaultdict(list)
+        for r in got:
+            load[r.shard] += r.size
+            slots[r.shard].append(r.slot)
+        mean = sum(load.values()) / 16
+        assert len(got) == 4000 and all(abs(load[k] - mean) <= 0.1 * mean for k in range(16)), sorted(load.values())
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert sorted(r.row.text for r in S.assign_shards(df, keep=True).collect()) == sorted(t for t in [r.text for r in df.collect()])
+    # equal texts stay together while they are light
+    light = spark.createDataFrame([(i, f"text {i % 900}", "x") for i in range(3600)], "doc_id long, text string, shard string")
+    homes = defaultdict(set)
+    for r in S.assign_shards(light).collect():
+        homes[r.text_crc32].add(r.shard)
+    assert sum(len(h) > 1 for h in homes.values()) <= 16
+    # ranges that are cut by size
+    monkeypatch.setattr(S, "RANGE_BYTES", 4)
+    got = S.assign_shards(light).collect()
+    assert sorted(r.slot for r in got if r.shard == 3) == list(range(sum(r.shard == 3 for r in got)))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
