@@ -6,14 +6,15 @@ first n - ceil(0.7 n) + 1 is among them. Ordered by their number of texts, rares
 probe the index of all hashes, so every pair is found and frequent hashes are rarely asked for. A hash of one text
 is counted as rare and goes nowhere.
 
-Equal texts collapse first: only the one of the smallest id is sketched and compared; its copies are listed with it. A text is
-sketched where it lies, in Arrow batches, without a shuffle. The pairs of n texts that are all alike are n (n - 1) / 2
+Equal texts collapse first: only the one of the smallest id is compared; its copies are listed with it. Texts are
+sketched where they lie, in Arrow batches, without a shuffle. The pairs of n texts that are all alike are n (n - 1) / 2
 rows of the result itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,10 @@ LEAST_TENTHS = 7
 KNOWN_WORDS = 200_000
 
 
-def _hash60(x: bytes) -> int:
-    return int(hashlib.md5(x, usedforsecurity=False).hexdigest()[: S.HASH_DIGITS], 16)
+def _hashes60(texts: list[bytes]) -> np.ndarray:
+    """The first sixty bits of each text's MD5."""
+    md5 = hashlib.md5
+    return (np.frombuffer(b"".join([md5(x, usedforsecurity=False).digest() for x in texts]), ">u8")[::2] >> np.uint64(64 - S.HASH_BITS)).astype(np.int64)
 
 
 def _sketches(size: int, keep: int):
@@ -41,45 +44,58 @@ def _sketches(size: int, keep: int):
     shifts = np.arange(S.HASH_BITS, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
-
-        def votes(word: bytes) -> np.ndarray:
-            if (found := known.get(word)) is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                found = known[word] = (2 * ((_hash60(word) >> shifts) & 1) - 1).astype(np.int64)
-            return found
-
+        place: dict[bytes, int] = {}
+        votes = np.zeros((KNOWN_WORDS, S.HASH_BITS), np.float32)  # whole numbers; a text's sums stay far below 2^53
         for batch in batches:
             counts, signatures, bits = [], [], []
             for text in batch.column(1).to_pylist():
-                w = text.encode().split(b" ") if text else []
-                hashes = {_hash60(b" ".join(w[i : i + size])) for i in range(max(1, len(w) - size + 1))} if w else set()
-                total = np.zeros(S.HASH_BITS, np.int64)
-                for x in w:
-                    total += votes(x)
+                raw = text.encode() if text else b""
+                w = raw.split(b" ") if raw else []
                 counts.append(len(w))
-                signatures.append(sorted(hashes)[:keep])
-                bits.append(int(((total >= 0).astype(np.int64) << shifts).sum()) if w else 0)
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(signatures, pa.list_(pa.int64())), pa.array(bits, pa.int64())], names=["doc_id", "words", "signature", "simhash"])
+                if not w:
+                    signatures.append([])
+                    bits.append(0)
+                    continue
+                ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+                last = ends[size - 1 :].tolist() or [len(raw)]
+                starts = [0, *(ends + 1).tolist()]
+                signatures.append(np.unique(_hashes60([raw[x:y] for x, y in zip(starts, last, strict=False)]))[:keep])
+                total = np.zeros(S.HASH_BITS)
+                own = Counter(w)
+                distinct = list(own)
+                for at in range(0, len(distinct), KNOWN_WORDS):
+                    part = distinct[at : at + KNOWN_WORDS]
+                    new = [x for x in part if x not in place]
+                    if len(place) + len(new) > KNOWN_WORDS:
+                        place.clear()
+                        new = part
+                    if new:
+                        votes[len(place) : len(place) + len(new)] = 2 * ((_hashes60(new)[:, None] >> shifts) & 1) - 1
+                        place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+                    total += np.array([own[x] for x in part], np.float64) @ votes[[place[x] for x in part]]
+                bits.append(int(((total >= 0).astype(np.int64) << shifts).sum()))
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(signatures, pa.list_(pa.int64())), pa.array(bits, pa.int64())], names=["id", "words", "signature", "simhash"])
 
     return run
 
 
 def distinct_texts(docs: DataFrame, scratch: Scratch, size: int = S.SHINGLE, keep: int = S.SKETCH) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, first_id) of every document, and (doc_id, words, characters, signature, simhash) of the first of each text; null ids are left out."""
+    """(doc_id, first_id) of every id, and (doc_id, words, characters, signature, simhash) of the first id of each text; null ids are left out.
+
+    Of rows of one id the text with the smallest hash stands for it.
+    """
     norm = docs.where("doc_id is not null").select("doc_id", T.for_duplicates(F.coalesce("text", F.lit(""))).alias("t"))
-    hashed = scratch.cut(norm.select("doc_id", F.sha2("t", 256).alias("h")), "hashes")
-    first = hashed.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    members = scratch.cut(hashed.join(first, "h").select("doc_id", "first_id"), "members")
-    heads = members.where("doc_id = first_id").select("doc_id").distinct()
-    sized = norm.join(heads, "doc_id", "left_semi").select("doc_id", F.length("t").cast("long").alias("characters"), F.array_join(S.unicode_words("t"), " ").alias("w"))
+    sized = norm.select(F.struct("doc_id", F.length("t").cast("long").alias("characters"), F.sha2("t", 256).alias("h")).alias("id"), F.array_join(S.unicode_words("t"), " ").alias("w"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = sized.select(F.struct("doc_id", "characters").alias("id"), "w").mapInArrow(_sketches(size, keep), f"doc_id struct<doc_id:{kind},characters:bigint>, words long, signature array<long>, simhash long")
-    sketches = sketched.select("doc_id.doc_id", "words", "doc_id.characters", "signature", "simhash")
-    # rows of one id: the first of their sketches
-    single = sketches.groupBy("doc_id").agg(F.min(F.struct("words", "characters", "signature", "simhash")).alias("s"))
-    return members, scratch.cut(single.select("doc_id", "s.*"), "sketches")
+    each = sized.mapInArrow(_sketches(size, keep), f"id struct<doc_id:{kind},characters:bigint,h:string>, words long, signature array<long>, simhash long")
+    each = scratch.cut(each.select("id.*", "words", "signature", "simhash"), "sketches")
+    own = each.groupBy("doc_id").agg(F.min("h").alias("h"))
+    first = own.groupBy("h").agg(F.min("doc_id").alias("first_id"))
+    members = scratch.cut(own.join(first, "h").select("doc_id", "first_id", "h"), "members")
+    heads = members.where("doc_id = first_id").select(F.col("doc_id").alias("first_id"), "h")
+    # repeated rows of the first id are equal
+    single = each.join(heads, "h").where("doc_id = first_id").drop("first_id").groupBy("doc_id").agg(F.min(F.struct("words", "characters", "signature", "simhash")).alias("s"))
+    return members.select("doc_id", "first_id"), scratch.cut(single.select("doc_id", "s.*"), "texts")
 
 
 def candidates(sketches: DataFrame, scratch: Scratch) -> DataFrame:
@@ -100,7 +116,7 @@ def sketch_pairs(docs: DataFrame) -> DataFrame:
     """(id_a, id_b, classification, shingle, sim, length) of all pairs of different texts above `likely_distinct`, and of each copy with the first of its text.
 
     Null and empty texts have no words: they are copies of each other and pair with nothing else. Rows of one id and one text count once; of
-    rows of one id and different texts each text's hash decides its copies, and one of the texts is compared.
+    rows of one id and different texts the text with the smallest hash stands for the id.
     """
     scratch = Scratch(docs.sparkSession, "sketch-pairs")
     members, sketches = distinct_texts(docs, scratch)
