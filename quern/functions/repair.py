@@ -18,10 +18,20 @@ def strip_fences(x) -> Column:
     return F.trim(F.regexp_replace(t, r"\s*```$", ""))
 
 
+def parsed(x: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a variant; else null.
+
+    The engine's parser stops after the first value. Wrapped in brackets, what follows is an error or a second item, unless it closes the
+    bracket; wrapped in braces, unless it closes the brace; no text does both.
+    """
+    listed, held = F.concat(F.lit("["), x, F.lit("]")), F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}")))
+    return F.when(F.try_parse_json(listed).isNotNull() & (F.json_array_length(listed) == 1), F.try_variant_get(held, "$.v", "variant"))
+
+
 def outer_object(x) -> Column:
     """From the first brace to the last; null if that is no JSON."""
     t = F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.when(F.try_parse_json(t).isNotNull(), t)
+    return F.when(parsed(t).isNotNull(), t)
 
 
 def score(x) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.repair import parsed
 from quern.sources.scratch import Scratch
 
 #: Levels below the root; deeper documents raise.
@@ -34,7 +35,7 @@ def tree_nodes(docs: DataFrame, key: str, json_col: str, scratch: Scratch | None
     scratch = scratch or Scratch(docs.sparkSession, "tree")
     spark = docs.sparkSession
     text = F.col(json_col)
-    level = docs.where(text.isNotNull()).select(F.col(key).alias("k"), F.try_parse_json(text).alias("v"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("parent_kind"))
+    level = docs.where(text.isNotNull()).select(F.col(key).alias("k"), parsed(text).alias("v"), F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("parent_kind"))
     level = scratch.cut(level.select("*", F.when(F.col("v").isNull(), "bad_json").otherwise(_kind(F.col("v"))).alias("kind")), "level")
     every = level
     for _ in range(MAX_DEPTH):

@@ -187,7 +187,7 @@ def anchor_fuzzy(t):
 
 @query("json_recover", None)
 def json_recover(t):
-    """Arrays around each turn, fenced, wrapped in prose or cut off."""
+    """Arrays around each turn, fenced, wrapped in prose or cut off."""
     item = F.to_json(F.struct(F.concat(F.lit("D"), "turn").alias("source_id"), F.col("text").alias("reason"), F.lit("2/3").alias("score")))
     whole = F.concat(F.lit('{"results": ['), item, F.lit(", "), item, F.lit("]}"))
     k = F.col("turn") % 4
