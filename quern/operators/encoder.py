@@ -28,6 +28,8 @@ ROUNDS = 2
 UNIT = 1 << 20
 #: Words whose bucket a task remembers.
 KNOWN_WORDS = 200_000
+#: Documents that a task sums at least, where that leaves a task for every core: each task sends a matrix of the model's size.
+TASK_DOCS = 20_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -111,13 +113,17 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["place", "sums"])
 
 
-def _summed(words: DataFrame, task, shape: tuple[int, int]) -> np.ndarray:
-    """A matrix of the model's size, summed over all documents."""
+def _summed(words: DataFrame, n: int, task, shape: tuple[int, int], scratch: Scratch) -> np.ndarray:
+    """A matrix of the model's size, summed over all n documents."""
     kind = "place int, sums array<long>"
-    parts = words.select("place", "count").mapInArrow(task, kind).repartition("place").mapInArrow(_added, kind)
+    tasks = max(words.sparkSession.sparkContext.defaultParallelism, n // TASK_DOCS)
+    parts = words.select("place", "count").coalesce(tasks).mapInArrow(task, kind).repartition("place").mapInArrow(_added, kind)
+    # written, so that its shuffle files go before the next one
+    written = scratch.cut(parts, "sums")
     out = np.zeros(shape)
-    for r in parts.toLocalIterator():  # `shape` bounds what comes
+    for r in written.toLocalIterator():  # `shape` bounds what comes
         out[r.place] = np.array(r.sums) / UNIT
+    scratch.drop(written)
     return out
 
 
@@ -151,6 +157,7 @@ def bucketed(docs: DataFrame, key: str, text: str, scratch: Scratch, features: i
 
 def fit(words: DataFrame, width: int = WIDTH, spare: int = SPARE, rounds: int = ROUNDS, features: int = FEATURES) -> Encoder:
     """The model of all documents. Fewer independent documents than axes leave axes of no variance."""
+    scratch = Scratch(words.sparkSession, "fit")
     n = words.count()
     df = np.zeros(features)
     for r in words.select(F.explode("place").alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
@@ -158,8 +165,8 @@ def fit(words: DataFrame, width: int = WIDTH, spare: int = SPARE, rounds: int =
     idf = np.log((1 + n) / (1 + df)) + 1
     right = np.random.default_rng(1).standard_normal((features, width + spare))
     for _ in range(rounds):
-        right, _r = np.linalg.qr(_summed(words, _gram_times(idf, right), right.shape))
-    inner = _summed(words, _covered(idf, right), (right.shape[1],) * 2)
+        right, _r = np.linalg.qr(_summed(words, n, _gram_times(idf, right), right.shape, scratch))
+    inner = _summed(words, n, _covered(idf, right), (right.shape[1],) * 2, scratch)
     values, vectors = np.linalg.eigh(inner)
     return Encoder(idf, right @ vectors[:, ::-1][:, :width], values[::-1][:width])
 
