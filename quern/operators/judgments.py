@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.sources.scratch import Scratch
 
 # Words of the two layouts, and limits.
 LEGACY_LABELS = ("PETITIONER", "RESPONDENT", "BENCH", "CITATION", "ACT", "HEADNOTE", "JUDGMENT")  # a colon follows
@@ -24,6 +25,11 @@ AUTHOR_MARKS = ("J", "CJ", "CJI", "JUDGE")
 PETITIONER_LIMIT, MODERN_BODY_LIMIT, MODERN_HEADER, AUTHOR_LIMIT, CASE_LIMIT, DATE_LIMIT, CORAM_LINES, USABLE = 12_000, 15_000, 12_000, 700, 140, 100, 10, 300
 
 
+def _let(value: Column, body) -> Column:
+    """What `body` makes of a value that is made once, wherever it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # ---- what a line is
 
 
@@ -124,57 +130,65 @@ def is_legacy(raw: Column) -> Column:
 def labelled_fields(header: Column) -> Column:
     """Map from label to its texts, a line each, over lines that open with a label."""
     numbered = F.transform(header, lambda v, i: F.struct((i + 1).alias("at"), legacy_label(v).alias("label"), _legacy_value(v).alias("value")))
-    marks = F.filter(numbered, lambda m: m["label"].isNotNull())
     last = F.size(header) + 1
-    pieces = F.transform(
-        marks,
-        lambda m, k: F.struct(
-            m["label"].alias("label"),
-            T.clean_judgment(F.concat(m["value"], F.lit("\n"), _joined(F.slice(header, m["at"] + 1, F.coalesce(F.get(marks, k + 1)["at"], last) - m["at"] - 1)))).alias("text"),
-        ),
-    )
-    texts = lambda label: _joined(F.transform(F.filter(pieces, lambda p: (p["label"] == label) & (p["text"] != "")), lambda p: p["text"]))
+
+    def pieces(marks: Column) -> Column:
+        ends = lambda k: F.coalesce(F.get(marks, k + 1)["at"], last)
+        text = lambda m, k: T.clean_judgment(F.concat(m["value"], F.lit("\n"), _joined(F.slice(header, m["at"] + 1, ends(k) - m["at"] - 1))))
+        return F.transform(marks, lambda m, k: F.struct(m["label"].alias("label"), text(m, k).alias("text")))
+
     wanted = [x for x in (*LEGACY_LABELS, DATE_LABEL) if x != "JUDGMENT"]
-    return F.create_map(*(c for x in wanted for c in (F.lit(x), texts(x))))
+
+    def by_label(found: Column) -> Column:
+        texts = lambda label: _joined(F.transform(F.filter(found, lambda p: (p["label"] == label) & (p["text"] != "")), lambda p: p["text"]))
+        return F.create_map(*(c for x in wanted for c in (F.lit(x), texts(x))))
+
+    return _let(F.filter(numbered, lambda m: m["label"].isNotNull()), lambda marks: _let(pieces(marks), by_label))
 
 
 def explicit_date(header: Column) -> Column:
     """The first date that can be read behind a date label on its line."""
 
     def dated(line: Column) -> Column:
-        plain = F.btrim(F.regexp_replace(line, r"[ \t]+", " "))
-        rest = F.coalesce(*(F.when(F.upper(plain).startswith(x), F.substring(plain, F.lit(len(x) + 1), F.lit(DATE_LIMIT))) for x in DATE_LABELS))
+        rest = _let(F.btrim(F.regexp_replace(line, r"[ \t]+", " ")), lambda plain: F.coalesce(*(F.when(F.upper(plain).startswith(x), F.substring(plain, F.lit(len(x) + 1), F.lit(DATE_LIMIT))) for x in DATE_LABELS)))
         words = F.filter(F.transform(F.split(rest, "[ :]+"), lambda v: F.regexp_replace(v, r"^[,.(]+|[,.)]+$", "")), lambda v: v != "")
         # a date is one word (12.10.2015), or three with the month second or first
-        three = lambda i: F.concat_ws(" ", F.get(words, i), F.when(F.get(words, i).rlike("^[A-Za-z]"), F.concat(F.get(words, i + 1), F.lit(","))).otherwise(F.get(words, i + 1)), F.get(words, i + 2))
-        return F.get(F.array_compact(F.transform(words, lambda v, i: F.coalesce(T.parse_date(v), T.parse_date(three(i))))), F.lit(0))
+        three = lambda w, i: F.concat_ws(" ", F.get(w, i), F.when(F.get(w, i).rlike("^[A-Za-z]"), F.concat(F.get(w, i + 1), F.lit(","))).otherwise(F.get(w, i + 1)), F.get(w, i + 2))
+        read = lambda w: F.array_compact(F.transform(w, lambda v, i: F.coalesce(_let(v, T.parse_date), _let(three(w, i), T.parse_date))))
+        return F.get(_let(words, read), F.lit(0))
 
     return F.get(F.array_compact(F.transform(header, dated)), F.lit(0))
 
 
 def parties(header: Column) -> Column:
     """(petitioner, respondent, case_number) around the first versus line; empty without one, or without a case number before it."""
-    versus = _first(header, is_versus)
-    above = F.slice(header, F.lit(1), versus - 1)
-    places = F.transform(above, lambda v, i: F.when(is_case_number(v), i + 1))
-    case = F.array_max(places)
-    respondent = _from(header, versus + 1)
-    found = versus.isNotNull() & case.isNotNull()
     last_word = lambda v: T.strip(T.sub(v, r"(?i)\s+\b(?:versus|vs|v)\.?\s*$", ""))
-    return F.struct(
-        F.when(found, last_word(T.clean_party(_joined(_from(above, case + 1))))).otherwise("").alias("petitioner"),
-        F.when(found, T.clean_party(_joined(_until(respondent, _first(respondent, is_role))))).otherwise("").alias("respondent"),
-        F.when(found, T.clean_judgment(F.element_at(header, case))).alias("case_number"),
-    )
+
+    def around(versus: Column, case: Column) -> Column:
+        found = versus.isNotNull() & case.isNotNull()
+        above = F.slice(header, F.lit(1), versus - 1)
+        right = lambda below: T.clean_party(_joined(_until(below, _first(below, is_role))))
+        return F.struct(
+            F.when(found, last_word(T.clean_party(_joined(_from(above, case + 1))))).otherwise("").alias("petitioner"),
+            F.when(found, _let(_from(header, versus + 1), right)).otherwise("").alias("respondent"),
+            F.when(found, T.clean_judgment(F.element_at(header, case))).alias("case_number"),
+        )
+
+    case = lambda versus: F.array_max(F.transform(F.slice(header, F.lit(1), versus - 1), lambda v, i: F.when(is_case_number(v), i + 1)))
+    return _let(_first(header, is_versus), lambda versus: _let(case(versus), lambda place: around(versus, place)))
 
 
 def coram(header: Column) -> Column:
     """Up to ten lines of an explicit coram block."""
-    at = _first(header, lambda v: _label(v, (CORAM,)).isNotNull())
-    block = F.concat(F.array(_after_colon(F.element_at(header, at))), _from(header, at + 1))
-    stop = _first(block, lambda v: _label(v, CORAM_STOPS).isNotNull())
-    lines = F.filter(F.transform(_until(block, stop), lambda v: T.clean_judgment(v)), lambda v: v != "")
-    return F.when(at.isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.slice(lines, F.lit(1), F.lit(CORAM_LINES)))
+    none = F.expr("cast(array() as array<string>)")
+
+    def below(at: Column) -> Column:
+        block = F.concat(F.array(_after_colon(F.element_at(header, at))), _from(header, at + 1))
+        upto = _let(block, lambda b: _until(b, _first(b, lambda v: _label(v, CORAM_STOPS).isNotNull())))
+        lines = F.filter(F.transform(upto, lambda v: T.clean_judgment(v)), lambda v: v != "")
+        return F.when(at.isNull(), none).otherwise(F.slice(lines, F.lit(1), F.lit(CORAM_LINES)))
+
+    return _let(_first(header, lambda v: _label(v, (CORAM,)).isNotNull()), below)
 
 
 def author(body: Column) -> Column:
@@ -186,14 +200,15 @@ def author(body: Column) -> Column:
         mark = F.replace(F.replace(F.upper(last), F.lit("."), F.lit("")), F.lit(" "), F.lit(""))
         return bare.contains(",") & mark.isin(*AUTHOR_MARKS) & (F.length(bare) - F.length(last) - 1).between(3, 120)
 
-    lines = F.split(F.left(body, F.lit(AUTHOR_LIMIT)), "\n")
-    at = _first(lines, named)
-    return F.when(at.isNotNull(), T.clean_judgment(F.regexp_replace(F.btrim(F.element_at(lines, at)), r"[ \t]*:$", "")))
+    written = lambda line: T.clean_judgment(F.regexp_replace(F.btrim(line), r"[ \t]*:$", ""))
+    return _let(F.get(F.filter(F.split(F.left(body, F.lit(AUTHOR_LIMIT)), "\n"), named), F.lit(0)), written)
 
 
 def parse_judgments(docs: DataFrame, key: str, raw: str) -> DataFrame:
     """One record per judgment, by its layout, with flags and status."""
-    text = docs.select(key, is_legacy(F.col(raw)).alias("legacy"), T.clean_judgment(F.replace(F.col(raw), F.lit("\f"), F.lit("\n"))).alias("t"))
+    # each step is written: its arrays of lines are asked many questions, and inlined they would be made anew for each
+    scratch = Scratch(docs.sparkSession, "judgments")
+    text = scratch.cut(docs.select(key, is_legacy(F.col(raw)).alias("legacy"), T.clean_judgment(F.replace(F.col(raw), F.lit("\f"), F.lit("\n"))).alias("t")), "text")
     lines = text.select("*", F.split("t", "\n").alias("lines"))
     ls, legacy = F.col("lines"), F.col("legacy")
     # where the header starts and the body's heading stands
@@ -201,14 +216,18 @@ def parse_judgments(docs: DataFrame, key: str, raw: str) -> DataFrame:
     from_label = F.when(_start(ls, labelled) < PETITIONER_LIMIT, labelled)
     placed = lines.withColumn("top", F.when(legacy, from_label).otherwise(F.lit(1)))
     below = _from(ls, F.col("top"))
-    heading = F.when(legacy, _first(below, lambda v: _label(v, ("JUDGMENT",)).isNotNull())).otherwise(_first(ls, is_body_heading))
+    heading = F.when(legacy, _first(below, lambda v: _label(v, ("JUDGMENT",)).isNotNull())).otherwise(_first(ls, lambda v: (F.length(v) <= 24) & is_body_heading(v)))
     placed = placed.withColumn("at", heading + F.col("top") - 1)
     placed = placed.withColumn("at", F.when(legacy | (_start(ls, F.col("at")) < MODERN_BODY_LIMIT), F.col("at")))
+    placed = scratch.cut(placed.drop("lines"), "placed").withColumn("lines", F.split("t", "\n"))
+    scratch.drop(text)
     at, top = F.col("at"), F.col("top")
     on_line = F.when(legacy, _after_colon(F.element_at(ls, at))).otherwise("")
     head = F.when(legacy, F.slice(ls, top, F.coalesce(at, F.size(ls) + 1) - top)).when(at.isNotNull(), F.slice(ls, F.lit(1), at - 1)).otherwise(F.split(F.left("t", F.lit(MODERN_HEADER)), "\n"))
     body = F.when(at.isNull(), "").otherwise(T.clean_judgment(F.concat(on_line, F.lit("\n"), _joined(_from(ls, at + 1)))))
-    parts = placed.select(key, "legacy", F.col("t").alias("whole"), F.coalesce(head, F.expr("cast(array() as array<string>)")).alias("head"), body.alias("body"))
+    parts = placed.select(key, "legacy", F.coalesce(F.col("t") == "", F.lit(True)).alias("blank"), F.coalesce(head, F.expr("cast(array() as array<string>)")).alias("head"), body.alias("body"))
+    parts = scratch.cut(parts, "parts")
+    scratch.drop(placed)
     read = parts.withColumns({"old": F.when(legacy, labelled_fields(F.col("head"))), "new": F.when(~legacy, parties(F.col("head")))})
     old = lambda label: F.coalesce(F.col("old")[label], F.lit(""))
     last_word = lambda v: T.strip(T.sub(v, r"(?i)\s+\b(?:vs|v)\.?\s*$", ""))
@@ -224,7 +243,7 @@ def parse_judgments(docs: DataFrame, key: str, raw: str) -> DataFrame:
         F.when(~legacy, author(F.col("body"))).alias("judgment_author"),
         F.coalesce(F.length("body"), F.lit(0)).cast("long").alias("body_characters"),
         F.coalesce("body", F.lit("")).alias("judgment_text"),
-        F.coalesce(F.col("whole") == "", F.lit(True)).alias("blank"),
+        "blank",
         (legacy & (F.size("head") == 0)).alias("odd"),
     )
     flags = F.array_compact(
