@@ -268,3 +268,33 @@ def parse_judgments(docs: DataFrame, key: str, raw: str) -> DataFrame:
             "text_status": F.when(F.col("body_characters") >= USABLE, "usable").otherwise("review_required"),
         }
     ).drop("blank", "odd")
+
+
+# Characters of the raw header, of the body's start and of its end in a report.
+RAW_HEADER, BODY_START, BODY_END = 5000, 1200, 600
+CHECKED = {"title": "Untitled judgment", "petitioner": "", "respondent": "", "judgment_date": None, "bench": "", "case_number": None, "judgment_author": None}
+
+
+def review_report(docs: DataFrame, key: str, raw: str) -> DataFrame:
+    """One row per judgment for a reader: the raw header beside the parsed fields, the body's start and end, and what is missing.
+
+    The raw header ends before the first line labelled JUDGMENT, or after RAW_HEADER characters where there is none. `missing` lists the
+    fields without a value; case number and author are asked of modern judgments alone. Keys must not repeat; a null text gives a row
+    with everything missing.
+    """
+    lines = F.split(T.line_feeds(F.coalesce(F.col(raw), F.lit(""))), "\n")
+    at = lambda ls: _first(ls, lambda v: _label(v, ("JUDGMENT",)).isNotNull())
+    header = _let(lines, lambda ls: _let(at(ls), lambda k: F.when(k.isNull(), F.left(_joined(ls), F.lit(RAW_HEADER))).otherwise(_joined(F.slice(ls, F.lit(1), k - 1)))))
+    shown = docs.select(F.col(key).alias("k"), header.alias("raw_header"))
+    headnote = F.exists(F.split("raw_header", "\n"), lambda v: F.coalesce(_label(v, ("HEADNOTE",)).isNotNull(), F.lit(False)))
+    parsed = parse_judgments(docs, key, raw)
+    modern = {"case_number", "judgment_author"}
+    lost = (F.when((F.col(c).isNull() if empty is None else F.coalesce(F.col(c), F.lit("")) == empty) & ((F.col("document_format") == "modern") if c in modern else F.lit(True)), F.lit(c)) for c, empty in CHECKED.items())
+    missing = F.array_compact(F.array(*lost, F.when(F.col("body_characters") == 0, F.lit("judgment_text"))))
+    both = parsed.join(shown, F.col(key).eqNullSafe(F.col("k")))
+    body = F.col("judgment_text")
+    fields = [c for c in CHECKED]
+    return both.select(
+        key, "document_format", "raw_header", headnote.alias("headnote_in_source"), *fields, F.left(body, F.lit(BODY_START)).alias("body_start"), F.right(body, F.lit(BODY_END)).alias("body_end"), "quality_flags",
+        F.array_join(missing, ",").alias("missing"),
+    )

@@ -143,9 +143,7 @@ HEADERS = f"""WITH built AS (SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 2 AS
     CASE WHEN quality_flags = '' THEN 'parsed' ELSE 'review_required' END AS parse_status, CASE WHEN length(judgment_text) >= 300 THEN 'usable' ELSE 'review_required' END AS text_status FROM flagged"""
 
 
-@query("judgment_headers", HEADERS)
-def judgment_headers(t):
-    """Judgments written around the documents' texts, parsed by layout; the SQL says what was written into them."""
+def _written_judgments(t):
     nl = F.lit("\n")
     label = F.concat(
         F.lit("IN THE COURT\nPETITIONER:\n"), "source", F.lit("\n\tVs.\nRESPONDENT:\nState "), "lang", F.lit("\n\nDATE OF JUDGMENT 1"), F.col("doc_id") % 9, F.lit("/02/1995\n\nBENCH:\nA. JUDGE\nB. JUDGE\nBENCH: a. judge\nACT:\n\nJUDGMENT:\n"), "text"
@@ -157,11 +155,32 @@ def judgment_headers(t):
         F.lit("REPORTABLE\nCIVIL APPEAL NO. 1 OF 1999\nCurative Petition Nos. "), F.col("doc_id"), F.lit(" of 2015\n(Arising out of an order)\n"), "source", F.lit(" ... Appellant(s)\n"), separator, F.lit("\n1\nState "), "lang",
         F.lit("\n... Respondent(s)\nCoram: Hon. A\nHon. B\nCounsel: none\n"), dated, nl, heading, F.lit("\nX. Y. Roe, J.\n"), "text",
     )
-    raw = t("documents").where("source is not null and lang is not null and text is not null").select("doc_id", F.when(F.col("doc_id") % 2 == 0, label).otherwise(modern).alias("raw"))
-    found = J.parse_judgments(raw, "doc_id", "raw")
+    return t("documents").where("source is not null and lang is not null and text is not null").select("doc_id", F.when(F.col("doc_id") % 2 == 0, label).otherwise(modern).alias("raw"))
+
+
+@query("judgment_headers", HEADERS)
+def judgment_headers(t):
+    """Judgments written around the documents' texts, parsed by layout; the SQL says what was written into them."""
+    found = J.parse_judgments(_written_judgments(t), "doc_id", "raw")
     return found.withColumns({"body_md5": F.md5("judgment_text"), "case_number": F.upper("case_number"), "bench": F.upper("bench")}).drop("judgment_text")
 
 
+LEGACY_HEADER = "'IN THE COURT' || chr(10) || 'PETITIONER:' || chr(10) || source || chr(10) || chr(9) || 'Vs.' || chr(10) || 'RESPONDENT:' || chr(10) || 'State ' || lang || chr(10) || chr(10) || 'DATE OF JUDGMENT 1' || (doc_id % 9) || '/02/1995' || chr(10) || chr(10) || 'BENCH:' || chr(10) || 'A. JUDGE' || chr(10) || 'B. JUDGE' || chr(10) || 'BENCH: a. judge' || chr(10) || 'ACT:' || chr(10)"
+
+
+@query(
+    "judgment_review",
+    f"""SELECT h.doc_id, document_format, CASE WHEN document_format = 'legacy' THEN md5({LEGACY_HEADER}) END AS legacy_header_md5, false AS headnote_in_source, title, judgment_date, left(r.judgment_text, 1200) AS body_start, right(r.judgment_text, 600) AS body_end,
+      concat_ws(',', CASE WHEN judgment_date IS NULL THEN 'judgment_date' END, CASE WHEN body_characters = 0 THEN 'judgment_text' END) AS missing
+    FROM ({HEADERS}) h JOIN (SELECT doc_id, source, lang, {BODY} AS judgment_text FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'X. Y. Roe, J.' || chr(10) || text END AS body FROM documents)) r USING (doc_id)""",
+)
+def judgment_review(t):
+    """L21"""
+    found = J.review_report(_written_judgments(t), "doc_id", "raw")
+    legacy = F.when(F.col("document_format") == "legacy", F.md5("raw_header"))
+    return found.select("doc_id", "document_format", legacy.alias("legacy_header_md5"), "headnote_in_source", "title", "judgment_date", "body_start", "body_end", "missing")
+
+
 @query("act_sections", None)
 def act_sections(t):
     """Sections of nested acts built from parts, found at any depth."""
