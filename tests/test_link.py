@@ -44,3 +44,52 @@ def test_sequence_links_against_brute_force(spark):
     none = L.link_by_date(a, b.limit(0), columns("id"), columns("score")).collect()
     assert len(none) == len(records) and {r.status for r in none} == {"NO_MATCH"}
     assert L.link_by_date(a.limit(0), b, columns("id"), columns("score")).collect() == []
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_of_all_pairs_of_names():
+    from quern.functions.edits import distances
+
+    made = random.Random(5)
+    name = lambda: "".join(made.choice("ab\u00e9c 1") for _ in range(made.choice([0, 1, 2, 9, 63, 64, 65, 90])))
+    a, b = [name() for _ in range(40)], [name() for _ in range(30)]
+    assert distances(a, b).tolist() == [[edits(x, y) for y in b] for x in a]
+    assert distances([], b).shape == (0, 30) and distances(a, []).shape == (40, 0)
+
+
+def test_edit_links_over_many_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)
+    made = random.Random(7)
+    names = ["A & B Corp.", "A and B Corp", "State of X", "Union", "M/s. Z", "", None, "\u00fc", "state of x ", "Union of 1", "Union of 2", "long name " * 9]
+    row = lambda i: (i, made.choice([1, 1, 1, 2, None]), made.choice(names), made.choice(names))
+    records, metadata = [row(i) for i in range(80)], [row(i + 100) for i in range(60)] + [(99, 1, "Union", "")] * 2
+    day = "date_add(date'2020-01-01', d) AS day"
+    a, b = (spark.createDataFrame(t, "id long, d int, p string, q string").selectExpr("id", day, "p", "q") for t in (records, metadata))
+    got = L.link_by_date(a, b, ("id", "day", "p", "q"), ("id", "day", "p", "q")).collect()
+    alike = lambda x, y: 100.0 * (1 - edits(x, y) / max(len(x), len(y))) if x or y else 100.0
+    for r, (i, d_, p, q) in zip(sorted(got), records, strict=True):
+        scored = []
+        for m, e, f, g in metadata:
+            if d_ is not None and d_ == e:
+                first = alike(norm(p), norm(f))
+                scored.append((-round(first if not norm(q) or not norm(g) else 0.55 * first + 0.45 * alike(norm(q), norm(g)), 6), m))
+        best = min(scored, default=(None, None))
+        assert (r.id, r.candidates, r.match, r.ties) == (i, len(scored), best[1], sum(s[0] == best[0] for s in scored))
+
+
+def test_nearest_names_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 3)
+    asked = [(g, n) for g in (1, 2, 3) for n in ("abc", "abd", "", None, "zzzz")]
+    held = [(1, n, k) for k, n in enumerate(["abx", "abc", "", None, "zz", "abx", "abd"], 10)] + [(2, "", 30), (2, None, 29)]
+    a, b = spark.createDataFrame(asked, "g int, n string"), spark.createDataFrame(held, "g int, n string, k long")
+    got = {(r.group, r.first): (r.least, r.edits) for r in L.nearest_name(a, b, "g", "n", "g", "n", "k").collect()}
+    assert got == {(1, "abc"): (11, 0), (1, "abd"): (16, 0), (1, ""): (10, 3), (1, "zzzz"): (14, 2), (2, "abc"): (30, 3), (2, "abd"): (30, 3), (2, "zzzz"): (30, 4)}
