@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import sketch as S
 from quern.functions import text as T
+from quern.operators import link as L
 from quern.operators import retrieval as R
 from quern.plans.registry import query
 from quern.plans.text_queries import dup_sql, match_sql
@@ -265,9 +266,16 @@ def title_jaccard(t):
 )
 def link_best_match(t):
     """An equi-join, then the most similar name; edit distance in place of the sequence ratio."""
-    own = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "c_name")
-    met = own.join(t("supplier"), F.col("c_nationkey") == F.col("s_nationkey"), "left")
-    score = 1 - F.levenshtein(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")), "s_name") / F.greatest(F.length("c_name"), F.length("s_name"))
+    called = F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))
+    own = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "c_name", called.alias("called"))
+    asked = t("customer").select(F.col("c_nationkey").alias("nation"), called.alias("called")).where("nation is not null and called is not null")
+    suppliers = t("supplier").where("s_nationkey is not null")
+    nearest = L.nearest_name(asked, suppliers, "nation", "called", "s_nationkey", "s_name", "s_suppkey")
+    met = own.join(nearest, (F.col("c_nationkey") == F.col("group")) & (own["called"] == F.col("first")), "left")
+    # without a name on either side no score can be told, and the first supplier of the nation stands
+    any_of = suppliers.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("any"))
+    met = met.join(F.broadcast(any_of), F.col("c_nationkey") == F.col("s_nationkey"), "left").withColumn("s_suppkey", F.coalesce("least", "any"))
+    score = 1 - F.col("edits") / F.greatest(F.length("c_name"), F.length("name"))
     best = met.select("o_orderkey", "s_suppkey", score.alias("score")).groupBy("o_orderkey").agg(F.max(F.struct("score", (-F.col("s_suppkey")).alias("m"))).alias("b"))
     s = F.col("b.score")
     status = F.when(s.isNull(), "NO_MATCH").when(s >= 0.85, "HIGH_CONFIDENCE").when(s >= 0.65, "REVIEW").otherwise("LOW_CONFIDENCE")
