@@ -222,6 +222,34 @@ def sequence_ratio(pairs: DataFrame, left: str, right: str, out: str = "ratio")
     return pairs.withColumn(out, ratio(left, right))
 
 
+#: Token sets of a group that one task meets with another such block of it, and keys that one row of a set lists.
+SET_BLOCK, KEY_LIST = 2048, 1024
+
+
+def jaccard_pairs(rows: DataFrame, key: str, group: list[str], tokens: str) -> DataFrame:
+    """(a, b, jaccard) of all pairs a < b of a group; `tokens` are sorted arrays of distinct tokens.
+
+    Every pair is listed, so rows grow with the square of a group. Each two different token sets of a group are compared once,
+    and the pairs of their rows unfolded from lists. Sets meet in blocks that tasks share: the bytes of a table say nothing about
+    its number of pairs, so they must not decide on the tasks.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    found = rows.na.drop(subset=[key, *group])
+    sizes = found.groupBy(*group, tokens).agg(F.count(F.lit(1)).alias("n")).groupBy(*group).agg(F.ceil(F.sum(F.ceil(F.col("n") / KEY_LIST)) / SET_BLOCK).cast("int").alias("blocks"), F.ceil(F.max("n") / KEY_LIST).alias("lists"))
+    dealt = found.join(sizes, group).withColumn("list", F.pmod(F.xxhash64(key), F.col("lists")))
+    sets = dealt.groupBy(*group, F.col(tokens).alias("w"), "list", "blocks").agg(F.collect_list(key).alias("keys"))
+    sets = sets.withColumns({"block": F.pmod(F.xxhash64("w", "list"), F.col("blocks")).cast("int"), "every": F.sequence(F.lit(0), F.col("blocks") - 1)})
+    side = lambda n, own, other: sets.select(*group, F.col("block").alias(own), F.explode("every").alias(other), *(F.col(c).alias(f"{c}_{n}") for c in ("w", "list", "keys"))).repartition(tasks, *group, "x", "y")
+    met = side("x", "x", "y").join(side("y", "y", "x"), [*group, "x", "y"])
+    one, other = (F.struct(F.col("x").alias("p") if n == "x" else F.col("y").alias("p"), F.col(f"list_{n}").alias("q"), F.col(f"w_{n}").alias("r")) for n in "xy")
+    shared = F.size(F.array_intersect("w_x", "w_y"))
+    both = F.size("w_x") + F.size("w_y") - shared
+    scored = met.where(one <= other).select((one == other).alias("same"), "keys_x", "keys_y", F.when(both > 0, shared / both).otherwise(F.lit(0.0)).alias("jaccard"))
+    unfolded = scored.select("same", "jaccard", "keys_y", F.explode("keys_x").alias("i")).select("same", "jaccard", "i", F.explode("keys_y").alias("j"))
+    return unfolded.where("i < j or (i > j and not same)").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "jaccard")
+
+
 def match_hints(hints: DataFrame, acts: DataFrame, hint_id: str, hint: str, least: float = 0.82) -> DataFrame:
     """(hint_id, act_key, score): the exact key first; else the best of 0.60 Jaccard and 0.40 sequence, years agreeing.
 

@@ -253,9 +253,8 @@ TITLE_TERMS = f"string_split(trim(regexp_replace({dup_sql('p_name')}, '[^a-z0-9
 )
 def title_jaccard(t):
     """X12, U04"""
-    own = t("part").select("p_partkey", "p_brand", "p_size", F.array_distinct(F.split(T.title_key("p_name"), " ")).alias("w"))
-    a, b = own.withColumnsRenamed({"p_partkey": "a", "w": "x"}), own.withColumnsRenamed({"p_partkey": "b", "w": "y"})
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(S.token_jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    own = t("part").select("p_partkey", "p_brand", "p_size", F.array_sort(F.array_distinct(F.split(T.title_key("p_name"), " "))).alias("w"))
+    return R.jaccard_pairs(own, "p_partkey", ["p_brand", "p_size"], "w").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(

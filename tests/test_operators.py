@@ -163,3 +163,15 @@ def test_copies_cluster_by_one_edge_each(spark):
     sort = lambda df: sorted(map(tuple, df.collect()))
     assert sort(C.duplicate_clusters(C.cluster_edges(prints))) == sort(C.duplicate_clusters(C.near_duplicate_pairs(prints)))
     assert C.duplicate_clusters(C.cluster_edges(prints.limit(0))).count() == 0
+
+
+def test_title_pairs_in_blocks_and_lists(spark, monkeypatch):
+    from quern.operators import retrieval as R
+
+    monkeypatch.setattr(R, "SET_BLOCK", 2)
+    monkeypatch.setattr(R, "KEY_LIST", 3)
+    words = [["a"], ["a", "b"], ["a", "b", "c"], ["d"], [""], ["b", "d"]]
+    rows = [(k, "p" if k % 3 else None if k % 2 else "q", k % 2, words[k * k % 7 % 6]) for k in range(60)] + [(3, "q", 1, ["d"])]
+    got = R.jaccard_pairs(spark.createDataFrame(rows, "k long, g string, h int, w array<string>"), "k", ["g", "h"], "w").collect()
+    wanted = [(a, b, len({*w} & {*v}) / len({*w} | {*v})) for a, g, h, w in rows for b, o, p, v in rows if g is not None and (g, h) == (o, p) and a < b]
+    assert sorted(map(tuple, got)) == sorted(wanted)
