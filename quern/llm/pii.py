@@ -8,22 +8,25 @@ compiled into one SQL expression. A candidate is taken if its score reaches its
 held-out rows are right in PRECISION of the cases. Candidates that overlap a base span are
 dropped; of a chain of overlapping candidates the highest score stays (then the longer, then the earlier kind).
 
-The trees are fitted on a bounded sample: the TRAIN_SPANS base spans of each kind with the lowest hash. Each is rewritten in
+The trees are fitted on all different base spans. Each is rewritten in
 the ways in which people disguise or shorten such data (label 1) and into things that look alike (label 0: a wrong
 checksum, dates, order numbers, lists of numbers, plain sentences), with and without a leading word. Three quarters
-fit the trees, one quarter sets the thresholds. A table with fewer than LEAST_SPANS base spans has no model, and base spans alone.
+fit the trees, one quarter sets the thresholds. Rows of equal features count as one of their number's weight, so that the
+trees read a table of the formats that occur, whose size the features' few values bound. A table with fewer than LEAST_SPANS base spans has no model, and base spans alone.
 
 Texts are searched once. Matches are written with the lengths between them as a small table; running sums per document
 give the positions, so a text with any number of matches is handled in linear time. All patterns start only where a run of
 their first characters starts, or where the last match ended, so that long runs cost linear time as well.
 
 Positions are code points, ends exclusive. Defined results: a null or empty text has no spans. Repeated rows, and rows of equal or null
-ids, are judged each. An empty table gives an empty result. Extra columns are not read. Reruns agree: the sample is by hash, and
-the trees are fitted on one sorted partition.
+ids, are judged each. An empty table gives an empty result. Extra columns are not read. Reruns agree: rewritings are chosen by hash,
+and the trees are fitted on one sorted partition of weighted formats.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from quern.sources.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
-#: Base spans of a kind in the sample, and base spans without which no trees are fitted.
-TRAIN_SPANS, LEAST_SPANS = 400, 20
+#: Rewritten rows without which no trees are fitted.
+LEAST_SPANS = 20
 TREES, DEPTH, RATE = 12, 4, 0.3
 PRECISION = 0.98
 #: Code points of context before and after a match.
@@ -135,13 +138,12 @@ def _pick(words: tuple[str, ...], salt: int) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.shiftright("h", salt), F.lit(len(words))) + 1).cast("int"))
 
 
-def _sample(base: DataFrame, spans: int) -> DataFrame:
-    """The `spans` base spans of each kind with the lowest hash, with the parts that rewritings are made of."""
+def _parts(base: DataFrame) -> DataFrame:
+    """The different base spans, with the parts that rewritings are made of."""
     keyed = base.select("kind", "hit", "before", "after").distinct().withColumn("h", F.xxhash64("kind", "hit", "before", "after"))
-    some = keyed.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("h", "hit", "before"))).where(F.col("place") <= spans)
     number = lambda salt, low, high: (F.pmod(F.shiftright("h", salt), F.lit(high - low)) + low).cast("string")
     words = F.concat(F.filter(F.split("before", "[^A-Za-z]+"), lambda w: w != ""), F.array(*map(F.lit, ("then", "more", "some"))))
-    return some.select(
+    return keyed.select(
         "kind", "hit", "before", "after", "h", _digits(F.col("hit")).alias("d"), F.right(_digits(F.col("hit")), F.lit(10)).alias("local"),
         F.array(*(number(s, 10, 99) for s in (3, 7, 11))).alias("two"), F.array(*(number(s, 256, 999) for s in (3, 7, 11, 15))).alias("three"), F.array(number(5, 1900, 2040), number(25, 1900, 2040)).alias("year"),
         F.lpad(number(9, 1, 13), 2, "0").alias("month"), F.lpad(number(13, 1, 29), 2, "0").alias("day"), F.slice(words, 1, 3).alias("w"),
@@ -174,13 +176,13 @@ def _rewritten(kind: int) -> tuple[Column, Column]:
     return forms, alike
 
 
-def training_rows(base: DataFrame, scratch: Scratch, spans: int = TRAIN_SPANS) -> DataFrame:
-    """(kind, hit, before, after, label, fold): rewritings of a bounded sample of the base spans, as the wide patterns would find them."""
-    sample = scratch.cut(_sample(base, spans), "sample")
+def training_rows(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """(kind, hit, before, after, label, fold): rewritings of the base spans, as the wide patterns would find them."""
+    parts = scratch.cut(_parts(base), "parts")
     out = None
     for kind, wide in enumerate(WIDE):
         forms, alike = _rewritten(kind)
-        some = sample.where(F.col("kind") == kind)
+        some = parts.where(F.col("kind") == kind)
         rows = some.select("kind", "h", "before", "after", F.posexplode(forms).alias("i", "hit")).withColumn("label", F.lit(1))
         rows = rows.union(some.select("kind", "h", "before", "after", F.posexplode(alike)).withColumn("label", F.lit(0)))
         if kind == 3:  # the same groups after a word that names something else
@@ -190,7 +192,7 @@ def training_rows(base: DataFrame, scratch: Scratch, spans: int = TRAIN_SPANS) -
         rows = rows.select("kind", "hit", F.concat("before", word).alias("before"), "after", (F.col("label") == 1).cast("int").alias("label"), F.pmod("h", F.lit(4)).alias("fold"))
         rows = rows.where(F.col("hit").rlike(f"^(?:{wide})$"))
         out = out.union(rows) if out is not None else rows
-    return scratch.cut(out, "rewritten")
+    return out
 
 
 def features() -> dict[str, Column]:
@@ -243,20 +245,24 @@ def _as_sql(node, names: list[str]) -> str:
     return f"CASE WHEN {names[split.featureIndex()]} <= {float(split.threshold())!r}D THEN {_as_sql(node.leftChild(), names)} ELSE {_as_sql(node.rightChild(), names)} END"
 
 
-def fit(base: DataFrame, scratch: Scratch, spans: int = TRAIN_SPANS) -> tuple[str, dict[int, float]] | None:
+def fit(base: DataFrame, scratch: Scratch) -> tuple[str, dict[int, float]] | None:
     """The score as SQL over the features, and the threshold of each kind; None without enough spans."""
     made = features()
     names = list(made)
-    rows = training_rows(base, scratch, spans).select("label", "fold", *(v.alias(k) for k, v in made.items()))
-    rows = scratch.cut(rows.repartition(1).sortWithinPartitions("fold", "label", *names), "training")
-    if rows.where("label = 1 and fold > 0").count() < LEAST_SPANS or rows.where("label = 0 and fold > 0").isEmpty():
+    rows = training_rows(base, scratch).select("label", "fold", *(v.alias(k) for k, v in made.items()))
+    formats = rows.groupBy("label", (F.col("fold") > 0).alias("fits"), *names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = scratch.cut(formats.repartition(1).sortWithinPartitions("fits", "label", *names), "training")
+    n, good, bad = rows.where("fits").agg(F.count(F.lit(1)), F.sum(F.when(F.col("label") == 1, F.col("weight"))), F.sum(F.when(F.col("label") == 0, F.col("weight")))).first()
+    if (good or 0) < LEAST_SPANS or not bad:
         return None
     vector = VectorAssembler(inputCols=names, outputCol="features")
-    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, minInstancesPerNode=5, maxBins=32, seed=1, featureSubsetStrategy="all")
-    model = learner.fit(vector.transform(rows.where("fold > 0")).select("label", "features").coalesce(1))
+    # with fewer bins than the root of the rows, Spark would look for splits on a sample of them
+    bins = max(32, isqrt(n) + 1)
+    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, minInstancesPerNode=1, maxBins=bins, seed=1, featureSubsetStrategy="all", weightCol="weight")
+    model = learner.fit(vector.transform(rows.where("fits")).select("label", "features", "weight").coalesce(1))
     weighted = zip(model.trees, model.treeWeights, strict=True)
     score = " + ".join(f"{float(w)!r}D * ({_as_sql(t._java_obj.rootNode(), names)})" for t, w in weighted)
-    held = rows.where("fold = 0").select("kind", "label", F.round(F.expr(score), 6).alias("score")).groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+    held = rows.where("not fits").select("kind", "label", "weight", F.round(F.expr(score), 6).alias("score")).groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("n"))
     above = Window.partitionBy("kind").orderBy(F.desc("score"))
     right = held.select("kind", "score", (F.sum("good").over(above) / F.sum("n").over(above)).alias("precision"))
     least = right.where((F.col("precision") >= PRECISION) & (F.col("score") > 0)).groupBy("kind").agg(F.min("score").alias("least"))
@@ -290,13 +296,13 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_spans: int = TRAIN_SPANS) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans), a row for each document: arrays of (kind, start, end, base) by kind and start."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = find_matches(docs, id_col, text_col, scratch)
     placed = scratch.cut(place_matches(found), "places")
     base = base_spans(placed)
-    model = fit(base, scratch, train_spans)
+    model = fit(base, scratch)
     all_spans = base.select("rid", "kind", "start", "end", F.lit(True).alias("base"))
     if model:
         all_spans = all_spans.union(taken_candidates(placed, base, model, scratch).withColumn("base", F.lit(False)))

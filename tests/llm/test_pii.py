@@ -85,3 +85,11 @@ def test_empty_small_and_reruns(spark):
 def test_redacted_texts(spark):
     got = P.redact(frame(spark, [(1, "to a@b.co, 1.2.3.4!"), (2, None), (3, "𝒳 plain"), (4, "+123456789012 x")])).collect()
     assert {r.doc_id: r.text for r in got} == {1: "to [email], [ip]!", 2: None, 3: "𝒳 plain", 4: "[phone] x"}
+
+
+def test_every_base_span_is_learned_from(spark):
+    from quern.sources.scratch import Scratch
+
+    base = spark.createDataFrame([(3, f"+1 (555) {i:03d}-4567", f"w{i} ", "") for i in range(450)], "kind int, hit string, before string, after string")
+    rows = P.training_rows(base, Scratch(spark, "test"))
+    assert rows.selectExpr("regexp_extract(before, 'w([0-9]+)', 1) AS i").distinct().count() == 450
