@@ -14,6 +14,8 @@ from quern.functions import text as T
 RRF_K = 60
 #: Queries that one mapper holds; more take several mappers in a row.
 QUERY_BLOCK = 1024
+#: Products of queries and rows that a mapper holds at a time.
+PRODUCTS = 1 << 19
 
 
 def dot(a: str, b: str) -> Column:
@@ -61,27 +63,25 @@ def _nearest(ids: list, matrix: np.ndarray, k: int):
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            vectors = batch.column(1)
-            flat = np.asarray(vectors.flatten(), np.float64)
+            flat = np.asarray(batch.column(1).flatten(), np.float64)
             if not len(flat):
                 continue
-            # products are added in the order of the dimensions, as a plain sum would
-            rows = flat.reshape(batch.num_rows, -1)
-            sims = np.zeros((len(ids), len(rows)))
-            for d in range(matrix.shape[1]):
-                sims += matrix[:, d : d + 1] * rows[:, d]
-            names = np.asarray(batch.column(0))
-            fresh = []
-            for q in range(len(ids)):
-                order = np.lexsort((names, -sims[q]))[:k]
-                fresh.append((sims[q][order], names[order]))
-            if best is None:
-                best = fresh
-            else:
-                for q, (s, n) in enumerate(fresh):
-                    s, n = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], n])
-                    order = np.lexsort((n, -s))[:k]
-                    best[q] = s[order], n[order]
+            all_rows, all_names = flat.reshape(batch.num_rows, -1), np.asarray(batch.column(0))
+            step = max(1, PRODUCTS // max(1, len(ids)))
+            for low in range(0, len(all_rows), step):
+                rows, names = np.ascontiguousarray(all_rows[low : low + step].T), all_names[low : low + step]
+                # products are added in the order of the dimensions, as a plain sum would
+                sims = np.zeros((len(ids), len(names)))
+                for d in range(matrix.shape[1]):
+                    sims += matrix[:, d : d + 1] * rows[d]
+                best = best or [(np.zeros(0), names[:0])] * len(ids)
+                for q, (s, n) in enumerate(best):
+                    # a row below the k-th best so far cannot be among them
+                    near = sims[q] >= s[-1] if len(s) == k else np.ones(len(names), bool)
+                    if near.any():
+                        s, n = np.concatenate([s, sims[q][near]]), np.concatenate([n, names[near]])
+                        order = np.lexsort((n, -s))[:k]
+                        best[q] = s[order], n[order]
         if best:
             for q, (s, n) in enumerate(best):
                 yield pa.record_batch([pa.array([ids[q]] * len(s)), pa.array(n, kind), pa.array(s)], names=["q", "r", "sim"])

@@ -175,3 +175,25 @@ def test_title_pairs_in_blocks_and_lists(spark, monkeypatch):
     got = R.jaccard_pairs(spark.createDataFrame(rows, "k long, g string, h int, w array<string>"), "k", ["g", "h"], "w").collect()
     wanted = [(a, b, len({*w} & {*v}) / len({*w} | {*v})) for a, g, h, w in rows for b, o, p, v in rows if g is not None and (g, h) == (o, p) and a < b]
     assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_nearest_rows_hold_few_products_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.operators import retrieval as R
+
+    made = np.random.default_rng(2)
+    vectors, queries = made.integers(-3, 4, (10_000, 4)).astype(np.float32), made.integers(-3, 4, (1024, 4)).astype(np.float64)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 40_001, 4, dtype=np.int32)), pa.array(vectors.ravel()))
+    batch = pa.record_batch([pa.array(np.arange(10_000)), flat], names=["i", "v"])
+    tracemalloc.start()
+    got = list(R._nearest(list(range(1024)), queries, 5)(iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # all products of a batch take 82 MB
+    sims = queries @ vectors.T.astype(np.float64)
+    for q in (0, 500, 1023):
+        assert got[q].column(1).to_pylist() == np.lexsort((np.arange(10_000), -sims[q]))[:5].tolist()
