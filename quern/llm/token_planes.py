@@ -5,8 +5,8 @@ ids. A block is transposed: plane k holds bit k (or byte k) of every id, so plan
 constant and compress well; each plane is compressed on its own with zstandard, and planes that are all
 zero are left out. The format is two Parquet tables, written and read by Spark alone:
 
-* ``chunks``: one row per block with its planes and its place in the index: part, number in the part, count
-  of ids, plane width and a checksum;
+* ``chunks``: one row per block with its planes and its place in the index: part, number in the part, first id
+  in the part, count of ids, plane width and a checksum;
 * ``index``: one row per document: part, its order there, first id in the part, count of ids.
 
 Parts are ranges of the document id; the ids before a part come from a prefix sum over the part totals.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,8 +37,10 @@ from quern.sources.scratch import Scratch
 BLOCK = 1 << 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces that each of the two generations of a Python worker's cache holds.
-CACHE = 300_000
+#: Words that each of the two generations of a Python worker's cache holds.
+CACHE = 150_000
+#: Text bytes that a task encodes at a time, and bytes of ids that it hands on at a time.
+SLICE_BYTES, OUT_BYTES = 6 << 20, 4 << 20
 #: Text bytes of a part.
 PART_BYTES = 48 << 20
 
@@ -107,14 +110,16 @@ class Encoder:
         # a piece that holds the first character of an added token takes the whole tokenizer
         risky = "".join({t["content"][0] for t in spec.get("added_tokens", [])})
         self.is_plain = regex.compile(f"[{_PLAIN}--[{regex.escape(risky)}]]+" if risky else f"[{_PLAIN}]+", regex.V1).fullmatch
+        self.plain = "^[" + "".join(f"\\x{{{k:x}}}" for k in range(0x180) if self.is_plain(chr(k))) + "]+$"
         self.alphabet = byte_alphabet()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.short: dict[str, list[int]] = {}
 
     def _plain(self, piece: str) -> list[int]:
-        if piece.isascii() and piece.isalpha():
-            return [t.id for t in self.tokenizer.model.tokenize(piece.lower())]
+        if piece.isalpha():
+            low = piece.lower()
+            return [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet))]
         ids: list[int] = []
         for run in self.words.findall(piece.lower()):
             own = self.short.get(run)
@@ -126,28 +131,19 @@ class Encoder:
             ids += own
         return ids
 
-    def _variant(self, piece: str) -> bytes:
-        """By way of the lower-case word without the marks at its end, which are a word of their own after a letter."""
-        base = piece.rstrip(_MARKS)
-        if not base[-1:].isalpha():
-            return array("I", self._plain(piece)).tobytes()
-        word = base.lower()
-        ids = self.new.get(word) or self.old.get(word)
-        if ids is None:
-            ids = self.new[word] = array("I", self._plain(word)).tobytes()
-        return ids + array("I", self._plain(piece[len(base) :])).tobytes() if len(base) < len(piece) else ids
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        """The ids of every piece as bytes. Two generations of CACHE pieces each are kept; the older goes when the newer is full."""
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of every word as bytes. Two generations of CACHE words each are kept; the older goes when the newer is full."""
         if len(self.new) > CACHE:
             self.new, self.old = {}, self.new
-        new, old, slow = self.new, self.old, []
+        new, old, slow, plain, tokenize = self.new, self.old, [], self.words is not None, self.tokenizer.model.tokenize
         for w in words:
             if w not in new:
                 known = old.get(w)
                 if known is None:
-                    if self.words and self.is_plain(w):
-                        known = self._variant(w)
+                    if plain and w.isascii() and w.isalpha():
+                        known = array("I", [t.id for t in tokenize(w.lower())]).tobytes()
+                    elif plain and self.is_plain(w):
+                        known = array("I", self._plain(w)).tobytes()
                     else:
                         slow.append(w)
                         continue
@@ -156,23 +152,49 @@ class Encoder:
             new[w] = array("I", e.ids).tobytes()
         return [new[w] for w in words]
 
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, one after the other, and each piece's count.
+
+        A plain piece goes by way of its lower-case word without the marks at its end, which are a word of their own after a letter.
+        """
+        if self.words:
+            word = pc.utf8_rtrim(pc.utf8_lower(pieces), characters=_MARKS)
+            split = pc.and_(pc.match_substring_regex(pieces, self.plain), pc.match_substring_regex(word, r"\pL$"))
+            marks = pc.if_else(split, pc.replace_substring_regex(pieces, r"^.*\pL", ""), "").dictionary_encode()
+            words = pc.if_else(split, word, pieces).dictionary_encode()
+        else:
+            words, marks = pieces.dictionary_encode(), pc.if_else(pc.is_valid(pieces), "", pieces).dictionary_encode()
+        own = self._known(words.dictionary.to_pylist())
+        tails = self._known(marks.dictionary.to_pylist())
+        codes = np.empty(2 * len(pieces), np.int64)
+        codes[0::2] = words.indices.to_numpy(zero_copy_only=False)
+        codes[1::2] = marks.indices.to_numpy(zero_copy_only=False)
+        codes[1::2] += len(own)
+        own += tails
+        flat, per = _spread(np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4, codes)
+        return flat, per[0::2] + per[1::2]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and each text's count, with the end id after each."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded = lists.flatten().dictionary_encode()
-        own = self.pieces(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat = np.frombuffer(b"".join(own), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        per = sizes[codes]
-        ends = np.cumsum(per)
-        body = flat[np.repeat(starts[codes] - (ends - per), per) + np.arange(ends[-1] if len(ends) else 0)]
+        body, per = _spread(*self.pieces(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
         edges = np.asarray(lists.offsets.to_numpy(), np.int64) - lists.offsets[0].as_py()
-        upto = np.concatenate([[0], ends])[edges]
+        upto = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])[edges]
         counts = np.diff(upto)
         out = np.insert(body, upto[1:], END_ID)
-        return out.astype("<u4"), counts + 1
+        return out.astype("<u4", copy=False), counts + 1
+
+
+def _spread(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `flat`, of the given sizes, in the order of `codes`, and the size of each."""
+    per = sizes[codes]
+    total = int(per.sum())
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    ends = np.cumsum(per, dtype=kind)
+    at = np.repeat(((np.cumsum(sizes) - sizes).astype(kind)[codes] - ends + per).astype(kind), per)
+    at += np.arange(total, dtype=kind)
+    return flat[at], per
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -209,14 +231,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         code = encoder(tokenizer)
 
         def chunks(ids: list[np.ndarray], from_: int) -> pa.RecordBatch:
-            rows = [(part, from_ + k, len(x), kind, zlib.crc32(x.tobytes()), to_planes(x, kind), None, None, None, None) for k, x in enumerate(ids)]
+            rows = [(part, from_ + k, len(x), kind, zlib.crc32(x.tobytes()), to_planes(x, kind), None, None, (from_ + k) * block, None) for k, x in enumerate(ids)]
             return _batch(rows, batch_type)
 
         batch_type = None
         for batch in batches:
             batch_type = batch_type or batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in _slices(batch):
                 ids, counts = code.encode(some.column(1))
                 starts = first + np.cumsum(counts) - counts
                 n = len(counts)
@@ -235,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 if full:
                     yield chunks([left[k * block : (k + 1) * block] for k in range(full)], chunk)
                     chunk += full
-                    left = left[full * block :]
+                    left = left[full * block :].copy()
         if len(left):
             yield chunks([left], chunk)
 
@@ -247,6 +268,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 _NAMES = ["part", "chunk", "n_ids", "kind", "crc32", "planes", "ord", "doc_id", "first", "n_tokens"]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of up to SLICE_BYTES of text each, or of one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.binary()), pa.int32(), id_type, pa.int64(), pa.int64()]
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
@@ -261,9 +292,8 @@ def chunk_index(spark: SparkSession, path: str, id_type: str = "bigint") -> Data
     """Per chunk: part, number, first id in the whole stream, count and bytes; no plane is decompressed."""
     chunks = _stored(spark, path, id_type).where("table = 'chunks'")
     size = F.aggregate("planes", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p))
-    own = chunks.select("part", "chunk", "n_ids", "kind", size.alias("bytes"))
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("chunk")) - F.col("n_ids")
-    return own.withColumn("first", before).join(F.broadcast(_part_starts(spark, path, id_type)), "part").withColumn("first", F.col("first") + F.col("part_start")).drop("part_start")
+    own = chunks.select("part", "chunk", "n_ids", "kind", size.alias("bytes"), "first")
+    return own.join(F.broadcast(_part_starts(spark, path, id_type)), "part").withColumn("first", F.col("first") + F.col("part_start")).drop("part_start")
 
 
 def _part_starts(spark: SparkSession, path: str, id_type: str) -> DataFrame:
@@ -274,28 +304,52 @@ def _part_starts(spark: SparkSession, path: str, id_type: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, ids) of every document, from the files: `ids` is little-endian uint32."""
-    stored = _stored(spark, path, id_type)
-    index = stored.where("table = 'index'").select("part", "ord", "doc_id", "first", "n_tokens")
-    chunks = stored.where("table = 'chunks'").select("part", "chunk", "n_ids", "kind", "crc32", "planes")
-
-    def decode(left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.sort_by("ord"), right.sort_by("chunk")
-        blocks = []
-        for n, kind, crc, planes in zip(*(right.column(c).to_pylist() for c in ("n_ids", "kind", "crc32", "planes")), strict=True):
-            ids = from_planes(planes, n, kind)
-            if zlib.crc32(ids.tobytes()) != crc:
-                raise ValueError("a chunk does not match its checksum")
-            blocks.append(ids)
-        raw = np.concatenate(blocks).tobytes() if blocks else b""
-        first, n = left.column("first").to_numpy(), left.column("n_tokens").to_numpy()
-        offsets = np.concatenate([first, first[-1:] + n[-1:]]) * 4 if len(first) else np.zeros(1, np.int64)
-        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
-        return pa.table({"part": left.column("part"), "doc_id": left.column("doc_id"), "first": left.column("first"), "ids": ids.cast(pa.binary())})
-
-    made = index.groupBy("part").cogroup(chunks.groupBy("part")).applyInArrow(decode, f"part int, doc_id {id_type}, first long, ids binary")
+    # a part's chunks and documents by their first id: a document follows the chunk in which it begins, and waits for the one in which it ends
+    rows = _stored(spark, path, id_type).drop("table").repartition("part").sortWithinPartitions("part", "first", F.col("ord").isNotNull())
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, base, part = b"", 0, None  # the bytes of the decoded ids that documents may still ask for, and where they begin
+        waiting: deque = deque()
+        for batch in batches:
+            done, size = [], 0
+            columns = [batch.column(c).to_pylist() for c in ("part", "ord", "doc_id", "first", "n_tokens", "n_ids", "kind", "crc32")]
+            planes = batch.column("planes")
+            for k, (own, order, doc, first, n, n_ids, kind, crc) in enumerate(zip(*columns, strict=True)):
+                if own != part:
+                    if waiting:
+                        raise ValueError("a part ends before its last document")
+                    raw, base, part = b"", 0, own
+                if order is not None:
+                    waiting.append((own, doc, first, n))
+                else:
+                    ids = from_planes(planes[k].as_py(), n_ids, kind).tobytes()
+                    if zlib.crc32(ids) != crc:
+                        raise ValueError("a chunk does not match its checksum")
+                    if base + len(raw) // 4 != first:
+                        raise ValueError("a chunk is missing")
+                    keep = waiting[0][2] if waiting else first
+                    raw, base = raw[(keep - base) * 4 :] + ids, keep
+                while waiting and waiting[0][2] + waiting[0][3] <= base + len(raw) // 4:
+                    at, doc, first, n = waiting.popleft()
+                    done.append((at, doc, first, raw[(first - base) * 4 : (first + n - base) * 4]))
+                    size += n * 4
+                    if size >= OUT_BYTES:
+                        yield _documents(done, batch.schema.field("doc_id").type)
+                        done, size = [], 0
+            if done:
+                yield _documents(done, batch.schema.field("doc_id").type)
+        if waiting:
+            raise ValueError("a part ends before its last document")
+
+    made = rows.mapInArrow(decode, f"part int, doc_id {id_type}, first long, ids binary")
     return made.join(F.broadcast(_part_starts(spark, path, id_type)), "part").select("doc_id", (F.col("part_start") + F.col("first")).alias("start"), "ids")
 
 
+def _documents(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = [pa.int32(), id_type, pa.int64(), pa.binary()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "doc_id", "first", "ids"])
+
+
 def op2_token_planes(docs: DataFrame, tokenizer: str, kind: str = "byte") -> DataFrame:
     """Write, read back, and return per document where its ids start, their count and their checksum."""
     scratch = Scratch(docs.sparkSession, "planes")

@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import arc_convert as A
@@ -51,6 +52,30 @@ def test_tokens(spark, tmp_path, kind):
     assert P.op2_token_planes(df.limit(0), path).count() == 0
 
 
+def test_tokens_are_read_in_small_pieces(spark, tmp_path, monkeypatch):
+    """A part's ids are never held whole: what a task hands on at a time is bounded by OUT_BYTES, and lengths by SLICE_BYTES."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path(P.TOKENIZER))
+    texts = [f"word{i}, \u00c9t\u00e9!! No\u00cbl... A1b2;" * (i % 7) + "x" * (i % 3) for i in range(300)] + ["long " * 5000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    P.write_tokens(df, str(tmp_path / "t"), path, block=64)
+    t, at, n = Tokenizer.from_file(path), 0, 0
+    for r in P.read_tokens(spark, str(tmp_path / "t")).orderBy("doc_id").collect():
+        ids = [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, P.END_ID]
+        assert r.start == at and np.frombuffer(r.ids, "<u4").tolist() == ids
+        at, n = at + len(ids), n + 1
+    assert n == len(texts)
+    plan = P.read_tokens(spark, str(tmp_path / "t"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan
+    monkeypatch.setattr(P, "SLICE_BYTES", 1000)
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    slices = list(P._slices(batch))
+    assert pa.Table.from_batches(slices).equals(pa.Table.from_batches([batch]))
+    assert all(s.num_rows == 1 or sum(len((x or "").encode()) for x in s.column(1).to_pylist()) <= 1000 for s in slices)
+
+
 def test_arc_versions_and_conversion():
     block = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
     raw = b"\n".join([A.version_block(1), A.arc_record("http://a b/c", "20010203", block), A.version_block(2), A.arc_record("http://x/\n", "20010203040506", b"\n\nWARC/1.1 filedesc:", 2), A.arc_record(None, "2001", b"", 2)])
