@@ -4,9 +4,11 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from quern.functions import sketch as S
 from quern.functions.hashes import AT_ONCE, ONE_BLOCK, md5_head
 from quern.operators import corpus as C
 from quern.operators import sketch_join as J
+from quern.sources.scratch import setting
 
 
 def head(x: bytes) -> int:
@@ -49,3 +51,18 @@ def test_texts_are_not_shuffled(spark, monkeypatch):
     again = [*rows, (3, "other words", "t"), (None, "no id", "t"), (None, "no id", "t")]
     assert C.fingerprints(spark.createDataFrame(again, "doc_id long, text string, title string")).count() == 23
     assert "BroadcastHashJoin" in dict(plans)["votes"] and "BroadcastHashJoin" in dict(plans)["fingerprints"]
+
+
+def test_large_blocks_are_cut_into_cells(spark, monkeypatch):
+    """The pairs of one block spread over tasks, and each is listed once."""
+    rows = [(i, f"one text and its copies {i % 3 if i % 2 else ''}", f"title {i % 4}") for i in range(40)] + [(50, None, None), (51, "", ""), (52, "", "")]
+    prints = C.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, title string")).withColumn("block", S.F.when(S.F.col("words") > 0, S.F.lit(1)))
+    columns = ["id_a", "id_b", "classification", "shingle", "sim", "length", "title", "confidence"]
+    whole = sorted(tuple(r) for r in C.near_duplicate_pairs(prints).select(columns).collect())
+    assert len(whole) == len({r[:2] for r in whole}) == 40 * 39 // 2
+    monkeypatch.setattr(C, "CELL_ROWS", 7)
+    cut = C.near_duplicate_pairs(prints)
+    assert sorted(tuple(r) for r in cut.select(columns).collect()) == whole
+    with setting(spark, "spark.sql.adaptive.enabled", "false"), setting(spark, "spark.sql.shuffle.partitions", 8), setting(spark, "spark.sql.autoBroadcastJoinThreshold", "20k"):
+        tasks = C.near_duplicate_pairs(prints).groupBy(S.F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < len(whole) // 2
