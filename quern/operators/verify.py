@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +18,13 @@ SEQUENCE, COVERAGE, LEAST_SEQUENCE = 0.72, 0.78, 0.45
 
 
 def _norm(x: str | None) -> str:
-    return re.sub(r"[^a-z0-9]+", " ", (x or "").lower()).strip()
+    return " ".join(re.findall(r"[a-z0-9]+", (x or "").lower()))
+
 
 # Weights of the sequence ratio, of the anchor's tokens and of the proposition's tokens.
 SEQUENCE_WEIGHT, COVERAGE_WEIGHT, SUPPORT_WEIGHT = 0.52, 0.38, 0.10
+# Fixed value of difflib: characters of the second text from which on it skips frequent letters.
+SKIPPING = 200
 
 
 def ordered_coverage(needle: list[str], hay: list[str]) -> float:
@@ -34,19 +39,43 @@ def ordered_coverage(needle: list[str], hay: list[str]) -> float:
     return n / len(needle) if needle and hay else 0.0
 
 
+def _clauses(text: str | None) -> dict[str, str]:
+    """The clauses of a text with what _norm makes of them."""
+    flat = " ".join((text or "").split())
+    parts = {p: _norm(p) for p in (" ".join(x.split()) for x in re.split(r"(?<=[.?!;:])\s+|\s+[–—]\s+", flat))}
+    found = {p: own for p, own in parts.items() if len(own.split()) >= 3}
+    own = _norm(flat)
+    if flat and len(own.split()) <= 80:
+        found.setdefault(flat, own)
+    return found
+
+
 def clauses(text: str) -> list[str]:
     """Clauses of three tokens and more, in order; a text of up to 80 tokens is one as well."""
-    flat = " ".join((text or "").split())
-    parts = [p for p in (" ".join(x.split()) for x in re.split(r"(?<=[.?!;:])\s+|\s+[–—]\s+", flat)) if len(_norm(p).split()) >= 3]
-    if flat and len(_norm(flat).split()) <= 80:
-        parts.append(flat)
-    return list(dict.fromkeys(parts))
+    return list(_clauses(text))
+
+
+def _close(covered: float, sequence: float) -> bool:
+    return sequence >= SEQUENCE or (covered >= COVERAGE and sequence >= LEAST_SEQUENCE)
+
+
+def _total(sequence: float, covered: float, support: float) -> float:
+    return SEQUENCE_WEIGHT * sequence + COVERAGE_WEIGHT * covered + SUPPORT_WEIGHT * support
+
+
+def _least_ratio(a: str, b: str) -> float:
+    """What the sequence ratio reaches at least: its first block is no shorter than a common beginning or end, unless b is so long that it skips frequent letters."""
+    if len(b) >= SKIPPING:
+        return 0.0
+    shared = max(len(commonprefix([a, b])), len(commonprefix([a[::-1], b[::-1]])))
+    return 2.0 * shared / (len(a) + len(b))
 
 
 def resolve_anchor(source: str | None, anchor: str | None, proposition: str | None) -> str:
-    """The anchor if the source holds it, else the source's closest clause if it is close enough, else ''."""
-    from difflib import SequenceMatcher
+    """The anchor if the source holds it, else the source's closest clause if it is close enough, else ''.
 
+    The sequence ratio costs the product of two lengths, so it is worked out only for clauses that their lengths do not rule out.
+    """
     source, anchor, proposition = (" ".join((x or "").split()) for x in (source, anchor, proposition))
     if not source:
         return ""
@@ -56,18 +85,38 @@ def resolve_anchor(source: str | None, anchor: str | None, proposition: str | No
     tokens, extra = wanted.split(), set(_norm(proposition).split())
     if len(tokens) < 3:
         return ""
-    best = (0.0, "", 0.0, 0.0)
-    for clause in clauses(source):
-        own = _norm(clause)
+    asked = set(tokens)
+    able, others = [], []
+    for at, (clause, own) in enumerate(_clauses(source).items()):
         have = own.split()
-        sequence = SequenceMatcher(None, wanted, own).ratio()
-        covered = max(ordered_coverage(tokens, have), len(set(tokens) & set(have)) / len(set(tokens)))
-        support = len(extra & set(have)) / len(extra) if extra else 0.0
-        total = SEQUENCE_WEIGHT * sequence + COVERAGE_WEIGHT * covered + SUPPORT_WEIGHT * support
-        if total > best[0]:
-            best = (total, clause, covered, sequence)
-    _, clause, covered, sequence = best
-    return clause if sequence >= SEQUENCE or (covered >= COVERAGE and sequence >= LEAST_SEQUENCE) else ""
+        known = set(have)
+        covered = max(ordered_coverage(tokens, have), len(asked & known) / len(asked))
+        support = len(extra & known) / len(extra) if extra else 0.0
+        most = 2.0 * min(len(wanted), len(own)) / (len(wanted) + len(own))
+        # the first of equal totals wins, so places count down
+        (able if _close(covered, most) else others).append(((_total(most, covered, support), -at), clause, own, covered, support))
+    if not able:
+        return ""
+    able.sort(reverse=True)
+    bound, clause, own, covered, support = able[0]
+    least = _least_ratio(wanted, own)
+    if _close(covered, least) and all(o[0] < (_total(least, covered, support), bound[1]) for o in (*able[1:], *others)):
+        return clause
+
+    def ratio(own: str) -> float:
+        return SequenceMatcher(None, wanted, own).ratio()
+
+    best, chosen, near = (0.0, 1), "", False
+    for bound, clause, own, covered, support in able:
+        if bound < best:
+            break
+        sequence = ratio(own)
+        reached = (_total(sequence, covered, support), bound[1])
+        if reached > best:
+            best, chosen, near = reached, clause, _close(covered, sequence)
+    # a clause that is not close enough itself still beats a close one of a smaller total
+    beaten = (bound > best and (_total(ratio(own), covered, support), bound[1]) > best for bound, _, own, covered, support in others)
+    return chosen if near and not any(beaten) else ""
 
 
 def resolved_anchor(source, anchor, proposition) -> Column:
