@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -5,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import chunk as K
 from quern.operators import corpus as C
 from quern.operators import retrieval as R
@@ -197,3 +199,32 @@ def test_nearest_rows_hold_few_products_at_a_time():
     sims = queries @ vectors.T.astype(np.float64)
     for q in (0, 500, 1023):
         assert got[q].column(1).to_pylist() == np.lexsort((np.arange(10_000), -sims[q]))[:5].tolist()
+
+
+def test_corpus_build_takes_one_row_of_a_text_and_cleans_it_once(spark):
+    text = lambda c: c * 60 + "  " + c * 60
+    rows = [(1, "a", "en", text("x")), (1, "b", "en", text("y")), (0, "b", "de", text("y") + " \n"), (0, "b", "de", text("y")), (None, "a", "en", text("z")), (7, None, "en", text("z")), (None, None, None, text("w")), (3, "a", "en", "short"), (4, "a", "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    kept = sorted((str(r.doc_id), str(r.source), r.text[0]) for r in C.build_corpus(df).collect())
+    assert kept == [("0", "b", "y"), ("1", "a", "x"), ("None", "None", "w"), ("None", "a", "z")]
+    sizes = C.built_sizes(df)
+    assert sorted((str(r.doc_id), str(r.source), str(r.lang), r.characters) for r in sizes.collect()) == [("0", "b", "de", 121), ("1", "a", "en", 121), ("None", "None", "None", 121), ("None", "a", "en", 121)]
+    assert sizes._jdf.queryExecution().optimizedPlan().toString().count("{4,}") == 1
+    assert C.build_corpus(df.limit(0)).collect() == []
+
+
+def test_strip_takes_white_space_alone(spark):
+    around = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"{c}a{c}b{c} \n") for c in around], "c string, s string")
+    got = df.select("c", T.strip("s").alias("t"), F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("r")).collect()
+    assert all(r.t == r.r for r in got) and sum(r.t == f"a{r.c}b" for r in got) == len(T.WHITE) == 25
+
+
+def test_blanks_before_line_ends(spark):
+    import re
+
+    made = random.Random(2)
+    texts = ["".join(made.choice(" \t\nx \r") for _ in range(60)) for _ in range(300)] + ["x" + " " * 100_000 + "y"]
+    plain = lambda t: re.sub(r"\n{4,}", "\n\n\n", re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]+\n", "\n", t.replace("\r\n", "\n").replace("\r", "\n").replace(" ", " ")))).strip()
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.clean_corpus_text("s").alias("t")).collect()
+    assert all(r.t == plain(r.s) for r in got)
