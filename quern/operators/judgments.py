@@ -40,8 +40,12 @@ def _plain(line: Column) -> Column:
 
 def _label(line: Column, labels: tuple[str, ...]) -> Column:
     """The label of the list that opens the line, a colon after it; null where none does."""
-    head = F.btrim(F.substring_index(_plain(line), ":", 1))
-    return F.when(line.contains(":") & head.isin(*labels), head)
+    return F.when(line.contains(":"), _let(_plain(F.substring_index(line, ":", 1)), lambda head: F.when(head.isin(*labels), head)))
+
+
+def _is_dated(line: Column) -> Column:
+    """Whether the date label opens the line; most lines are told by their first letter."""
+    return (F.upper(F.left(F.ltrim(line, F.lit(" \t")), F.lit(1))) == DATE_LABEL[0]) & _plain(line).startswith(DATE_LABEL)
 
 
 def _after_colon(line: Column) -> Column:
@@ -49,7 +53,7 @@ def _after_colon(line: Column) -> Column:
 
 
 def legacy_label(line: Column) -> Column:
-    return F.coalesce(_label(line, LEGACY_LABELS), F.when(_plain(line).startswith(DATE_LABEL), F.lit(DATE_LABEL)))
+    return F.coalesce(_label(line, LEGACY_LABELS), F.when(_is_dated(line), F.lit(DATE_LABEL)))
 
 
 def _legacy_value(line: Column) -> Column:
@@ -124,7 +128,7 @@ def first_page(raw: Column) -> Column:
 def is_legacy(raw: Column) -> Column:
     """The first page labels a petitioner and a judgment date."""
     lines = F.split(T.line_feeds(first_page(raw)), "\n")
-    return F.exists(lines, lambda v: F.coalesce(_label(v, ("PETITIONER",)).isNotNull(), F.lit(False))) & F.exists(lines, lambda v: _plain(v).startswith(DATE_LABEL))
+    return F.exists(lines, lambda v: F.coalesce(_label(v, ("PETITIONER",)).isNotNull(), F.lit(False))) & F.exists(lines, _is_dated)
 
 
 def labelled_fields(header: Column) -> Column:
@@ -204,11 +208,11 @@ def author(body: Column) -> Column:
     return _let(F.get(F.filter(F.split(F.left(body, F.lit(AUTHOR_LIMIT)), "\n"), named), F.lit(0)), written)
 
 
-def parse_judgments(docs: DataFrame, key: str, raw: str) -> DataFrame:
-    """One record per judgment, by its layout, with flags and status."""
+def parse_judgments(docs: DataFrame, key: str, raw: str, **carried: Column) -> DataFrame:
+    """One record per judgment, by its layout, with flags and status, and what is carried along from its row."""
     # each step is written: its arrays of lines are asked many questions, and inlined they would be made anew for each
     scratch = Scratch(docs.sparkSession, "judgments")
-    text = scratch.cut(docs.select(key, is_legacy(F.col(raw)).alias("legacy"), T.clean_judgment(F.replace(F.col(raw), F.lit("\f"), F.lit("\n"))).alias("t")), "text")
+    text = scratch.cut(docs.select(key, *(v.alias(k) for k, v in carried.items()), is_legacy(F.col(raw)).alias("legacy"), T.clean_judgment(F.replace(F.col(raw), F.lit("\f"), F.lit("\n"))).alias("t")), "text")
     lines = text.select("*", F.split("t", "\n").alias("lines"))
     ls, legacy = F.col("lines"), F.col("legacy")
     # where the header starts and the body's heading stands
@@ -224,8 +228,9 @@ def parse_judgments(docs: DataFrame, key: str, raw: str) -> DataFrame:
     at, top = F.col("at"), F.col("top")
     on_line = F.when(legacy, _after_colon(F.element_at(ls, at))).otherwise("")
     head = F.when(legacy, F.slice(ls, top, F.coalesce(at, F.size(ls) + 1) - top)).when(at.isNotNull(), F.slice(ls, F.lit(1), at - 1)).otherwise(F.split(F.left("t", F.lit(MODERN_HEADER)), "\n"))
-    body = F.when(at.isNull(), "").otherwise(T.clean_judgment(F.concat(on_line, F.lit("\n"), _joined(_from(ls, at + 1)))))
-    parts = placed.select(key, "legacy", F.coalesce(F.col("t") == "", F.lit(True)).alias("blank"), F.coalesce(head, F.expr("cast(array() as array<string>)")).alias("head"), body.alias("body"))
+    # the lines below are clean
+    body = F.when(at.isNull(), "").otherwise(T.strip(F.concat(T.clean_judgment(on_line), F.lit("\n"), _joined(_from(ls, at + 1)))))
+    parts = placed.select(key, *carried, "legacy", F.coalesce(F.col("t") == "", F.lit(True)).alias("blank"), F.coalesce(head, F.expr("cast(array() as array<string>)")).alias("head"), body.alias("body"))
     parts = scratch.cut(parts, "parts")
     scratch.drop(placed)
     read = parts.withColumns({"old": F.when(legacy, labelled_fields(F.col("head"))), "new": F.when(~legacy, parties(F.col("head")))})
@@ -245,6 +250,7 @@ def parse_judgments(docs: DataFrame, key: str, raw: str) -> DataFrame:
         F.coalesce("body", F.lit("")).alias("judgment_text"),
         "blank",
         (legacy & (F.size("head") == 0)).alias("odd"),
+        *carried,
     )
     flags = F.array_compact(
         F.array(
@@ -279,22 +285,19 @@ def review_report(docs: DataFrame, key: str, raw: str) -> DataFrame:
     """One row per judgment for a reader: the raw header beside the parsed fields, the body's start and end, and what is missing.
 
     The raw header ends before the first line labelled JUDGMENT, or after RAW_HEADER characters where there is none. `missing` lists the
-    fields without a value; case number and author are asked of modern judgments alone. Keys must not repeat; a null text gives a row
-    with everything missing.
+    fields without a value; case number and author are asked of modern judgments alone. A null text gives a row with everything missing.
     """
     lines = F.split(T.line_feeds(F.coalesce(F.col(raw), F.lit(""))), "\n")
     at = lambda ls: _first(ls, lambda v: _label(v, ("JUDGMENT",)).isNotNull())
     header = _let(lines, lambda ls: _let(at(ls), lambda k: F.when(k.isNull(), F.left(_joined(ls), F.lit(RAW_HEADER))).otherwise(_joined(F.slice(ls, F.lit(1), k - 1)))))
-    shown = docs.select(F.col(key).alias("k"), header.alias("raw_header"))
     headnote = F.exists(F.split("raw_header", "\n"), lambda v: F.coalesce(_label(v, ("HEADNOTE",)).isNotNull(), F.lit(False)))
-    parsed = parse_judgments(docs, key, raw)
+    parsed = parse_judgments(docs, key, raw, raw_header=header)
     modern = {"case_number", "judgment_author"}
     lost = (F.when((F.col(c).isNull() if empty is None else F.coalesce(F.col(c), F.lit("")) == empty) & ((F.col("document_format") == "modern") if c in modern else F.lit(True)), F.lit(c)) for c, empty in CHECKED.items())
     missing = F.array_compact(F.array(*lost, F.when(F.col("body_characters") == 0, F.lit("judgment_text"))))
-    both = parsed.join(shown, F.col(key).eqNullSafe(F.col("k")))
     body = F.col("judgment_text")
     fields = [c for c in CHECKED]
-    return both.select(
+    return parsed.select(
         key, "document_format", "raw_header", headnote.alias("headnote_in_source"), *fields, F.left(body, F.lit(BODY_START)).alias("body_start"), F.right(body, F.lit(BODY_END)).alias("body_end"), "quality_flags",
         F.array_join(missing, ",").alias("missing"),
     )

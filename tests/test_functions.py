@@ -174,3 +174,34 @@ def test_party_lines(spark):
     block = "1\n 22 \n(Arising out of SLP)\n arising  out of\n… – -\nM/s. A Corp. ... Appellant(s)\nB — respondents\nApplicant\nWrespondent\n  C Petitioner ( S )"
     assert one(spark, T.clean_party("s"), s=block) == "M/s. A Corp.\nB\nApplicant\nWrespondent\nC"
     assert one(spark, T.clean_party("s"), s=None) is None
+
+
+def test_review_of_repeated_keys_is_a_row_each(spark):
+    from quern.operators import judgments as J
+
+    legacy = "PETITIONER:\nA\n\nRESPONDENT:\nB\nDate  of judgment: 12/02/1995\nHEADNOTE:\nx\nJUDGMENT:\nPage 1 of 2\nThe body.\n\n\n\nEnd.\t\tHere"
+    rows = [(1, legacy), (1, legacy), (None, None), (2, "CIVIL APPEAL NO. 1 OF 1999\nA\nVersus\nB\nJUDGMENT\nText")]
+    got = J.review_report(spark.createDataFrame(rows, "doc long, raw string"), "doc", "raw")
+    found = sorted((str(r.doc), r.document_format, r.raw_header[:11], r.headnote_in_source, r.body_end) for r in got.collect())
+    one_ = ("1", "legacy", "PETITIONER:", True, "The body.\n\nEnd. Here")
+    assert found == [one_, one_, ("2", "modern", "CIVIL APPEA", False, "Text"), ("None", "modern", "", False, "")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_clean_judgment_as_its_steps(spark):
+    import random
+    import re
+
+    made = random.Random(6)
+    piece = ["\n", " ", "\t", "x", "\r", "\u0000", "Page 1 of 2", "http://judis.nic.in/", "é", "\u3000"]
+    texts = ["".join(made.choice(piece) for _ in range(made.randrange(40))) for _ in range(600)]
+
+    def plain(t):
+        t = t.replace("\r\n", "\n").replace("\r", "\n").replace("\u0000", "")
+        for line in T.BOILERPLATE:
+            t = re.sub(rf"(?im)^[ \t]*{line}[ \t]*$", "", t)
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
+
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.clean_judgment("s").alias("t")).collect()
+    assert all(r.t == plain(r.s) for r in got)
