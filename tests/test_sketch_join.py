@@ -59,3 +59,42 @@ def test_odd_rows(spark):
     assert (1, 2, "probable_near_duplicate") in got or (1, 2, "review") in got
     assert ((1, 3, "exact_duplicate") in got) == (hashlib.sha256(text.encode()).hexdigest() < hashlib.sha256(b"other words here").hexdigest())
     assert {r.component for r in J.sketch_clusters(df).collect()} <= {1}
+
+
+def chains():
+    """Groups that are linked through middle texts alone, a group all alike, and strangers that share their passage."""
+    made = random.Random(11)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}x{made.randrange(5000)}" for _ in range(300)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(base)))
+            base = [w for k, w in enumerate(base) if k != 7] if family % 2 else [*base[4:], *(f"n{made.randrange(9999)}" for _ in range(4))]
+    same = [f"g{k}" for k in range(400)]
+    rows += [(100 + k, " ".join([*same, *(f"t{k}x{j}" for j in range(k % 3 + 1))])) for k in range(60)]
+    rows += [(200 + k, " ".join([*same[:60], *(f"o{k}x{j}" for j in range(60))])) for k in range(12)]
+    return rows
+
+
+def test_clusters_are_those_of_all_probable_pairs(spark):
+    rows = chains() + [(i + 1000, t) for i, t in corpus()]
+    df = spark.createDataFrame([(i, t, "t", "h", 1) for i, t in rows], SCHEMA)
+    part = {}
+    pairs = [(r.id_a, r.id_b) for r in J.sketch_pairs(df).where("classification in ('exact_duplicate', 'probable_near_duplicate')").collect()]
+    for a, b in pairs:
+        x, y = part.setdefault(a, {a}), part.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            part.update(dict.fromkeys(y, x))
+    got = {r.doc_id: (r.component, r.cluster_size) for r in J.sketch_clusters(df).collect()}
+    assert got == {i: (min(x), len(x)) for i, x in part.items()}
+    assert len({c for c, _ in got.values()}) > 6 and max(n for _, n in got.values()) == 60
+
+
+def test_texts_all_alike_are_linked_without_all_their_pairs(spark):
+    same = [f"g{k}" for k in range(400)]
+    df = spark.createDataFrame([(k, " ".join([*same, f"t{k}"]), "t", "h", 1) for k in range(80)], SCHEMA)
+    scratch = J.Scratch(spark, "test")
+    _, sketches = J.distinct_texts(df, scratch)
+    assert J.near_links(sketches, scratch).count() < 80 * 79 // 8
+    assert {(r.component, r.cluster_size) for r in J.sketch_clusters(df).collect()} == {(0, 80)}
