@@ -15,8 +15,10 @@ from quern.functions.edits import distances
 # Weights of the two parties, and the scores from which a link counts as sure or as worth a look.
 FIRST_WEIGHT, SECOND_WEIGHT = 0.55, 0.45
 SURE, LOOK = 85.0, 65.0
-#: Names of a side that a task compares at a time, and rows of the score table that it makes of them at a time.
-BLOCK, STEP = 2048, 256
+#: Names of a side that a task has at a time; those whose whole tables of distances it makes at a time, and rows of scores made of them.
+BLOCK, TABLE, STEP = 32768, 2048, 256
+#: Distances that a task holds at a time, and pairs of rows for each pair of cells that make cells worth while.
+HELD, CELL = 1 << 22, 1024
 #: Scores this near to a block's best are handed on, as they may round to the same.
 SLACK = 2e-6
 
@@ -55,6 +57,103 @@ def _best_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
     """The best scores of each left pair of names over the right ones, with the rows that have them and the least id."""
     right = right.sort_by("least")
     n, m = left.num_rows, right.num_rows
+    if n and m:
+        sides = [[t.column(c).to_pylist() for c in ("first", "second")] for t in (left, right)]
+        cells = [len({(len(x), y) for x, y in zip(*side, strict=True)}) for side in sides]
+        if cells[0] * cells[1] * CELL <= n * m:
+            return _best_of_cells(left, right, *sides)
+    parts = [_best_of_tables(left.slice(i, TABLE), right.slice(j, TABLE)) for i in range(0, max(n, 1), TABLE) for j in range(0, max(m, 1), TABLE)]
+    return pa.concat_tables(parts)
+
+
+def _similar(edits: np.ndarray, longest: np.ndarray | int) -> np.ndarray:
+    return np.where(longest == 0, 100.0, 100.0 * (1 - edits / np.maximum(longest, 1)))
+
+
+def _runs(values: np.ndarray) -> list[slice]:
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _best_of_cells(left: pa.Table, right: pa.Table, asked: list[list[str]], held: list[list[str]]) -> pa.Table:
+    """As _best_of_tables(), where few second names and lengths make cells of many rows.
+
+    Lengths bound the first similarity, and between two second names the other is fixed, so in a cell a score is a falling function of the
+    edits alone. Lengths are taken from the nearest on, likely second names before others, and only for rows whose best score can be reached.
+    """
+    (firsts, others), coded, names = (asked[0], held[0]), [], []
+    for side in (asked, held):
+        name, code = np.unique(np.array(side[1], object), return_inverse=True)
+        names.append(list(name))
+        coded.append(code)
+    lengths = [np.array([len(x) for x in side], np.int64) for side in names]
+    second = _similar(distances(*names), np.maximum(lengths[0][:, None], lengths[1]))
+    lone = [np.array([x == "" for x in side], bool) for side in names]
+    # the likeliest second names of the right side first, rows of one together, in the order of their first names
+    likely = np.argsort(np.argsort(-second[~lone[0]].max(axis=0, initial=0.0), kind="stable"))
+    groups = []
+    for side, rank in ((asked, coded[0]), (held, likely[coded[1]])):
+        sizes = np.array([len(x) for x in side[0]], np.int64)
+        order = sorted(range(len(sizes)), key=list(zip(sizes.tolist(), rank.tolist(), side[0], strict=True)).__getitem__)
+        groups.append([np.array(order[x]) for x in _runs(sizes[order])])
+    found = []
+    for mine in groups[0]:
+        size = len(firsts[mine[0]])
+        best = np.full(len(mine), -np.inf)
+        hits = []
+        for theirs in sorted(groups[1], key=lambda g: abs(size - len(others[g[0]])) / max(size, len(others[g[0]]), 1)):
+            other = len(others[theirs[0]])
+            longest = max(size, other)
+            first = _similar(np.arange(longest + 1), longest)
+
+            def score(q, b, first=first):
+                return first if lone[0][q] or lone[1][b] else FIRST_WEIGHT * first + SECOND_WEIGHT * second[q, b]
+
+            top = first[abs(size - other)]
+            bounds = np.where(lone[0][:, None] | lone[1], top, FIRST_WEIGHT * top + SECOND_WEIGHT * second)
+            at = 0
+            while at < len(theirs):
+                # rows that something from here on may reach decide how many names are taken
+                left_names = np.unique(coded[1][theirs[at:]])
+                most = len(np.flatnonzero(best - SLACK <= bounds[:, left_names].max(axis=1)[coded[0][mine]]))
+                if not most:
+                    break
+                part = theirs[at : at + max(1, HELD // most)]
+                at += len(part)
+                need = np.flatnonzero(best - SLACK <= bounds[:, np.unique(coded[1][part])].max(axis=1)[coded[0][mine]])
+                if not len(need):
+                    continue
+                x, y = [firsts[k] for k in mine[need].tolist()], [others[k] for k in part.tolist()]
+                # the larger side takes the smaller one's characters
+                edits = distances(x, y) if len(x) >= len(y) else distances(y, x).T
+                for rows in _runs(coded[0][mine[need]]):
+                    q = coded[0][mine[need[rows.start]]]
+                    for cols in [slice(0, len(part))] if lone[0][q] else _runs(coded[1][part]):
+                        b = coded[1][part[cols.start]]
+                        own = need[rows]
+                        if not lone[0][q] and bounds[q, b] < best[own].min() - SLACK:
+                            continue
+                        scores, cell = score(q, b), edits[rows, cols]
+                        best[own] = np.maximum(best[own], scores[cell.min(axis=1)])
+                        # the most edits of a row whose score is as good
+                        limit = np.searchsorted(-scores, SLACK - best[own], "right") - 1
+                        i, j = np.nonzero(cell <= limit[:, None])
+                        hits.append((own[i], scores[cell[i, j]], part[cols][j]))
+        i, s, j = (np.concatenate(x) for x in zip(*hits, strict=True))
+        kept = s >= best[i] - SLACK
+        found.append((mine[i[kept]], s[kept], j[kept]))
+    i, s, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((j, s, i))
+    i, j, s = i[order], j[order], s[order]
+    starts = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1])]))
+    out = left.select(["group", "first", "second"]).take(pa.array(i[starts]))
+    out = out.append_column("score", pa.array(s[starts])).append_column("rows", pa.array(np.add.reduceat(right.column("rows").to_numpy()[j], starts)))
+    return out.append_column("least", right.column("least").take(pa.array(j[starts])))
+
+
+def _best_of_tables(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best scores by whole tables of distances; `right` is sorted by `least`."""
+    n, m = left.num_rows, right.num_rows
     coded = {}
     for side, table in (("l", left), ("r", right)):
         for name in ("first", "second"):
@@ -65,7 +164,7 @@ def _best_of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         x, y = coded["l" + name][0], coded["r" + name][0]
         edits = distances(x, y) if n and m else np.zeros((len(x), len(y)), np.int32)
         longest = np.maximum(np.array([len(s) for s in x], np.int32)[:, None], np.array([len(s) for s in y], np.int32))
-        tables[name] = np.where(longest == 0, 100.0, 100.0 * (1 - edits / np.maximum(longest, 1)))
+        tables[name] = _similar(edits, longest)
     lone_l, lone_r = (np.array([s == "" for s in coded[side][0]], bool)[coded[side][1]] for side in ("lsecond", "rsecond"))
     rows, at, scores, sums, least = right.column("rows").to_numpy(), [], [], [], []
     for low in range(0, n if m else 0, STEP):

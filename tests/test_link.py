@@ -93,3 +93,38 @@ def test_nearest_names_of_a_group(spark, monkeypatch):
     a, b = spark.createDataFrame(asked, "g int, n string"), spark.createDataFrame(held, "g int, n string, k long")
     got = {(r.group, r.first): (r.least, r.edits) for r in L.nearest_name(a, b, "g", "n", "g", "n", "k").collect()}
     assert got == {(1, "abc"): (11, 0), (1, "abd"): (16, 0), (1, ""): (10, 3), (1, "zzzz"): (14, 2), (2, "abc"): (30, 3), (2, "abd"): (30, 3), (2, "zzzz"): (30, 4)}
+
+
+def test_cells_of_names_against_whole_tables(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    made = random.Random(13)
+    name = lambda: made.choice(["M S CUSTOMER AND SONS 00", "CUSTOMER ", "", "é" * 60]) + str(made.randrange(10 ** made.choice([1, 3, 5])))
+    side = lambda n, seconds: sorted({(made.choice([name(), name(), ""]), made.choice(seconds)) for _ in range(n)}, key=lambda _: made.random())
+    a, b = side(300, ["", "STATE OF X", "STATE OF Y", "UNION"]), side(400, ["", "STATE OF X", "1 URGENT", "STATE OF YZ"])
+    left = pa.table({"group": pa.array([1] * len(a)), "first": [x for x, _ in a], "second": [x for _, x in a]})
+    right = pa.table({"group": pa.array([1] * len(b)), "first": [x for x, _ in b], "second": [x for _, x in b], "rows": pa.array(range(1, len(b) + 1)), "least": pa.array(made.sample(range(9999), len(b)))})
+    asked = []
+    counted = L.distances
+    monkeypatch.setattr(L, "distances", lambda x, y: asked.append(len(x) * len(y)) or counted(x, y))
+    monkeypatch.setattr(L, "HELD", 3000)
+    whole = L._best_of_tables(left, right.sort_by("least")).to_pylist()
+    of_tables = sum(asked)
+    asked.clear()
+    cells = L._best_of_cells(left, (r := right.sort_by("least")), *([t.column(c).to_pylist() for c in ("first", "second")] for t in (left, r))).to_pylist()
+    best = lambda rows: sorted(tuple(r.values()) for r in rows)
+    assert best(cells) == best(whole) and 2 * sum(asked) < of_tables
+    monkeypatch.setattr(L, "CELL", 0)
+    assert best(L._best_of_block(left, right).to_pylist()) == best(whole)
+    assert np.isfinite([r["score"] for r in whole]).all()
+
+
+def test_edits_behind_a_common_beginning():
+    from quern.functions.edits import distances
+
+    made = random.Random(17)
+    tail = lambda n: "".join(made.choice("ab1 ") for _ in range(made.randrange(n + 1)))
+    for begin, most in (("ab", 6), ("a1b ab", 8), ("a" * 30, 16), ("b1" * 20, 24), ("a b", 61)):
+        a, b = [begin + tail(most) for _ in range(25)], [tail(3) + begin[: made.randrange(len(begin) + 1)] + tail(most) for _ in range(25)] + [""]
+        assert distances(a, b).tolist() == [[edits(x, y) for y in b] for x in a]
